@@ -97,7 +97,7 @@ def hot_keys(df: DataFrame, key: str, n: int = 10) -> DataFrame:
         key,
         "n_rows",
         ratio(F.col("n_rows"), F.col("_all")).alias("share"),
-        (F.col("n_rows") * F.col("_keys") / F.col("_all")).alias("times_mean"),
+        (ratio(F.col("n_rows"), F.col("_all")) * F.col("_keys")).alias("times_mean"),
     )
 
 
