@@ -56,8 +56,9 @@ STAGE_ENTRY = (
     r"(?m)^\d+\t\n(?:(?!\d+\t\n)[^\n]*\n)+?(?:" + STAMP + r"|Unknown)\t[^\t\n]*\t?\n\d+/\d+[^\n]*"
     r"(?:\n[^\n]*\d (?:B|KiB|MiB|GiB|TiB|PiB)(?:\t[^\n]*|(?=\n|$)))?"
 )
+# A job id may be followed by its group in brackets.
 JOB_ENTRY = (
-    r"(?m)^\d+\t\n(?:(?!\d+\t\n)[^\n]*\n)*?[^\n]*\t(?:" + STAMP + r"|Unknown)\t[^\t\n]*\t[^\n]*\n\d+/\d+[^\n]*"
+    r"(?m)^\d+(?: \([^)\n]*\))?\t\n(?:(?!\d+(?: \([^)\n]*\))?\t\n)[^\n]*\n)*?[^\n]*\t(?:" + STAMP + r"|Unknown)\t[^\t\n]*\t[^\n]*\n\d+/\d+[^\n]*"
 )
 EXECUTOR_ENTRY = r"(?m)^(?:Active|Dead|Total)\(\d+\)\t[^\n]*"
 SUMMARY_ENTRY = r"(?m)^[A-Z][^\t\n]*\t[^\t\n]*\d[^\t\n]*\t[^\t\n]+\t[^\t\n]+\t[^\t\n]+\t[^\t\n]+$"
@@ -106,6 +107,7 @@ def classify_pages(pages: DataFrame) -> DataFrame:
             (F.col("heading").startswith("Environment"), "environment"),
             (F.col("heading").startswith("Storage"), "storage"),
             (F.col("heading").startswith("SQL"), "sql"),
+            ((F.col("heading") == "") & F.col("text").contains("Application Overview"), "cluster_application"),
         ],
         "unknown",
     )
@@ -251,7 +253,8 @@ def _counted(word: str) -> Column:
 
 
 def _task_line() -> Column:
-    return F.regexp_extract("entry", r"(?m)^(\d+/\d+[^\n]*)", 1)
+    # A date line starts with digits and a slash too, but a second slash follows.
+    return F.regexp_extract("entry", r"(?m)^(\d+/\d+(?![\d/])[^\n]*)", 1)
 
 
 def stage_rows(pages: DataFrame) -> DataFrame:
@@ -263,7 +266,7 @@ def stage_rows(pages: DataFrame) -> DataFrame:
     """
     rows = _entries(pages, "stages", STAGE_ENTRY)
     timing = r"(?m)^(" + STAMP + r"|Unknown)\t([^\t\n]*)"
-    sizes = F.regexp_extract("entry", r"(?m)^\d+/\d+[^\n]*\n([^\n]*)$", 1)
+    sizes = F.regexp_extract("entry", r"(?m)^\d+/\d+(?![\d/])[^\n]*\n([^\n]*)$", 1)
     rows = rows.withColumn("sizes_text", sizes).withColumn("_cells", F.split("sizes_text", "\t"))
     known = F.size("_cells") >= 4
 

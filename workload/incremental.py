@@ -1 +1,49 @@
+"""ST* queries."""
 
+from pyspark.sql import functions as F
+
+from creditloom.session import scratch_path
+from creditloom.streaming.incremental import materialise_day, merge_latest, read_state, stream_latest
+from workload.base import query, table
+from workload.standins import app_log, ev
+
+
+@query("st1_materialise_day", """
+SELECT DISTINCT device_id, app_id, pt_date FROM app_all WHERE pt_date IN ('2024-03-10', '2024-03-11')""", ["app_all"])
+def st1(spark, d):
+    path = scratch_path(spark, "st1")
+    log = app_log(spark, d)
+    for day in ("2024-03-10", "2024-03-11", "2024-03-10"):
+        materialise_day(log, day, path)
+    return spark.read.parquet(path).withColumn("pt_date", F.col("pt_date").cast("string"))
+
+
+_LATEST = """
+SELECT user_id, event_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"""
+
+
+def order():
+    return [F.desc("ts"), F.desc("event_id")]
+
+
+@query("st2_merge_latest", _LATEST)
+def st2(spark, d):
+    rows = ev(spark, d).select("user_id", "event_id", "value", "ts")
+    early = F.to_date("ts") < F.lit("2024-01-15").cast("date")
+    state = merge_latest(rows.where(early), rows.limit(0), ["user_id"], order())
+    return merge_latest(state, rows.where(~early), ["user_id"], order()).drop("ts")
+
+
+@query("st3_stream_latest", _LATEST)
+def st3(spark, d):
+    schema = table(spark, d, "events").schema
+    stream = (
+        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        .select("user_id", "event_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    )
+    path, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "stream")
+    running = stream_latest(stream, ["user_id", "event_id"], "ts", "2 hours", order(), path, checkpoint)
+    running.awaitTermination()
+    latest = merge_latest(read_state(spark, path), read_state(spark, path).limit(0), ["user_id"], order())
+    return latest.drop("ts")
