@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from creditloom.functions.dates import lit_date
 
 HOT_KEYS = 64
+HOT_ROWS = 1_000_000
 
 
 def attach(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -23,44 +24,46 @@ def attach(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) ->
 
 
 def attach_spread(
-    rows: DataFrame,
-    side: DataFrame,
-    keys: Sequence[str],
-    how: str = "left",
-    weights: DataFrame | None = None,
-    hot: int = HOT_KEYS,
+    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Join ``side`` (unique on the keys) onto rows whose keys may be badly skewed.
 
-    The ``hot`` most frequent keys go through a broadcast of at most ``hot`` rows, so their
-    rows are never sent to one task; all other rows take the ordinary shuffle join. Rows with a
-    missing key cannot match and are not shuffled either. ``weights`` gives rows per key
-    (column ``_n``) when the caller has already counted them.
+    Of the keys with more than ``hot_rows`` rows, the most frequent go through a broadcast of at
+    most 64 rows, so their rows are not sent to one task. All others take the ordinary shuffle
+    join, and rows with a missing key, which cannot match, take none. Without hot keys adaptive
+    execution drops the broadcast branch before it reads anything. A column ``_n`` of ``side``
+    tells the rows per key when the caller has counted them already; else they are counted here.
     """
     keys = list(keys)
-    added = [c for c in side.columns if c not in keys]
-    if weights is None:
-        weights = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    added = [c for c in side.columns if c not in keys and c != "_n"]
     present = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-    heavy = weights.where(present).orderBy(F.desc("_n"), *keys).limit(hot).select(*keys)
-    hot_side = heavy.join(
-        F.broadcast(side.join(F.broadcast(heavy), keys, "left_semi").withColumn("_match", F.lit(1))), keys, "left"
-    ).withColumn("_hot", F.lit(1))
-
-    through = rows.join(F.broadcast(hot_side), keys, "left")
-    if how == "inner":
-        through = through.where(F.col("_match").isNotNull())
+    counted = "_n" in side.columns
+    # The filter keeps the count in both uses of the side, so that its shuffle can be shared.
+    side = side.where(F.col("_n") > 0) if counted else side
+    weights = side if counted else rows.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = weights.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).where(F.col("_n") > hot_rows)
+    if counted:
+        hot = heavy.withColumn("_match", F.lit(1))
     else:
-        through = through.where(F.col("_hot").isNotNull() | ~present)
-    rest = rows.where(present).join(F.broadcast(heavy), keys, "left_anti").join(side, keys, how)
+        found = side.join(F.broadcast(heavy.select(*keys)), keys, "left_semi").withColumn("_match", F.lit(1))
+        hot = heavy.join(F.broadcast(found), keys, "left")
+    through = rows.join(F.broadcast(hot), keys)
+    if how == "inner":
+        through = through.where(F.col("_match") == 1)
+    rest = rows.where(present).join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side, keys, how)
     cols = rows.columns + added
-    return through.select(*cols).unionByName(rest.select(*cols))
+    out = through.select(*cols).unionByName(rest.select(*cols))
+    if how == "left" and any(rows.schema[k].nullable for k in keys):
+        types = {f.name: f.dataType for f in side.schema.fields}
+        unmatched = rows.where(~present).withColumns({c: F.lit(None).cast(types[c]) for c in added})
+        out = out.unionByName(unmatched.select(*cols))
+    return out
 
 
-def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
+def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row with an aggregate of its key; rows with a missing key are dropped."""
     per_key = df.groupBy(*keys).agg(value.alias(out), F.count(F.lit(1)).alias("_n"))
-    return attach_spread(df, per_key.select(*keys, out), keys, "inner", weights=per_key.select(*keys, "_n"))
+    return attach_spread(df, per_key, keys, "inner", hot_rows)
 
 
 def expand_validity(
@@ -85,9 +88,17 @@ def tag_in_list(df: DataFrame, key: str, items: Sequence[str] | DataFrame, out:
     return df.withColumn(out, F.when(F.col(key).isin(list(items)), 1).otherwise(0))
 
 
-def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Columns of a dimension that is unique on the keys."""
-    return attach_spread(df, dim.select(*keys, *cols), keys)
+def lookup(
+    df: DataFrame, dim: DataFrame, keys: Sequence[str], cols: Sequence[str], row_id: str, salts: int = 8
+) -> DataFrame:
+    """Columns of a dimension that is unique on the keys, for rows with a unique ``row_id``.
+
+    A dimension small enough is broadcast by Spark. One that is not is repeated once per salt, and
+    the rows of a frequent key spread over the salts by their id. The rows are read once either way.
+    """
+    salted = dim.select(*keys, *cols, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    rows = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    return rows.join(salted, [*keys, "_salt"], "left").select(*df.columns, *cols)
 
 
 def attach_last_entity(clients: DataFrame, last: DataFrame, features: DataFrame, key: str, entity: str) -> DataFrame:

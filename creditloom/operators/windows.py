@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.functions.columns import ladder
+from creditloom.functions.columns import ladder, null_count
 from creditloom.session import pinned
 
 
@@ -35,19 +35,15 @@ def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, o
 
 
 def dedup(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """One row per key; without an order, the smallest of the remaining columns decides."""
-    order = list(order) or [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
-    return first_per_key(df, keys, order)
+    """One row per key; without an order, a digest of the row decides, the same way on every run."""
+    return first_per_key(df, keys, list(order) or [F.xxhash64(*df.columns)])
 
 
 def latest_complete(df: DataFrame, key: str, ts: str, cols: Sequence[str] | None = None) -> DataFrame:
     """Per key the record of the latest day with the fewest nulls, then the latest time."""
-    from creditloom.functions.columns import null_count
-
     counted = [F.col(c) for c in (cols or df.columns)]
     order = [F.to_date(ts).desc(), null_count(counted).asc(), F.col(ts).desc()]
-    rest = [F.col(c).asc_nulls_last() for c in df.columns if c not in (key, ts)]
-    return first_per_key(df, [key], order + rest)
+    return first_per_key(df, [key], [*order, F.xxhash64(*df.columns)])
 
 
 def last_entity(df: DataFrame, key: str, age: str, entity: str) -> DataFrame:
@@ -72,7 +68,8 @@ def latest_snapshot(df: DataFrame, key: str, day: str, item: str) -> DataFrame:
     """Distinct items of each key on the key's latest day.
 
     Two aggregates instead of a window over whole keys: an item belongs to the latest snapshot
-    when its own last day is the last day of its key.
+    when its own last day is the last day of its key. ``day`` should be a date: the maximum of a
+    string column cannot be hash-aggregated.
     """
     from creditloom.operators.joins import with_group_value
 

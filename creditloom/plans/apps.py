@@ -82,16 +82,25 @@ def app_features(
 ) -> DataFrame:
     """Per device the risky apps of its latest list and of all lists in the history window.
 
-    Apps that are not risky matter only as proof that a list existed, so they become one null
-    item per device before anything is shuffled. What is left are three small aggregates: last
-    day per (device, app), risky apps per (device, day), and both counts per device.
+    Apps that are not risky matter only as proof that a list existed. With an in-code list each
+    message keeps its risky apps before it is exploded, so a message without any gives one row.
+    What is left are three small aggregates over fixed-width days: last day per (device, app),
+    risky apps per (device, day), and both counts per device.
     """
-    entries = app_entries(parse_messages(scan_messages(log, anchor, as_of, scan_days, floor)))
-    tagged = tag_in_list(entries, "app_id", risk_apps, "risk_tag")
-    reduced = tagged.select("device_id", F.when(F.col("risk_tag") == 1, F.col("app_id")).alias("risky"), "pt_date")
-    last_seen = reduced.groupBy("device_id", "risky").agg(F.max("pt_date").alias("last_day"))
+    messages = parse_messages(scan_messages(log, anchor, as_of, scan_days, floor)).where(F.size("apps") > 0)
+    messages = messages.withColumn("day", F.col("pt_date").cast("date"))
+    if isinstance(risk_apps, DataFrame):
+        entries = messages.select("device_id", F.explode("apps").alias("entry"), "day")
+        entries = entries.select("device_id", app_package(F.col("entry")).alias("app_id"), "day")
+        tagged = tag_in_list(entries, "app_id", risk_apps, "risk_tag")
+        reduced = tagged.select("device_id", F.when(F.col("risk_tag") == 1, F.col("app_id")).alias("risky"), "day")
+    else:
+        listed = list(risk_apps)
+        hits = F.filter(F.transform("apps", app_package), lambda p: p.isin(listed))
+        reduced = messages.select("device_id", F.explode_outer(hits).alias("risky"), "day")
+    last_seen = reduced.groupBy("device_id", "risky").agg(F.max("day").alias("last_day"))
     per_day = last_seen.groupBy("device_id", "last_day").agg(F.count("risky").alias("n"))
-    recent = F.col("last_day") >= history_start(anchor, as_of, history_days)
+    recent = F.col("last_day") >= history_start(anchor, as_of, history_days).cast("date")
     return per_day.groupBy("device_id").agg(
         F.max_by("n", "last_day").alias("app_latest_lending_cnt"),
         F.sum(F.when(recent, F.col("n")).otherwise(0)).alias("app_historical_lending_cnt"),
@@ -100,7 +109,7 @@ def app_features(
 
 def app_features_stepwise(entries: DataFrame, risk_apps: Sequence[str] | DataFrame, since: str) -> DataFrame:
     """The same counts from the separate operators; used to check ``app_features``."""
-    rows = entries.distinct()
+    rows = entries.withColumn("pt_date", F.col("pt_date").cast("date")).distinct()
     latest = tag_in_list(latest_snapshot(rows, "device_id", "pt_date", "app_id"), "app_id", risk_apps, "risk_tag")
     history = tag_in_list(
         rows.where(F.col("pt_date") >= since).select("device_id", "app_id").distinct(), "app_id", risk_apps, "risk_tag"

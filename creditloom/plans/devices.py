@@ -176,22 +176,9 @@ def latest_price(price: DataFrame) -> DataFrame:
     return first_per_key(price, ["model", "brand"], order)
 
 
-def last_records(devices: DataFrame) -> DataFrame:
-    """Per device the record of the latest day with the fewest nulls, then the latest time."""
-    order = [
-        F.to_date("collection_time").desc(),
-        null_count([F.col(c) for c in devices.columns]).asc(),
-        F.col("collection_time").desc(),
-    ]
-    return first_per_key(devices, ["device_id"], order)
-
-
-def period_averages(devices: DataFrame, lists: DeviceLists) -> DataFrame:
-    apps = [
-        share(F.col("app_name") == name, F.col("app_name")).alias(f"trigger_app_{name}_ratio")
-        for name in lists.app_names
-    ]
-    return devices.groupBy("device_id").agg(
+def period_aggregates(lists: DeviceLists) -> list[Column]:
+    """Averages and shares over all records of a device."""
+    return [
         F.avg("used_storage").alias("avg_used_storage"),
         F.avg("total_storage").alias("avg_total_storage"),
         F.avg(ratio(F.col("used_storage"), F.col("total_storage"))).alias("avg_used_storage_ratio"),
@@ -200,26 +187,41 @@ def period_averages(devices: DataFrame, lists: DeviceLists) -> DataFrame:
             "battery_charging_ratio"
         ),
         F.avg("network_is_wifi").alias("network_wifi_ratio"),
-        *apps,
-    )
+        *[
+            share(F.col("app_name") == name, F.col("app_name")).alias(f"trigger_app_{name}_ratio")
+            for name in lists.app_names
+        ],
+    ]
 
 
 def device_table(devices: DataFrame, price: DataFrame, anchor: str, lists: DeviceLists, period_prefix: str) -> DataFrame:
-    """One row per device: last record (``last_*``), period averages and last known price."""
-    last = last_records(devices)
-    priced = lookup(
-        last.select("device_id", "model", "brand"),
-        latest_price(price).withColumnRenamed("price_usd_median", "last_price_usd"),
-        ["model", "brand"],
-        ["last_price_usd"],
-    ).drop("model", "brand")
-    state = last.drop("model", "brand", *PERIOD_COLUMNS).withColumn(
-        "days_from_collection", days_ago(F.col("collection_time"), anchor)
+    """One row per device: last record (``last_*``), period averages and last known price.
+
+    The last record (latest day, then fewest nulls, then latest time) and the averages come from
+    one aggregate per device, so the normalised records are shuffled by device once.
+    """
+    newest = F.struct(
+        F.to_date("collection_time"),
+        -null_count([F.col(c) for c in devices.columns]),
+        F.col("collection_time"),
+        F.xxhash64(*devices.columns),
+    )
+    state = [c for c in devices.columns if c not in ["device_id", *PERIOD_COLUMNS]]
+    period = period_aggregates(lists)
+    per_device = devices.groupBy("device_id").agg(F.max_by(F.struct(*state), newest).alias("last"), *period)
+    averages = [c for c in per_device.columns if c not in ("device_id", "last")]
+    before = f"{period_prefix}_" if period_prefix else ""
+    kept = sorted(set(state) - {"model", "brand", "collection_time"})
+    wide = per_device.select(
+        "device_id",
+        F.col("last.model").alias("model"),
+        F.col("last.brand").alias("brand"),
+        *[F.col(f"last.{c}").alias(f"last_{c}") for c in kept],
+        days_ago(F.col("last.collection_time"), anchor).alias("last_days_from_collection"),
+        *[F.col(c).alias(before + c) for c in averages],
     )
-    averages = period_averages(devices, lists)
-    if period_prefix:
-        averages = add_prefix(averages, period_prefix, ["device_id"])
-    return attach(add_prefix(state.drop("collection_time"), "last", ["device_id"]), [averages, priced], ["device_id"])
+    prices = latest_price(price).withColumnRenamed("price_usd_median", "last_price_usd")
+    return lookup(wide, prices, ["model", "brand"], ["last_price_usd"], "device_id").drop("model", "brand")
 
 
 def device_features(

@@ -86,12 +86,7 @@ def job_window(runs: DataFrame, asof: str, days: int) -> DataFrame:
         & (F.col("pt_date") <= asof)
         & (F.to_date("started_date") == F.col("pt_date").cast("date"))
     )
-    return dedup(inside, ["pt_date", "job_id"], [F.col("started_date").desc(), *attempt_tie(runs)])
-
-
-def attempt_tie(runs: DataFrame) -> list[Column]:
-    """Order among attempts that started together."""
-    return [F.col(c).desc_nulls_last() for c in runs.columns if c not in ("pt_date", "job_id", "started_date")]
+    return dedup(inside, ["pt_date", "job_id"], [F.col("started_date").desc(), F.xxhash64(*runs.columns)])
 
 
 def top_streaks(jobs: DataFrame, days: int, ks: Sequence[int]) -> DataFrame:

@@ -6,7 +6,7 @@ from creditloom.plans.job_health import job_health_labels
 from workload.base import query
 from workload.standins import JOB_DAY, job_run
 
-KS = (10, 5)
+KS = (40, 25)
 
 _STREAK = {
     "mu": ("memory_gb_hour", "TRUE"),
@@ -85,14 +85,14 @@ NUMBERED = {
     4: ("spark_stage_failed_gt3", "spark_stage_failed_gt3_label"),
     5: ("spark_task_retry", "spark_task_retry_label"),
     6: ("spark_task_retry_gt3", "spark_task_retry_gt3_label"),
-    7: ("mu_top_wide", "mu_top10_label"),
-    8: ("mu_top_narrow", "mu_top5_label"),
-    9: ("runtime_top_wide", "runtime_top10_label"),
-    10: ("runtime_top_narrow", "runtime_top5_label"),
-    11: ("p0_p1_runtime_top_wide", "p0_p1_runtime_top10_label"),
-    12: ("p0_p1_runtime_top_narrow", "p0_p1_runtime_top5_label"),
-    13: ("non_p0_p1_runtime_top_wide", "non_p0_p1_runtime_top10_label"),
-    14: ("non_p0_p1_runtime_top_narrow", "non_p0_p1_runtime_top5_label"),
+    7: ("mu_top_wide", "mu_top40_label"),
+    8: ("mu_top_narrow", "mu_top25_label"),
+    9: ("runtime_top_wide", "runtime_top40_label"),
+    10: ("runtime_top_narrow", "runtime_top25_label"),
+    11: ("p0_p1_runtime_top_wide", "p0_p1_runtime_top40_label"),
+    12: ("p0_p1_runtime_top_narrow", "p0_p1_runtime_top25_label"),
+    13: ("non_p0_p1_runtime_top_wide", "non_p0_p1_runtime_top40_label"),
+    14: ("non_p0_p1_runtime_top_narrow", "non_p0_p1_runtime_top25_label"),
     15: ("runtime_gt_1h", "runtime_gt_1h_label"),
     16: ("submit_wait_gt_10min", "submit_wait_gt_10min_label"),
     17: ("memory_alloc_insufficient", "memory_alloc_insufficient_label"),

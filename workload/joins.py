@@ -135,7 +135,7 @@ def j6(spark, d):
         F.concat(F.lit("brand#"), (F.col("user_id") % 30).cast("string")).alias("brand"),
     )
     dim = latest_price(price(spark, d)).withColumnRenamed("price_usd_median", "last_price_usd")
-    return lookup(rows, dim, ["model", "brand"], ["last_price_usd"])
+    return lookup(rows, dim, ["model", "brand"], ["last_price_usd"], "event_id")
 
 
 _LAST = """

@@ -151,7 +151,7 @@ def pl12_device(spark, d):
 
 @query("pl12_registry_job_health")
 def pl12_jobs(spark, d):
-    return registry.build("job_health", {"job_run": job_run(spark, d)}, JOB_DAY, {"ks": (10, 5)})
+    return registry.build("job_health", {"job_run": job_run(spark, d)}, JOB_DAY, {"ks": (40, 25)})
 
 
 @query("io8_load_scorer")

@@ -64,7 +64,9 @@ def w4(spark, d):
 SELECT DISTINCT device_id, app_id, pt_date FROM (
   SELECT *, max(pt_date) OVER (PARTITION BY device_id) AS latest FROM app_all) WHERE pt_date = latest""", ["app_all"])
 def w5(spark, d):
-    return latest_snapshot(app_entries(parse_messages(app_log(spark, d))), "device_id", "pt_date", "app_id")
+    rows = app_entries(parse_messages(app_log(spark, d))).withColumn("pt_date", F.col("pt_date").cast("date"))
+    latest = latest_snapshot(rows, "device_id", "pt_date", "app_id")
+    return latest.withColumn("pt_date", F.date_format("pt_date", "yyyy-MM-dd"))
 
 
 @query("w6_dedup_attempts", """
