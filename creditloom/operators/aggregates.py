@@ -66,6 +66,27 @@ def activity_span(df: DataFrame, key: str, age: str, out: str = "span") -> DataF
     return df.groupBy(key).agg((F.max(age) - F.min(age)).alias(out))
 
 
+def entity_windows(df: DataFrame, key: str, entity: str, age: str, windows: Sequence[int]) -> DataFrame:
+    """Per (key, entity): smallest and largest age, and rows younger than each window."""
+    return df.groupBy(key, entity).agg(
+        F.min(age).alias("youngest"),
+        F.max(age).alias("oldest"),
+        *[F.count_if(F.col(age) < w).alias(f"rows_{w}") for w in windows],
+    )
+
+
+def window_totals(windows: Sequence[int], prefix: str, empty: int = ZERO_DENOMINATOR) -> list[Column]:
+    """Aggregates over ``entity_windows``: distinct entities per window, alone and per row."""
+    counts = {w: F.count_if(F.col("youngest") < w) for w in windows}
+    norm = {
+        w: F.coalesce(F.try_divide(counts[w].cast("double"), F.sum(f"rows_{w}")), F.lit(float(empty))) for w in windows
+    }
+    return [
+        *[counts[w].alias(f"{prefix}_{w}d") for w in windows],
+        *[norm[w].alias(f"{prefix}_norm_{w}d") for w in windows],
+    ]
+
+
 def distinct_per_window(
     df: DataFrame,
     key: str,
@@ -80,20 +101,7 @@ def distinct_per_window(
     An entity counts in a window when its smallest age does, so one pass over (key, entity)
     serves all windows and no row is repeated per window.
     """
-    per_entity = df.groupBy(key, entity).agg(
-        F.min(age).alias("youngest"), *[F.count_if(F.col(age) < w).alias(f"rows_{w}") for w in windows]
-    )
-    totals = per_entity.groupBy(key).agg(
-        *[F.count_if(F.col("youngest") < w).alias(f"{prefix}_{w}d") for w in windows],
-        *[F.sum(f"rows_{w}").alias(f"rows_{w}") for w in windows],
-    )
-    norm = [
-        F.coalesce(F.try_divide(F.col(f"{prefix}_{w}d").cast("double"), F.col(f"rows_{w}")), F.lit(float(empty))).alias(
-            f"{prefix}_norm_{w}d"
-        )
-        for w in windows
-    ]
-    return totals.select(key, *[f"{prefix}_{w}d" for w in windows], *norm)
+    return entity_windows(df, key, entity, age, windows).groupBy(key).agg(*window_totals(windows, prefix, empty))
 
 
 def tag_counts(df: DataFrame, key: str, tag: str, out: str) -> DataFrame:

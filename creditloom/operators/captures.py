@@ -77,9 +77,9 @@ def squeeze(col: Column) -> Column:
 
 def in_units(text: Column, units: dict[str, float]) -> Column:
     """Number with a unit, such as ``1314.0 GiB`` or ``4.7 min``; anything else is null."""
-    number = F.regexp_extract(text, r"^\s*([\d.]+)\s*([A-Za-z]+)", 1).try_cast("double")
-    unit = F.regexp_extract(text, r"^\s*([\d.]+)\s*([A-Za-z]+)", 2)
-    return number * ladder([(unit == u, F.lit(f)) for u, f in units.items()])
+    words = F.split(F.trim(text), " ")
+    unit = F.get(words, F.lit(1))
+    return F.get(words, F.lit(0)).try_cast("double") * ladder([(unit == u, F.lit(f)) for u, f in units.items()])
 
 
 def to_bytes(text: Column) -> Column:
@@ -94,33 +94,46 @@ def _text_or_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
+# How the heading of each page begins.
+HEADINGS = {
+    "jobs": "Spark Jobs",
+    "stages": "Stages for All Jobs",
+    "stage_detail": "Details for Stage",
+    "job_detail": "Details for Job",
+    "executors": "Executors",
+    "environment": "Environment",
+    "storage": "Storage",
+    "sql": "SQL",
+}
+
+
+def _heading() -> Column:
+    return F.trim(F.regexp_extract("text", r"(?m)^.* application UI[ \t]*\n[ \t]*([^\n]*)", 1))
+
+
 def classify_pages(pages: DataFrame) -> DataFrame:
     """Kind of page from its heading: file names can be wrong, the navigation bar names all pages."""
-    heading = F.trim(F.regexp_extract("text", r"(?m)^.* application UI[ \t]*\n[ \t]*([^\n]*)", 1))
-    kind = ladder(
-        [
-            (F.col("heading").startswith("Spark Jobs"), "jobs"),
-            (F.col("heading").startswith("Stages for All Jobs"), "stages"),
-            (F.col("heading").startswith("Details for Stage"), "stage_detail"),
-            (F.col("heading").startswith("Details for Job"), "job_detail"),
-            (F.col("heading").startswith("Executors"), "executors"),
-            (F.col("heading").startswith("Environment"), "environment"),
-            (F.col("heading").startswith("Storage"), "storage"),
-            (F.col("heading").startswith("SQL"), "sql"),
-            ((F.col("heading") == "") & F.col("text").contains("Application Overview"), "cluster_application"),
-        ],
-        "unknown",
-    )
+    cases = [(F.col("heading").startswith(start), kind) for kind, start in HEADINGS.items()]
+    overview = (F.col("heading") == "") & F.col("text").contains("Application Overview")
     return (
-        pages.withColumn("heading", heading)
-        .withColumn("page_kind", kind)
-        .withColumn("app_name", _text_or_null(F.regexp_extract("text", r"(?m)^(.*) application UI[ \t]*$", 1)))
+        pages.withColumn("heading", _heading())
+        .withColumn("page_kind", ladder([*cases, (overview, "cluster_application")], "unknown"))
+        .withColumn("app_name", _app_name())
         .withColumn("app_id", _text_or_null(F.regexp_extract("text", r"(application_\d+_\d+)", 1)))
         .withColumn("stage_id", F.regexp_extract("heading", r"^Details for Stage (\d+)", 1).try_cast("int"))
         .withColumn("attempt", F.regexp_extract("heading", r"\(Attempt (\d+)\)", 1).try_cast("int"))
     )
 
 
+def _app_name() -> Column:
+    return _text_or_null(F.regexp_extract("text", r"(?m)^(.*) application UI[ \t]*$", 1))
+
+
+def pages_of(pages: DataFrame, kind: str) -> DataFrame:
+    """Pages of one kind; the test is a single prefix, so the heading is looked up once per page."""
+    return pages.where(_heading().startswith(HEADINGS[kind])).withColumn("app_name", _app_name())
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, r"\r?\n")
 
@@ -241,51 +254,70 @@ def table_references(sources: DataFrame, prefixes: Sequence[str] = tuple(TABLE_P
 
 
 def _entries(pages: DataFrame, kind: str, pattern: str) -> DataFrame:
-    wanted = classify_pages(pages).where(F.col("page_kind") == kind)
-    return wanted.select(
+    """One row per match of the pattern, as the lines of the match."""
+    found = pages_of(pages, kind).select(
         "case", "path", "app_name", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("entry")
     )
+    return found.withColumn("lines", F.split("entry", "\n"))
+
+
+def _line(back: int) -> Column:
+    """Line of an entry, counted from its end; null when there are fewer."""
+    return F.get("lines", F.size("lines") - back)
+
+
+def _counted(tasks: Column, word: str) -> Column:
+    """Sum of the numbers before a word in a task line; most lines have no remarks at all."""
+    numbers = F.regexp_extract_all(tasks, F.lit(r"(\d+) " + word), F.lit(1))
+    total = F.aggregate(numbers, F.lit(0), lambda a, x: a + x.try_cast("int"))
+    return F.when(tasks.contains("("), total).otherwise(0)
 
 
-def _counted(word: str) -> Column:
-    found = F.regexp_extract_all("entry", F.lit(r"(\d+) " + word), F.lit(1))
-    return F.aggregate(found, F.lit(0), lambda total, x: total + x.try_cast("int"))
+def _part(fraction: Column, index: int) -> Column:
+    """Numerator or denominator of ``n/m`` with remarks behind."""
+    return F.get(F.split(F.substring_index(F.trim(fraction), " ", 1), "/"), F.lit(index)).try_cast("int")
 
 
-def _task_line() -> Column:
-    # A date line starts with digits and a slash too, but a second slash follows.
-    return F.regexp_extract("entry", r"(?m)^(\d+/\d+(?![\d/])[^\n]*)", 1)
+def _submitted(text: Column) -> Column:
+    return F.try_to_timestamp(text, F.lit("yyyy/MM/dd HH:mm:ss"))
 
 
 def stage_rows(pages: DataFrame) -> DataFrame:
     """One row per stage of the stage pages.
 
-    The four size columns are known only where the copied text kept their tabs. Where empty cells
-    were lost, a size cannot be told from its position: it stays null, ``sizes_known`` is false and
-    ``sizes_text`` holds what the page said.
+    An entry ends with its time, tasks and, maybe, sizes. The four size columns are known only
+    where the copied text kept their tabs. Where empty cells were lost, a size cannot be told from
+    its position: it stays null, ``sizes_known`` is false and ``sizes_text`` holds the page's text.
     """
     rows = _entries(pages, "stages", STAGE_ENTRY)
-    timing = r"(?m)^(" + STAMP + r"|Unknown)\t([^\t\n]*)"
-    sizes = F.regexp_extract("entry", r"(?m)^\d+/\d+(?![\d/])[^\n]*\n([^\n]*)$", 1)
-    rows = rows.withColumn("sizes_text", sizes).withColumn("_cells", F.split("sizes_text", "\t"))
-    known = F.size("_cells") >= 4
+    no_sizes = _line(1).rlike(r"^\d+/\d+(?![\d/])")
+    rows = rows.select(
+        "case",
+        "path",
+        "app_name",
+        F.substring_index(F.get("lines", F.lit(0)), "\t", 1).cast("int").alias("stage_id"),
+        F.when(no_sizes, _line(3)).otherwise(_line(4)).alias("action"),
+        F.split(F.when(no_sizes, _line(2)).otherwise(_line(3)), "\t").alias("timing"),
+        F.when(no_sizes, _line(1)).otherwise(_line(2)).alias("tasks"),
+        F.when(no_sizes, "").otherwise(_line(1)).alias("sizes_text"),
+    ).withColumn("sizes", F.split("sizes_text", "\t"))
+    known = F.size("sizes") >= 4
 
     def size(i: int) -> Column:
-        return F.when(known, to_bytes(F.get("_cells", F.lit(i))))
+        return F.when(known, to_bytes(F.get("sizes", F.lit(i))))
 
-    tasks = _task_line()
     return rows.select(
         "case",
         "path",
         "app_name",
-        F.regexp_extract("entry", r"^(\d+)", 1).cast("int").alias("stage_id"),
-        F.regexp_extract("entry", r"(?m)^([^\n]*?)(?:\+details)?\n(?:" + STAMP + r"|Unknown)\t", 1).alias("action"),
-        F.try_to_timestamp(F.regexp_extract("entry", timing, 1), F.lit("yyyy/MM/dd HH:mm:ss")).alias("submitted"),
-        to_seconds(F.regexp_extract("entry", timing, 2)).alias("duration_s"),
-        F.regexp_extract(tasks, r"^(\d+)/", 1).cast("int").alias("tasks_done"),
-        F.regexp_extract(tasks, r"^\d+/(\d+)", 1).cast("int").alias("tasks_total"),
-        _counted("failed").alias("failed"),
-        _counted("killed").alias("killed"),
+        "stage_id",
+        F.replace(F.col("action"), F.lit("+details"), F.lit("")).alias("action"),
+        _submitted(F.get("timing", F.lit(0))).alias("submitted"),
+        to_seconds(F.get("timing", F.lit(1))).alias("duration_s"),
+        _part(F.col("tasks"), 0).alias("tasks_done"),
+        _part(F.col("tasks"), 1).alias("tasks_total"),
+        _counted(F.col("tasks"), "failed").alias("failed"),
+        _counted(F.col("tasks"), "killed").alias("killed"),
         size(0).alias("input_bytes"),
         size(1).alias("output_bytes"),
         size(2).alias("shuffle_read_bytes"),
@@ -297,23 +329,32 @@ def stage_rows(pages: DataFrame) -> DataFrame:
 
 def job_rows(pages: DataFrame) -> DataFrame:
     """One row per job of the job pages."""
-    rows = _entries(pages, "jobs", JOB_ENTRY)
-    timing = r"(?m)^([^\n]*)\t(" + STAMP + r"|Unknown)\t([^\t\n]*)\t(\d+)/(\d+)"
-    tasks = _task_line()
+    rows = _entries(pages, "jobs", JOB_ENTRY).select(
+        "case",
+        "path",
+        "app_name",
+        F.substring_index(F.substring_index(F.get("lines", F.lit(0)), "\t", 1), " ", 1).cast("int").alias("job_id"),
+        F.split(_line(2), "\t").alias("timing"),
+        _line(1).alias("tasks"),
+    )
+
+    def cell(i: int) -> Column:
+        return F.get("timing", F.lit(i))
+
     return rows.select(
         "case",
         "path",
         "app_name",
-        F.regexp_extract("entry", r"^(\d+)", 1).cast("int").alias("job_id"),
-        F.regexp_extract("entry", timing, 1).alias("action"),
-        F.try_to_timestamp(F.regexp_extract("entry", timing, 2), F.lit("yyyy/MM/dd HH:mm:ss")).alias("submitted"),
-        to_seconds(F.regexp_extract("entry", timing, 3)).alias("duration_s"),
-        F.regexp_extract("entry", timing, 4).cast("int").alias("stages_done"),
-        F.regexp_extract("entry", timing, 5).cast("int").alias("stages_total"),
-        F.regexp_extract(tasks, r"^(\d+)/", 1).cast("int").alias("tasks_done"),
-        F.regexp_extract(tasks, r"^\d+/(\d+)", 1).cast("int").alias("tasks_total"),
-        F.coalesce(F.regexp_extract(tasks, r"\((\d+) failed\)", 1).try_cast("int"), F.lit(0)).alias("failed"),
-        F.coalesce(F.regexp_extract(tasks, r"\((\d+) skipped\)", 1).try_cast("int"), F.lit(0)).alias("tasks_skipped"),
+        "job_id",
+        cell(0).alias("action"),
+        _submitted(cell(1)).alias("submitted"),
+        to_seconds(cell(2)).alias("duration_s"),
+        _part(cell(3), 0).alias("stages_done"),
+        _part(cell(3), 1).alias("stages_total"),
+        _part(F.col("tasks"), 0).alias("tasks_done"),
+        _part(F.col("tasks"), 1).alias("tasks_total"),
+        _counted(F.col("tasks"), "failed").alias("failed"),
+        _counted(F.col("tasks"), "skipped").alias("tasks_skipped"),
     )
 
 
@@ -345,9 +386,13 @@ def executor_rows(pages: DataFrame) -> DataFrame:
 
 def stage_summary(pages: DataFrame) -> DataFrame:
     """Summary metrics of stage detail pages: minimum to maximum per metric, in seconds or bytes."""
-    wanted = classify_pages(pages).where(F.col("page_kind") == "stage_detail")
-    rows = wanted.select(
-        "case", "path", "app_name", "stage_id", "attempt",
+    heading = _heading()
+    rows = pages_of(pages, "stage_detail").select(
+        "case",
+        "path",
+        "app_name",
+        F.regexp_extract(heading, r"Stage (\d+)", 1).try_cast("int").alias("stage_id"),
+        F.regexp_extract(heading, r"\(Attempt (\d+)\)", 1).try_cast("int").alias("attempt"),
         F.explode(F.regexp_extract_all("text", F.lit(SUMMARY_ENTRY), F.lit(0))).alias("entry"),
     ).withColumn("c", F.split("entry", "\t"))
     names = ["min", "p25", "median", "p75", "max"]

@@ -42,16 +42,16 @@ MESSAGE_SCHEMA = "deviceId string, deviceInfo struct<os: string, apps: array<str
 
 
 def parse_messages(log: DataFrame) -> DataFrame:
-    """device_id, os, apps and pt_date; each message is parsed once, unusable ones are dropped."""
-    parsed = log.where(F.col("pt_biz") == MESSAGE_KIND).select(
-        F.from_json("message", MESSAGE_SCHEMA).alias("m"), "pt_date"
-    )
-    return parsed.select(
-        F.col("m.deviceId").alias("device_id"),
-        F.col("m.deviceInfo.os").alias("os"),
-        F.col("m.deviceInfo.apps").alias("apps"),
-        "pt_date",
-    ).where(F.col("device_id").isNotNull() & F.col("os").isNotNull() & F.col("apps").isNotNull())
+    """device_id, os, apps and pt_date of the usable messages.
+
+    The parsed message passes through an explode of at most one element. A plain filter on its
+    fields would be pushed below the projection, and every field test would parse the JSON again.
+    """
+    parsed = log.where(F.col("pt_biz") == MESSAGE_KIND).select(F.from_json("message", MESSAGE_SCHEMA).alias("m"), "pt_date")
+    device, info = F.col("m.deviceId"), F.col("m.deviceInfo")
+    usable = device.isNotNull() & info["os"].isNotNull() & info["apps"].isNotNull()
+    once = parsed.select(F.explode(F.when(usable, F.array("m"))).alias("m"), "pt_date")
+    return once.select(device.alias("device_id"), info["os"].alias("os"), info["apps"].alias("apps"), "pt_date")
 
 
 def app_entries(messages: DataFrame) -> DataFrame:
@@ -82,22 +82,16 @@ def app_features(
 ) -> DataFrame:
     """Per device the risky apps of its latest list and of all lists in the history window.
 
-    Apps that are not risky matter only as proof that a list existed. With an in-code list each
-    message keeps its risky apps before it is exploded, so a message without any gives one row.
-    What is left are three small aggregates over fixed-width days: last day per (device, app),
-    risky apps per (device, day), and both counts per device.
+    Apps that are not risky matter only as proof that a list existed, so they become one null
+    item per device, and map-side aggregation reduces a list to its risky apps before anything is
+    shuffled. What is left are three small aggregates over fixed-width days: last day per
+    (device, app), risky apps per (device, day), and both counts per device.
     """
-    messages = parse_messages(scan_messages(log, anchor, as_of, scan_days, floor)).where(F.size("apps") > 0)
-    messages = messages.withColumn("day", F.col("pt_date").cast("date"))
-    if isinstance(risk_apps, DataFrame):
-        entries = messages.select("device_id", F.explode("apps").alias("entry"), "day")
-        entries = entries.select("device_id", app_package(F.col("entry")).alias("app_id"), "day")
-        tagged = tag_in_list(entries, "app_id", risk_apps, "risk_tag")
-        reduced = tagged.select("device_id", F.when(F.col("risk_tag") == 1, F.col("app_id")).alias("risky"), "day")
-    else:
-        listed = list(risk_apps)
-        hits = F.filter(F.transform("apps", app_package), lambda p: p.isin(listed))
-        reduced = messages.select("device_id", F.explode_outer(hits).alias("risky"), "day")
+    entries = app_entries(parse_messages(scan_messages(log, anchor, as_of, scan_days, floor)))
+    tagged = tag_in_list(entries, "app_id", risk_apps, "risk_tag")
+    reduced = tagged.select(
+        "device_id", F.when(F.col("risk_tag") == 1, F.col("app_id")).alias("risky"), F.col("pt_date").cast("date").alias("day")
+    )
     last_seen = reduced.groupBy("device_id", "risky").agg(F.max("day").alias("last_day"))
     per_day = last_seen.groupBy("device_id", "last_day").agg(F.count("risky").alias("n"))
     recent = F.col("last_day") >= history_start(anchor, as_of, history_days).cast("date")

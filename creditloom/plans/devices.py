@@ -32,10 +32,10 @@ from creditloom.functions.packed import (
     storage_gib,
     version_number,
 )
-from creditloom.operators.aggregates import activity_span, distinct_per_window, distinct_rows
-from creditloom.operators.joins import attach, attach_spread, lookup, onto_population
+from creditloom.operators.aggregates import distinct_rows, entity_windows, window_totals
+from creditloom.operators.joins import attach_spread, lookup, onto_population
 from creditloom.operators.projections import add_prefix, days_ago_window, fill_sentinels, require_keys
-from creditloom.operators.windows import dedup, first_per_key, last_entity
+from creditloom.operators.windows import dedup, first_per_key
 
 # Operating system names in the raw log.
 ANDROID = ["android"]
@@ -224,6 +224,24 @@ def device_table(devices: DataFrame, price: DataFrame, anchor: str, lists: Devic
     return lookup(wide, prices, ["model", "brand"], ["last_price_usd"], "device_id").drop("model", "brand")
 
 
+def client_activity(used: DataFrame, key: str, windows: Sequence[int]) -> DataFrame:
+    """Per client: last device and its age, span of activity, distinct devices per window.
+
+    All come from one roll-up per (client, device), so the action log is read once.
+    """
+    age = "days_from_operation"
+    last = F.min(F.struct(F.col("youngest"), F.col("device_id"))).alias("last")
+    span = (F.max("oldest") - F.min("youngest")).alias(f"operation_duration_{max(windows)}d")
+    per_client = (
+        entity_windows(used, key, "device_id", age, windows)
+        .groupBy(key)
+        .agg(last, span, *window_totals(windows, "distinct_device_cnt"))
+    )
+    return per_client.withColumns(
+        {"device_id": F.col("last.device_id"), f"last_{age}": F.col("last.youngest")}
+    ).drop("last")
+
+
 def device_features(
     raw: DataFrame,
     price: DataFrame,
@@ -246,12 +264,8 @@ def device_features(
     else:
         table = device_table(devices, price, anchor, lists, "last")
         used = client_devices(actions, anchor, max(windows), part)
-        last = last_entity(used, key, "days_from_operation", "device_id")
-        by_client = attach_spread(last, table, ["device_id"]).drop("device_id")
-        by_client = by_client.withColumnRenamed("days_from_operation", "last_days_from_operation")
-        span = activity_span(used, key, "days_from_operation", f"operation_duration_{max(windows)}d")
-        distinct = distinct_per_window(used, key, "device_id", "days_from_operation", windows)
-        out = attach(span, [distinct, by_client], [key])
+        activity = client_activity(used, key, windows)
+        out = attach_spread(activity, table, ["device_id"]).drop("device_id")
     out = fill_sentinels(add_prefix(out, "device", [key]), NO_VALUE, None)
     out = fill_sentinels(out, None, NO_CATEGORY, ["device_last_os"])
     return out if population is None else onto_population(population, out, key)

@@ -6,7 +6,7 @@ from creditloom.operators import captures as C
 from creditloom.operators import evidence as E
 from creditloom.session import scratch_path
 from creditloom.sources.sinks import write_parquet
-from workload.base import query, table
+from workload.base import query, spread, table
 from workload.standins import ev, loan_daily
 
 NAV = "3.2.1\nJobs\nStages\nStorage\nEnvironment\nExecutors\nSQL\n"
@@ -30,7 +30,7 @@ def kinds():
 
 
 def mixed_pages(spark, d):
-    return ev(spark, d).select(
+    return spread(ev(spark, d)).select(
         page("case", F.col("user_id")).alias("case"),
         page("/captures/case", F.col("user_id"), "/jobs_", F.col("event_id"), ".txt").alias("path"),
         page(NAV, "etl_", F.col("user_id"), " application UI\n", kinds(), "\nbody application_1700000000_", F.col("event_id"), "\n")
@@ -74,7 +74,7 @@ def environment_pages(spark, d):
         "&gt;\t\n", F.when(cores.isNotNull(), page("spark.executor.cores\t", cores, "\n")).otherwise(""), "empty\t\nJobs\t7\n",
     )
     fmt = F.col("event_id") % 3
-    return ev(spark, d).select(
+    return spread(ev(spark, d)).select(
         page("case", F.col("user_id")).alias("case"),
         F.format_string("/captures/%d/env_%08d.txt", "user_id", "event_id").alias("path"),
         F.when(fmt == 0, html).when(fmt == 1, pipes).otherwise(tabs).alias("text"),
@@ -100,7 +100,7 @@ def document_pages(spark, d):
     body = F.translate(F.col("text"), "|\t\n\r", "    ")
     body = F.regexp_replace(body, " +", " ")
     tail = page("\nName\tSize\tFiles\nalpha\t", doc, "\nonly one\n\nsource   ", F.col("source"), "\nlang  ", F.col("lang"), "   extra\n\nsolo  pair\n")
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.col("lang").alias("case"), page("/captures/doc_", doc).alias("path"), page(head, body, "\n", tail).alias("text"), "doc_id"
     )
 
@@ -192,7 +192,7 @@ def stage_pages(spark, d):
         "\t", qty, F.when(line % 2 == 0, " min").otherwise(".5 s"), "\t\n", done, "/500", retries, sizes,
         "\n999999\t\nlast at Y.java:1+details\n2026/06/05 13:49:59\tUnknown\t\n0/4\n1 Pages. Jump to\n1\n",
     )
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         page("case", F.col("l_suppkey")).alias("case"), page("/c/", F.col("l_orderkey")).alias("path"), text.alias("text")
     )
 
@@ -223,7 +223,7 @@ def job_pages(spark, d):
         F.when(price % 2 == 0, " (3 skipped)\t\n").otherwise("\t\n"), price % 400, "/400",
         F.when(price % 3 == 0, page(" (", price % 7, " failed) (11 skipped)")).otherwise(""), "\n",
     )
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         page("case", F.col("o_custkey")).alias("case"), page("/j/", F.col("o_orderkey")).alias("path"), text.alias("text")
     )
 
@@ -251,7 +251,7 @@ def executor_pages(spark, d):
         NAV, "app", F.col("o_orderkey"), " application UI\nExecutors\nShow Additional Metrics\nSummary\nRDD Blocks\tStorage Memory\n",
         line("Active", n, k), line("Dead", n + 1, k + 1), line("Total", n + n + 1, k + k + 1), "Executors\nShow\n1\thost:1\tActive\t0\n",
     )
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         page("case", F.col("o_orderkey")).alias("case"), page("/e/", F.col("o_orderkey")).alias("path"), text.alias("text")
     )
 
@@ -290,7 +290,7 @@ def detail_pages(spark, d):
         " s\t", q + 1, " s\t12 s\t", q + 40, " min\nInput Size / Records\t192 KiB / 0\t59.0 MiB / 22\t", q, ".5 MiB / 23\t87.0 MiB / 32\t",
         q, " GiB / 33\nShowing 1 to 4 of 4 entries\nIndex\tTask ID\tAttempt\tStatus\n0\t40564\t0\tSUCCESS\tNODE_LOCAL\t21\n",
     )
-    return table(spark, d, "lineitem").select(
+    return spread(table(spark, d, "lineitem")).select(
         page("case", F.col("l_suppkey")).alias("case"), page("/d/", F.col("l_orderkey")).alias("path"), text.alias("text")
     )
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditloom.plans.devices import DeviceLists
-from workload.base import table
+from workload.base import spread, table
 
 LOAN_ANCHOR = "1998-06-30"
 ACTION_ANCHOR = "2024-01-31"
@@ -209,7 +209,7 @@ def device_raw(spark: SparkSession, d: str) -> DataFrame:
     millis = F.unix_millis(F.col("ts").cast("timestamp"))
     total, used = (k % 8 + 1).cast("bigint") * 1073741824, (k % 11).cast("bigint") * 900000000
     copies = F.explode(F.sequence(F.lit(1), F.when(F.col("event_id") % 10 == 0, 2).otherwise(1)))
-    return ev(spark, d).withColumn("copy", copies).select(
+    return spread(ev(spark, d)).withColumn("copy", copies).select(
         text(user).alias("device_id"),
         F.when(k % 10 == 9, "harmony").otherwise(pick(4, ["android", "android", "iOS", "iPadOS"])).alias("os"),
         F.concat(text(10 + k % 8), F.lit("."), text(k % 5)).alias("os_ver"),
@@ -335,7 +335,7 @@ def app_log(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     day = F.date_add(F.lit("2024-03-01").cast("date"), (doc % 60).cast("int"))
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         F.when(doc % 13 == 0, F.lit('{"deviceId": "x", broken')).otherwise(message).alias("message"),
         F.when(doc % 9 == 0, "other").otherwise("device-security").alias("pt_biz"),
         F.date_format(day, "yyyy-MM-dd").alias("pt_date"),
