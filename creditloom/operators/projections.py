@@ -28,8 +28,12 @@ def threshold_flags(
 
 
 def require_keys(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows whose keys are neither null nor empty."""
-    return df.where(reduce(Column.__and__, [F.col(c).isNotNull() & (F.col(c) != "") for c in cols]))
+    """Rows whose keys are not null and, where they are strings, not empty."""
+    tests = []
+    for c in cols:
+        present = F.col(c).isNotNull()
+        tests.append(present & (F.col(c) != "") if isinstance(df.schema[c].dataType, T.StringType) else present)
+    return df.where(reduce(Column.__and__, tests))
 
 
 def days_ago_window(

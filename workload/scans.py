@@ -67,12 +67,12 @@ SELECT DISTINCT lang AS "case", doc_id, CAST(length(text) AS INTEGER) AS chars F
 def io7(spark, d):
     """Write the documents as text files by language, then read them back as whole pages.
 
-    The files of a language hold its documents with a mark before each, so pages are cut at the marks.
+    A file holds at most 100 documents with marks around each, so no row grows with the table.
     """
     path = scratch_path(spark, "pages")
     mark = F.format_string("\x02%d\x03", "doc_id")
     lines = table(spark, d, "documents").select(F.concat(mark, F.col("text"), F.lit("\x04")).alias("value"), "lang")
-    lines.repartition(8).write.partitionBy("lang").text(path)
+    lines.write.option("maxRecordsPerFile", 100).partitionBy("lang").text(path)
     cut = read_pages(spark, path).select(
         F.regexp_replace("case", "^lang=", "").alias("case"),
         F.explode(F.regexp_extract_all("text", F.lit("(?s)\x02([^\x04]*)\x04"), F.lit(1))).alias("page"),

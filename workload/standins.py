@@ -355,13 +355,13 @@ SELECT strftime(ts, '%Y-%m-%d') AS pt_date, 'job_' || (event_id // 2) AS job_id,
   CASE k % 5 WHEN 0 THEN 'SPARK' WHEN 1 THEN 'MAPREDUCE' WHEN 2 THEN 'datax' WHEN 4 THEN 'hive' END AS app_type,
   CASE WHEN k = 7 THEN NULL WHEN event_type = 'error' AND k % 2 = 0 THEN 'FAILED' ELSE 'FINISHED' END AS final_state,
   CASE WHEN k % 10 <> 9 THEN k % 6 END AS attempt_number, (k // 3) % 6 AS airflow_try_number,
-  CASE WHEN k % 11 <> 0 THEN k::DOUBLE / 4.0::DOUBLE END AS avg_memory_allocate_gb,
+  CASE WHEN k % 11 <> 0 THEN k::DOUBLE / 10.0::DOUBLE END AS avg_memory_allocate_gb,
   CASE WHEN k % 13 <> 0 THEN value / 2.0::DOUBLE END AS input_size_gb,
   value AS gb_max_shuffle_read_size,
-  CASE WHEN k % 9 = 0 THEN 0.0::DOUBLE ELSE value / (1 + k % 5)::DOUBLE END AS gb_avg_shuffle_read_size,
+  CASE WHEN k % 9 = 0 THEN 0.0::DOUBLE ELSE value / (1 + (k // 5) % 4)::DOUBLE END AS gb_avg_shuffle_read_size,
   value AS gb_max_shuffle_write_size,
-  CASE WHEN k % 9 <> 1 THEN value / (1 + k % 7)::DOUBLE END AS gb_avg_shuffle_write_size,
-  k::DOUBLE AS major_gc_time, CASE WHEN k % 8 = 0 THEN 0.0::DOUBLE ELSE value * 3.0::DOUBLE END AS task_time,
+  CASE WHEN k % 9 <> 1 THEN value / (1 + k % 4)::DOUBLE END AS gb_avg_shuffle_write_size,
+  k::DOUBLE / 40.0::DOUBLE AS major_gc_time, CASE WHEN k % 8 = 0 THEN 0.0::DOUBLE ELSE value * 3.0::DOUBLE END AS task_time,
   CASE k % 3 WHEN 0 THEN value / 100.0::DOUBLE WHEN 1 THEN 0.0::DOUBLE END AS spill_disk_gb,
   CASE WHEN k % 12 <> 0 THEN value END AS elapsed_time_min, k::DOUBLE / 5.0::DOUBLE AS queue_wait_time,
   CASE WHEN k % 17 <> 0 THEN value * k::DOUBLE END AS memory_gb_hour,
@@ -391,13 +391,13 @@ def job_run(spark: SparkSession, d: str) -> DataFrame:
         F.when(k == 7, None).when((kind == "error") & (k % 2 == 0), "FAILED").otherwise("FINISHED").alias("final_state"),
         F.when(k % 10 != 9, k % 6).alias("attempt_number"),
         (F.floor(k / 3) % 6).cast("int").alias("airflow_try_number"),
-        F.when(k % 11 != 0, as_double / 4.0).alias("avg_memory_allocate_gb"),
+        F.when(k % 11 != 0, as_double / 10.0).alias("avg_memory_allocate_gb"),
         F.when(k % 13 != 0, value / 2.0).alias("input_size_gb"),
         value.alias("gb_max_shuffle_read_size"),
-        F.when(k % 9 == 0, 0.0).otherwise(value / (1 + k % 5)).alias("gb_avg_shuffle_read_size"),
+        F.when(k % 9 == 0, 0.0).otherwise(value / (1 + F.floor(k / 5) % 4)).alias("gb_avg_shuffle_read_size"),
         value.alias("gb_max_shuffle_write_size"),
-        F.when(k % 9 != 1, value / (1 + k % 7)).alias("gb_avg_shuffle_write_size"),
-        as_double.alias("major_gc_time"),
+        F.when(k % 9 != 1, value / (1 + k % 4)).alias("gb_avg_shuffle_write_size"),
+        (as_double / 40.0).alias("major_gc_time"),
         F.when(k % 8 == 0, 0.0).otherwise(value * 3.0).alias("task_time"),
         F.when(k % 3 == 0, value / 100.0).when(k % 3 == 1, 0.0).alias("spill_disk_gb"),
         F.when(k % 12 != 0, value).alias("elapsed_time_min"),
