@@ -149,7 +149,7 @@ def top_ranked(
 
     ``metrics`` maps a name to (metric column, condition that rows must meet or None). All
     metrics are ranked in one pass over the rows; the result has at most k rows per day and
-    metric whatever the size of the input.
+    metric whatever the size of the input. The smaller ``tie`` wins a tie.
     """
     entries = [
         F.struct(
@@ -160,7 +160,7 @@ def top_ranked(
         for name, (col, condition) in metrics.items()
     ]
     long = df.select(day, tie, *carry, F.inline(F.array(*entries))).where("counts")
-    order = metric_order(F.col("value"), F.col(tie))
+    order = [F.col("value").desc(), F.col(tie).asc()]
     return top_n(long, [day, "metric"], order, k, "rank").select(day, "metric", "rank", tie, *carry)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.functions.columns import at_least, exact_sum, ratio
+from creditloom.functions.columns import exact_sum, ladder, ratio
 from creditloom.functions.dates import as_date, from_epoch_ms, lit_date, month_ends, whole_months_between
 from creditloom.functions.months import month_feature
 from creditloom.operators.aggregates import pivot_months
@@ -89,37 +89,45 @@ def client_months(daily: DataFrame, months: Sequence[str]) -> DataFrame:
     the two later shuffles carry loans and clients instead of loan days.
     """
     index = range(len(months))
-    seen_month = F.last_day("pt_date")
-    per_terms = daily.groupBy(
+    # Position of a month in the list, worked out once per row; null outside of it.
+    seen_at = ladder([(F.last_day("pt_date") == lit_date(m), i) for i, m in enumerate(months)])
+    rows = daily.select(
         "client_no", "loan_no", "product_type", "tenor", "loan_disb",
         F.last_day("loan_disbursement_date").alias("disb_month"),
-    ).agg(
-        *[F.max(F.when(seen_month == lit_date(months[i]), F.col("day_past_due"))).alias(f"dpd_{i}") for i in index],
-        *[F.max(F.when(seen_month == lit_date(months[i]), 1)).alias(f"seen_{i}") for i in index],
+        seen_at.alias("at"),
+        # An unknown and a non-positive number of days are in no class; null is left to mean "not seen".
+        F.greatest(F.coalesce("day_past_due", F.lit(0)), F.lit(0)).alias("dpd"),
+    )
+    per_terms = rows.groupBy("client_no", "loan_no", "product_type", "tenor", "loan_disb", "disb_month").agg(
+        *[F.max(F.when(F.col("at") == i, F.col("dpd"))).alias(f"dpd_{i}") for i in index]
     )
     in_month = [F.col("disb_month") == lit_date(m) for m in months]
     per_loan = per_terms.groupBy("client_no", "loan_no").agg(
         *[F.max(f"dpd_{i}").alias(f"dpd_{i}") for i in index],
-        *[F.max(f"seen_{i}").alias(f"seen_{i}") for i in index],
-        *[F.sum(F.when(in_month[i], 1)).alias(f"terms_{i}") for i in index],
+        *[F.count_if(in_month[i]).alias(f"terms_{i}") for i in index],
         *[exact_sum(F.when(in_month[i], F.col("loan_disb"))).alias(f"amount_{i}") for i in index],
     )
     aggs: list[Column] = []
     for i, m in enumerate(months):
-        seen, dpd = F.col(f"seen_{i}"), F.col(f"dpd_{i}")
-        aggs.append(F.sum(seen).alias(f"{m}_count_0dpd"))
-        aggs += [F.sum(F.when(seen == 1, at_least(dpd, low))).alias(f"{m}_count_{c}") for c, low in DPD_CLASSES.items()]
-        counted = F.when(F.col("loan_no").isNull(), F.col(f"terms_{i}") * 0).otherwise(F.col(f"terms_{i}"))
-        aggs.append(F.sum(counted).alias(f"{m}_loan_disbursement_count"))
+        dpd, terms = F.col(f"dpd_{i}"), F.col(f"terms_{i}")
+        aggs.append(F.count(dpd).alias(f"_{i}"))
+        aggs += [F.count_if(dpd >= low).alias(f"{m}_count_{c}") for c, low in DPD_CLASSES.items()]
+        aggs.append(F.sum(terms).alias(f"_terms_{i}"))
+        aggs.append(F.sum(F.when(F.col("loan_no").isNotNull(), terms)).alias(f"{m}_loan_disbursement_count"))
         aggs.append(F.sum(f"amount_{i}").cast("double").alias(f"{m}_loan_disbursement_amount"))
     per_client = per_loan.groupBy("client_no").agg(*aggs)
-    return per_client.withColumns(
-        {
-            f"{m}_pct_{c}": ratio(F.col(f"`{m}_count_{c}`"), F.col(f"`{m}_count_0dpd`"))
-            for m in months
-            for c in DPD_CLASSES
-        }
-    )
+    out = [F.col("client_no")]
+    for i, m in enumerate(months):
+        loans, terms = F.col(f"_{i}"), F.col(f"_terms_{i}")
+        out.append(F.when(loans > 0, loans).alias(f"{m}_count_0dpd"))
+        for c in DPD_CLASSES:
+            late = F.col(f"`{m}_count_{c}`")
+            out.append(F.when(loans > 0, late).alias(f"{m}_count_{c}"))
+            out.append(ratio(late, loans).alias(f"{m}_pct_{c}"))
+        counted = F.coalesce(F.col(f"`{m}_loan_disbursement_count`"), F.lit(0))
+        out.append(F.when(terms > 0, counted).alias(f"{m}_loan_disbursement_count"))
+        out.append(F.col(f"`{m}_loan_disbursement_amount`"))
+    return per_client.select(*out)
 
 
 def loan_window(daily: DataFrame, anchor: str, days: int = 130) -> DataFrame:

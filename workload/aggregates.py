@@ -211,7 +211,7 @@ def ag17(spark, d):
 _TOP = """
 j AS (SELECT pt_date, job_id, task_table_name, app_queue, elapsed_time_min, memory_gb_hour FROM (
   SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC) AS r FROM job_run) WHERE r = 1),
-t AS (SELECT *, row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(memory_gb_hour, 0) DESC, md5(job_id)) AS r
+t AS (SELECT *, row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(memory_gb_hour, 0) DESC, job_id) AS r
   FROM j),
 f AS (SELECT task_table_name, pt_date, CASE WHEN r <= 40 THEN 1 ELSE 0 END AS mu_top40,
   CASE WHEN r <= 10 THEN 1 ELSE 0 END AS mu_top10 FROM t),

@@ -18,7 +18,7 @@ _STREAK = {
 
 def _rank(metric, condition):
     group = "pt_date" if condition == "TRUE" else "pt_date, q"
-    return f"row_number() OVER (PARTITION BY {group} ORDER BY coalesce({metric}, 0) DESC, md5(job_id))"
+    return f"row_number() OVER (PARTITION BY {group} ORDER BY coalesce({metric}, 0) DESC, job_id)"
 
 
 _RANKS = ", ".join(f"CASE WHEN {cond} THEN {_rank(metric, cond)} END AS r_{name}" for name, (metric, cond) in _STREAK.items())

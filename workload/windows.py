@@ -108,9 +108,9 @@ _RANKED = """
 j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC) AS r0
   FROM job_run) WHERE r0 = 1),
 c AS (SELECT *, CASE WHEN regexp_matches(lower(app_queue), 'p0|p1') THEN 1 ELSE 0 END AS q FROM j),
-r AS (SELECT *, row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(memory_gb_hour, 0) DESC, md5(job_id)) AS mu,
-  row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(elapsed_time_min, 0) DESC, md5(job_id)) AS rt,
-  row_number() OVER (PARTITION BY pt_date, q ORDER BY coalesce(elapsed_time_min, 0) DESC, md5(job_id)) AS rq FROM c)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(memory_gb_hour, 0) DESC, job_id) AS mu,
+  row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(elapsed_time_min, 0) DESC, job_id) AS rt,
+  row_number() OVER (PARTITION BY pt_date, q ORDER BY coalesce(elapsed_time_min, 0) DESC, job_id) AS rq FROM c)"""
 
 
 @query("tk1_daily_top_flags", f"WITH {_RANKED} SELECT pt_date, job_id, " + ", ".join(f"""
