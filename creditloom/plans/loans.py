@@ -84,9 +84,9 @@ def client_months(daily: DataFrame, months: Sequence[str]) -> DataFrame:
     Columns per month end: ``count_0dpd`` (loans seen), ``count_<class>``, ``pct_<class>``,
     ``loan_disbursement_count`` and ``loan_disbursement_amount``. A month without rows is null.
 
-    The daily table is read and shuffled once: the days of a loan collapse, before the shuffle, to
-    one row with the worst day past due of each month. Both feature groups continue from there, so
-    the two later shuffles carry loans and clients instead of loan days.
+    The daily table is read and shuffled once for both feature groups: the first aggregate turns
+    the days of a loan into one row with the worst day past due of each month, and the two later
+    shuffles carry loans and clients only. Days within one task are combined before the shuffle.
     """
     index = range(len(months))
     # Position of a month in the list, worked out once per row; null outside of it.
