@@ -121,7 +121,10 @@ def rank_per_day(
         rows.groupBy(day, group).agg(F.percentile_approx("_v", cuts, 100 * slices).alias("_cuts"))
     )
     keys = [day, group]
-    placed = rows.join(bounds, keys)
+    # Null-safe, so that rows without a day are ranked among themselves.
+    cut_keys = {k: f"_cut_{k}" for k in keys}
+    bounds = bounds.withColumnsRenamed(cut_keys)
+    placed = rows.join(bounds, [F.col(k).eqNullSafe(F.col(c)) for k, c in cut_keys.items()]).drop(*cut_keys.values())
     higher = F.size(F.filter("_cuts", lambda c: c > F.col("_v")))
     frequent = F.size(F.filter("_cuts", lambda c: c == F.col("_v"))) > 1
     slot = F.struct(
@@ -138,7 +141,11 @@ def rank_per_day(
         .drop("_n")
     )
     inside = Window.partitionBy(*keys, "_slot").orderBy(F.col("_v").desc(), "_h", F.col(tie).cast("string"))
-    numbered = placed.withColumn("_pos", F.row_number().over(inside)).join(offsets, [*keys, "_slot"])
+    slot_keys = {k: f"_at_{k}" for k in [*keys, "_slot"]}
+    offsets = offsets.withColumnsRenamed(slot_keys)
+    numbered = placed.withColumn("_pos", F.row_number().over(inside)).join(
+        offsets, [F.col(k).eqNullSafe(F.col(c)) for k, c in slot_keys.items()]
+    )
     return numbered.select(*df.columns, (F.col("_before") + F.col("_pos")).cast("int").alias(out))
 
 

@@ -156,9 +156,9 @@ def test_lookup_and_labels_and_tags(spark, daily):
 
 @pytest.mark.parametrize("slices", [4, 64])
 def test_rank_per_day_equals_window(spark, slices):
-    """Half of all metrics are equal, so whole slices hold one value."""
+    """Half of all metrics are equal, so whole slices hold one value; some rows have no day."""
     rng = random.Random(6)
-    data = [(f"d{rng.randrange(2)}", i, rng.choice([None, 5.0, 5.0, 5.0, rng.random() * 10]), rng.choice([None, "p0"]))
+    data = [(rng.choice(["d0", "d1", None]), i, rng.choice([None, 5.0, 5.0, 5.0, rng.random() * 10]), rng.choice([None, "p0"]))
             for i in range(3000)]
     df = spark.createDataFrame(data, "day string, id int, m double, q string")
     cls = F.when(F.col("q").isNotNull(), 1).otherwise(0)
