@@ -87,7 +87,7 @@ def window_starts(n_words: int) -> list[int]:
 
 
 def _cut(scores: np.ndarray, labels: np.ndarray, clean_weight: float = 3.0) -> float:
-    """The middle of the best range for a threshold; a clean document lost weighs ``clean_weight``."""
+    """A threshold in the best range, nearer its upper end; a clean document lost weighs ``clean_weight``."""
     order = np.argsort(scores)
     scores, labels = scores[order], labels[order]
     missed = np.concatenate([[0], np.cumsum(labels == 1)])
@@ -95,7 +95,7 @@ def _cut(scores: np.ndarray, labels: np.ndarray, clean_weight: float = 3.0) -> f
     cost = missed + clean_weight * flagged
     best = np.flatnonzero(cost == cost.min())
     bounds = np.concatenate([[scores[0] - 1], scores, [scores[-1] + 1]]) if len(scores) else np.zeros(3)
-    return float((bounds[best[0]] + bounds[best[-1] + 1]) / 2)
+    return float(bounds[best[0]] * 0.25 + bounds[best[-1] + 1] * 0.75)
 
 
 class ToxicityNet:
