@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import minhash, mixing, preference, simhash
-from creditloom.llm.common import table
+from creditloom.llm import lines, minhash, mixing, pii, preference, sentence_pieces, simhash, suffix_tree, toxicity, warc
+from creditloom.llm.common import held_out, table
 from creditloom.session import pin_settings
 
+#: Vocabulary file of a public tokenizer.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -74,11 +77,54 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_preferences(pairs)
 
 
+@query("op2_suffix_tree_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op3_line_labelling")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.judge_lines(docs, lines.fit_field(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op4_one_permutation_minhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.compared_with_next(table(spark, sf_dir, "documents"))
 
 
+@query("op5_toxicity_scores")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, net).select(
+        "doc_id",
+        held_out("doc_id", toxicity.FOLDS).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query(
+    "op6_warc_archives",
+    """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p
+), m AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id
+  FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM m
+""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op7_simhash_components")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -86,6 +132,20 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+@query("op8_sentence_pieces")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentence_pieces.encode_documents(docs, sentence_pieces.load_encoder(PIECES))
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.fit_spans(docs))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return found.select("doc_id", *counts, F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @query(
     "op10_weighted_fair_mix",
     """

@@ -83,7 +83,7 @@ def running_total(df: DataFrame, groups: list[str], bucket: str, order: list[Col
     )
 
 
-def fair_mix(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS) -> DataFrame:
+def fair_mix(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS, digest: bool = False) -> DataFrame:
     """One row per document and repeat that the mix takes from.
 
     Columns: row_id, doc_id, source, size, source_size, target, repeat (0, 1, ...; null where the mix
@@ -100,6 +100,7 @@ def fair_mix(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS) -> DataFr
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(text_of()).alias("size"),
+            *([F.xxhash64(text_of(), F.col("source")).alias("digest")] if digest else []),
         ),
         "mix-sizes",
     )
@@ -146,7 +147,8 @@ def fair_mix(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS) -> DataFr
     placed = running_total(timed.withColumn("_all", F.lit(0)), ["_all"], "_slot", order, "taken_here", "position")
     over = F.greatest(F.col("position") - F.col("_budget"), F.lit(0))
     return placed.withColumn("taken_here", F.greatest(F.col("taken_here") - over, F.lit(0))).select(
-        "row_id", "doc_id", "source", "size", "source_size", "target", "repeat", "finish", "taken_here", "position"
+        "row_id", "doc_id", "source", "size", "source_size", "target", "repeat", "finish", "taken_here", "position",
+        *(["digest"] if digest else []),
     )
 
 
@@ -162,3 +164,31 @@ def mix(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS) -> DataFrame:
         )
         .drop("row_id")
     )
+
+
+def mixed_documents(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS) -> DataFrame:
+    """The documents of the mix: one row per repeat that is taken, cut where a source's time ended.
+
+    All columns stay. Rows are matched to their repeats by doc_id, text digest and place among equal
+    ones, so repeated rows keep their number; texts are shuffled once. A row that is cut holds its
+    first words, as many as were taken, and its n_chars.
+    """
+    keys = ["_doc", "_digest", "_nth"]
+    same = Window.partitionBy("_doc", "_digest").orderBy("_size")
+    id_or_least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.withColumns({"_doc": id_or_least, "_digest": F.xxhash64(text_of(), F.col("source")), "_size": word_count(text_of())})
+    rows = rows.repartition("_doc", "_digest").withColumn("_nth", F.row_number().over(same))
+    parts = fair_mix(docs, seed, most, digest=True).where("taken_here > 0")
+    order = Window.partitionBy("_doc", "_digest", "repeat").orderBy("row_id")
+    parts = parts.select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("digest").alias("_digest"), "repeat", "row_id", "taken_here"
+    ).withColumn("_nth", F.row_number().over(order))
+    joined = rows.join(parts.select(*keys, "taken_here"), keys)
+    # The pattern's repeat count is bounded by the engine, so the cut is made on the list of words' ends.
+    cut = F.array_join(F.slice(F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"), 1, F.col("taken_here").cast("int")), "")
+    text = F.when(F.col("taken_here") < F.col("_size"), cut).otherwise(F.col("text"))
+    out = joined.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("taken_here") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars)
+    return out.select(*docs.columns)
