@@ -220,6 +220,18 @@ class Encoder:
         spelled = self.byte_ids[symbols[np.minimum(np.repeat(left, times) + within, len(symbols) - 1)]]
         return np.where(np.repeat(bare, times), spelled, np.repeat(ids, times)), np.repeat(owner, times)
 
+    def state(self) -> dict:
+        """Plain values, for broadcasting to workers that lack this module."""
+        v = self.vocabulary
+        return {**self.__dict__, "vocabulary": (v.pieces, v.scores, v.kinds)}
+
+    @classmethod
+    def of_state(cls, state: dict) -> Encoder:
+        encoder = cls.__new__(cls)
+        encoder.__dict__.update(state)
+        encoder.vocabulary = Vocabulary(*state["vocabulary"])
+        return encoder
+
     def stretches(self, text: str) -> list[str]:
         if not text:
             return []
@@ -293,10 +305,10 @@ def encode_documents(docs: DataFrame, encoder: Encoder) -> DataFrame:
     added = ["token_ids", "n_tokens", "n_byte_tokens", "round_trip"]
     rows = docs.drop(*added).withColumn("text", F.col("text").cast("string"))
     kept = [c for c in rows.columns if c != "text"]
-    model = docs.sparkSession.sparkContext.broadcast(encoder)
+    model = docs.sparkSession.sparkContext.broadcast(encoder.state())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = TaskEncoder(model.value)
+        local = TaskEncoder(Encoder.of_state(model.value))
         byte_piece = local.encoder.vocabulary.kinds == BYTE
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
@@ -328,10 +340,10 @@ def encode_documents(docs: DataFrame, encoder: Encoder) -> DataFrame:
 def decode_documents(encoded: DataFrame, encoder: Encoder) -> DataFrame:
     """All columns, and ``text`` decoded from token_ids; null ids give a null text."""
     rows = encoded.drop("text")
-    model = encoded.sparkSession.sparkContext.broadcast(encoder)
+    model = encoded.sparkSession.sparkContext.broadcast(encoder.state())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = model.value
+        local = Encoder.of_state(model.value)
         for batch in batches:
             texts = [None if ids is None else local.decode(ids) for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
