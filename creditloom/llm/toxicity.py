@@ -25,7 +25,7 @@ from creditloom.llm.common import column_bytes, held_out, slices
 
 #: Bound of the fit sample: clean and toxic documents, those with the smallest digest of their id, and
 #: words of a document (longer ones are not in the sample).
-FIT_DOCS, FIT_WORDS = (2500, 1000), 1200
+FIT_DOCS, FIT_WORDS = (2000, 800), 800
 FOLDS = 5
 WINDOW, STRIDE = 24, 16
 WORD_SIZE, CHAR_SIZE, HIDDEN = 4, 6, 8
@@ -51,7 +51,17 @@ class Words:
     starts: np.ndarray
 
 
-def word_rows(words: list[bytes]) -> Words:
+def word_rows(words: list[bytes], at_once: int = 25_000) -> Words:
+    """Rows of distinct words; many words are hashed in parts, which bounds what is held meanwhile."""
+    if len(words) <= at_once:
+        return _word_rows(words)
+    parts = [_word_rows(words[at : at + at_once]) for at in range(0, len(words), at_once)]
+    sizes = np.cumsum([0] + [len(p.grams) for p in parts])
+    starts = np.concatenate([p.starts + size for p, size in zip(parts, sizes, strict=False)])
+    return Words(np.concatenate([p.word for p in parts]), np.concatenate([p.grams for p in parts]), starts)
+
+
+def _word_rows(words: list[bytes]) -> Words:
     marked = [b"<" + (w.strip(_EDGES) or w) + b">" for w in words]
     sizes = np.array([len(m) for m in marked], dtype=np.int64)
     flat = np.frombuffer(b"".join(marked), dtype=np.uint8).astype(np.uint64)
@@ -242,7 +252,7 @@ class ToxicityNet:
                 window[: len(part)] = part
                 windows.append(window)
                 owner.append(i)
-        windows, owner = np.array(windows), np.array(owner)
+        windows, owner = np.array(windows, dtype=np.int32), np.array(owner)
         aside = np.zeros(len(texts), dtype=bool)
         for label in (0, 1):
             aside[np.flatnonzero(labels == label)[3::4]] = True
