@@ -173,22 +173,31 @@ def mixed_documents(docs: DataFrame, seed: int = 7, most: int = MOST_REPEATS) ->
     ones, so repeated rows keep their number; texts are shuffled once. A row that is cut holds its
     first words, as many as were taken, and its n_chars.
     """
-    keys = ["_doc", "_digest", "_nth"]
-    same = Window.partitionBy("_doc", "_digest").orderBy("_size")
-    id_or_least = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    rows = docs.withColumns({"_doc": id_or_least, "_digest": F.xxhash64(text_of(), F.col("source")), "_size": word_count(text_of())})
-    rows = rows.repartition("_doc", "_digest").withColumn("_nth", F.row_number().over(same))
+    keys = ["_mix_doc", "_mix_digest", "_mix_nth"]
+    same = Window.partitionBy("_mix_doc", "_mix_digest").orderBy("_mix_size")
+    least = F.lit(-(1 << 63))
+    digest = F.xxhash64(text_of(), F.col("source"))
+    rows = docs.withColumns(
+        {"_mix_doc": F.coalesce(F.col("doc_id").cast("long"), least), "_mix_digest": digest, "_mix_size": word_count(text_of())}
+    )
+    rows = rows.repartition("_mix_doc", "_mix_digest").withColumn("_mix_nth", F.row_number().over(same))
     parts = fair_mix(docs, seed, most, digest=True).where("taken_here > 0")
-    order = Window.partitionBy("_doc", "_digest", "repeat").orderBy("row_id")
+    order = Window.partitionBy("_mix_doc", "_mix_digest", "repeat").orderBy("row_id")
     parts = parts.select(
-        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("digest").alias("_digest"), "repeat", "row_id", "taken_here"
-    ).withColumn("_nth", F.row_number().over(order))
-    joined = rows.join(parts.select(*keys, "taken_here"), keys)
-    # The pattern's repeat count is bounded by the engine, so the cut is made on the list of words' ends.
-    cut = F.array_join(F.slice(F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)"), 1, F.col("taken_here").cast("int")), "")
-    text = F.when(F.col("taken_here") < F.col("_size"), cut).otherwise(F.col("text"))
+        F.coalesce("doc_id", least).alias("_mix_doc"),
+        F.col("digest").alias("_mix_digest"),
+        "repeat",
+        "row_id",
+        F.col("taken_here").alias("_mix_taken"),
+    ).withColumn("_mix_nth", F.row_number().over(order))
+    joined = rows.join(parts.select(*keys, "_mix_taken"), keys)
+    # Words with what separates them from the word before; the first words of a text join to its start.
+    pieces = F.expr(r"regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+', 0)")
+    cut = F.array_join(F.slice(pieces, 1, F.col("_mix_taken").cast("int")), "")
+    partly = F.col("_mix_taken") < F.col("_mix_size")
+    text = F.when(partly, cut).otherwise(F.col("text"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("taken_here") < F.col("_size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+        n_chars = F.when(partly, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", n_chars)
     return out.select(*docs.columns)

@@ -391,8 +391,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int]
     return ToxicityNet.fit(texts, np.array([r.toxic for r in sample], dtype=np.int64))
 
 
-def score_toxicity(docs: DataFrame, net: ToxicityNet) -> DataFrame:
-    """All columns of ``docs`` and ``toxicity``, 0 to 1. Null and empty texts are scored as no words."""
+def score_toxicity(docs: DataFrame, net: ToxicityNet, out: str = "toxicity") -> DataFrame:
+    """All columns of ``docs`` and ``out``, 0 to 1, which replaces a column of that name. Null and empty texts are scored as no words."""
     model = docs.sparkSession.sparkContext.broadcast(net.weights)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,8 +401,8 @@ def score_toxicity(docs: DataFrame, net: ToxicityNet) -> DataFrame:
             for batch in slices(whole, "text", 4 << 20):
                 scores = scorer.score(column_bytes(batch.column("text")))
                 columns = [batch.column(n) for n in batch.schema.names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*batch.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(scores)], [*batch.schema.names, out])
 
-    rows = docs.withColumn("text", F.col("text").cast("string")).drop("toxicity")
+    rows = docs.withColumn("text", F.col("text").cast("string")).drop(out)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(score, f"{schema}, toxicity double")
+    return rows.mapInArrow(score, f"{schema}, `{out}` double")

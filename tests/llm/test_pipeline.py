@@ -4,6 +4,8 @@ import corpus_pipeline
 from creditloom.llm import toxicity
 from creditloom.llm.common import kept_in_store
 
+from llm_fixtures import no_docs, odd_docs, sample  # noqa: F401  (fixtures)
+
 SF = "/root/testdata/sf0.01"
 
 
