@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a document without a label or a doc_id is scored like any other.
     """
     net = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, net).where(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    scored = toxicity.score_toxicity(docs, net, "_toxicity_score")
+    return scored.where(F.col("_toxicity_score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
