@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.dates import lit_date
 
-HOT_KEYS = 64
-HOT_ROWS = 1_000_000
+#: A key is hot if it holds more than this part of an even share of a shuffle partition's rows.
+HOT_SHARE = 0.25
 
 
 def attach(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -24,12 +24,13 @@ def attach(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) ->
 
 
 def attach_spread(
-    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", hot_rows: int = HOT_ROWS
+    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", hot_share: float = HOT_SHARE
 ) -> DataFrame:
     """Join ``side`` (unique on the keys) onto rows whose keys may be badly skewed.
 
-    Of the keys with more than ``hot_rows`` rows, the most frequent go through a broadcast of at
-    most 64 rows, so their rows are not sent to one task. All others take the ordinary shuffle
+    Keys with more than ``hot_share`` of the rows that an even shuffle partition has go through a
+    broadcast, so their rows are not sent to one task. With P partitions no more than P / hot_share
+    keys can be that frequent, whatever the data, so the broadcast is bounded and no key is left out. All others take the ordinary shuffle
     join, and rows with a missing key, which cannot match, take none. Without hot keys adaptive
     execution drops the broadcast branch before it reads anything. A column ``_n`` of ``side``
     tells the rows per key when the caller has counted them already; else they are counted here.
@@ -41,7 +42,9 @@ def attach_spread(
     # The filter keeps the count in both uses of the side, so that its shuffle can be shared.
     side = side.where(F.col("_n") > 0) if counted else side
     weights = side if counted else rows.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = weights.orderBy(F.desc("_n"), *keys).limit(HOT_KEYS).where(F.col("_n") > hot_rows)
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = weights.agg(F.sum("_n").alias("_all"))
+    heavy = weights.crossJoin(F.broadcast(total)).where(F.col("_n") * partitions > F.col("_all") * hot_share).drop("_all")
     if counted:
         hot = heavy.withColumn("_match", F.lit(1))
     else:
@@ -60,10 +63,10 @@ def attach_spread(
     return out
 
 
-def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot_share: float = HOT_SHARE) -> DataFrame:
     """Every row with an aggregate of its key; rows with a missing key are dropped."""
     per_key = df.groupBy(*keys).agg(value.alias(out), F.count(F.lit(1)).alias("_n"))
-    return attach_spread(df, per_key, keys, "inner", hot_rows)
+    return attach_spread(df, per_key, keys, "inner", hot_share)
 
 
 def expand_validity(

@@ -24,6 +24,16 @@ from creditloom.plans.loans import MODEL_FEATURES, build_sample, delinquency_spe
 INTERCEPT = "(intercept)"
 
 
+def _is_in(col: Column, values: list[str]) -> Column:
+    """Membership by text, and by value where all listed values are numbers: 1 and 1.0 are equal."""
+    try:
+        numbers = [float(v) for v in values]
+    except ValueError:
+        return col.cast("string").isin(values)
+    by_value = F.coalesce(col.cast("string").try_cast("double").isin(numbers), F.lit(False))
+    return col.cast("string").isin(values) | by_value
+
+
 def rule_condition(col: Column, rule: Mapping) -> Column:
     op = rule["op"]
     if op == "lt":
@@ -33,7 +43,7 @@ def rule_condition(col: Column, rule: Mapping) -> Column:
     if op == "between":
         return col.between(F.lit(rule["lo"]), F.lit(rule["hi"]))
     if op == "in":
-        return col.cast("string").isin(list(rule["values"]))
+        return _is_in(col, list(rule["values"]))
     if op == "is_null":
         return col.isNull()
     if op == "else":

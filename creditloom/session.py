@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +17,18 @@ def pin_settings(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach.
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or one next to the warehouse's tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, where every
-    task runs in this process, may fall back to a temporary folder.
+    The same rule holds for every master, so no job writes to a machine's own temporary folder.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    folder = tempfile.mkdtemp(prefix="creditloom-")
-    context.setCheckpointDir(folder)
-    return folder
+    if not named and context.getCheckpointDir():
+        named = context.getCheckpointDir()
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from creditloom.functions.dates import as_date
 
-MAX_RULES = 10_000
 
 PRICE_SCHEMA = "model string, brand string, grass_date string, price_usd_median double"
 WOE_SCHEMA = "feature string, stage string, ord int, op string, lo double, hi double, `values` array<string>, out double"
@@ -73,9 +72,7 @@ def load_scorer(path: str) -> tuple[VectorAssembler, GeneralizedLinearRegression
 def load_woe(spark: SparkSession, path: str) -> list[dict]:
     """Rules of a scorecard from Parquet (see ``creditloom.plans.scoring``).
 
-    They turn into one expression, so their number is checked instead of being assumed small.
+    Rules describe a model, not data: they are as many as its bins, and turn into one expression.
     """
-    rows = spark.read.schema(WOE_SCHEMA).parquet(path).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules under {path}")
+    rows = spark.read.schema(WOE_SCHEMA).parquet(path).collect()
     return [row.asDict() for row in rows]

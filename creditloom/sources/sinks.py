@@ -35,24 +35,37 @@ def write_orc(df: DataFrame, path: str, files: int | None = 10) -> None:
     _spread(df, files).write.mode("overwrite").orc(path)
 
 
+def _partition_columns(spark: SparkSession, table: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+
+
 def _insert(df: DataFrame, table: str) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
+    """Overwrite the partitions the frame has rows of, with the rows of a partition in few files."""
+    parts = _partition_columns(df.sparkSession, table)
+    shaped = df.hint("rebalance", *[F.col(p) for p in parts]) if parts else _spread(df, None)
+    shaped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").insertInto(table)
 
 
 def replace_partition(df: DataFrame, table: str, part: Mapping[str, object]) -> None:
-    """Replace one partition of a table by the frame; other partitions stay as they are."""
-    full = df.withColumns({k: F.lit(v) for k, v in part.items()})
-    _insert(full.select(*df.sparkSession.table(table).columns), table)
+    """Replace one partition of a table by the frame, also by an empty one; others stay as they are."""
+    insert_overwrite_partition(df, table, part)
+
 
+def _name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def insert_overwrite_partition(df: DataFrame, table: str, part: Mapping[str, str]) -> None:
+
+def insert_overwrite_partition(df: DataFrame, table: str, part: Mapping[str, object]) -> None:
     """SQL form with a static partition; the partition is emptied even when the frame is empty."""
     spark = df.sparkSession
     cols = [c for c in spark.table(table).columns if c not in part]
-    spec = ", ".join(f"{k} = '{v}'" for k, v in part.items())
-    spark.sql(
-        f"INSERT OVERWRITE TABLE {table} PARTITION ({spec}) SELECT {', '.join(cols)} FROM {{rows}}", rows=df
-    )
+
+    def text(value: object) -> str:
+        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    spec = ", ".join(f"{_name(k)} = {text(v)}" for k, v in part.items())
+    rows = _spread(df.select(*cols), None)
+    spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({spec}) SELECT {', '.join(map(_name, cols))} FROM {{rows}}", rows=rows)
 
 
 def insert_aligned(
@@ -60,12 +73,12 @@ def insert_aligned(
 ) -> list[str]:
     """Insert by name into a table whose column order may differ; create it when absent.
 
-    Returns the target columns that the frame lacks. They are reported, and the write is refused
-    rather than filled with guesses.
+    A write that lacks target columns is refused rather than filled with guesses. Returns the
+    columns of the frame that the target lacks, which are not written.
     """
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        writer = df.write.mode("overwrite").partitionBy(*parts)
+        writer = df.hint("rebalance", *map(F.col, parts)).write.mode("overwrite").partitionBy(*parts)
         (writer.option("path", path) if path else writer).saveAsTable(table)
         return []
     target = spark.table(table).columns
@@ -73,7 +86,7 @@ def insert_aligned(
     if missing:
         raise ValueError(f"{table} has columns the data lacks: {', '.join(missing)}")
     _insert(df.select(*target), table)
-    return missing
+    return [c for c in df.columns if c not in target]
 
 
 def publish_table(

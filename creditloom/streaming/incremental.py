@@ -29,16 +29,14 @@ def merge_latest(state: DataFrame, today: DataFrame, keys: Sequence[str], order:
 
 
 def stream_latest(
-    stream: DataFrame, keys: Sequence[str], ts: str, delay: str, order: Sequence[Column], path: str, checkpoint: str
+    stream: DataFrame, keys: Sequence[str], order: Sequence[Column], path: str, checkpoint: str
 ) -> StreamingQuery:
     """Keep the latest record per key of an event stream under ``path``.
 
-    Repeated events (same key and time) within the allowed delay are dropped by the watermark.
-    Each micro-batch writes a complete state version named after its batch id, from the version
+    Late and repeated events need no watermark: the order decides whatever the time of arrival, so
+    none is lost. Each micro-batch writes a complete state version named after its batch id, from the version
     before it, so a repeated batch overwrites its own version only.
     """
-    events = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
-
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = first_per_key(batch, keys, order)
@@ -47,7 +45,7 @@ def stream_latest(
         rows.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return (
-        events.writeStream.foreachBatch(merge)
+        stream.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)

@@ -104,7 +104,7 @@ def test_stream_latest_continues_from_its_state(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(schema).parquet(source)
-        stream_latest(stream, ["k"], "ts", "1 hour", [F.desc("ts"), F.asc("v")], path, checkpoint).awaitTermination()
+        stream_latest(stream, ["k"], [F.desc("ts"), F.asc("v")], path, checkpoint).awaitTermination()
         return rows(read_state(spark, path).select("k", F.col("ts").cast("string"), "v"))
 
     add([("a", "2024-01-01 10:00:00", "1"), ("a", "2024-01-01 10:00:00", "1"), ("a", "2024-01-01 10:05:00", "2")])

@@ -59,10 +59,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before work that is heavy per row.
-
-    The given files are small and hold one row group each, so one task would do everything. A
-    table with at least as many splits as cores is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows dealt over all cores before work that is heavy per row; always a shuffle, whatever the size."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
