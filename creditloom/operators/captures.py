@@ -52,15 +52,19 @@ TIME_UNITS = {"ms": 0.001, "s": 1.0, "min": 60.0, "h": 3600.0}
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
 
 STAMP = r"\d{4}/\d\d/\d\d \d\d:\d\d:\d\d"
-STAGE_ENTRY = (
-    r"(?m)^\d+\t\n(?:(?!\d+\t\n)[^\n]*\n)+?(?:" + STAMP + r"|Unknown)\t[^\t\n]*\t?\n\d+/\d+[^\n]*"
-    r"(?:\n[^\n]*\d (?:B|KiB|MiB|GiB|TiB|PiB)(?:\t[^\n]*|(?=\n|$)))?"
-)
+# Entries are found line by line: an expression over many lines would recurse once per line.
+STAGE_START = r"^\d+\t$"
+STAGE_TIMES = r"^(?:" + STAMP + r"|Unknown)\t[^\t]*\t?$"
+SIZES = r"\d (?:B|KiB|MiB|GiB|TiB|PiB)(?:\t|$)"
 # A job id may be followed by its group in brackets.
-JOB_ENTRY = (
-    r"(?m)^\d+(?: \([^)\n]*\))?\t\n(?:(?!\d+(?: \([^)\n]*\))?\t\n)[^\n]*\n)*?[^\n]*\t(?:" + STAMP + r"|Unknown)\t[^\t\n]*\t[^\n]*\n\d+/\d+[^\n]*"
-)
-EXECUTOR_ENTRY = r"(?m)^(?:Active|Dead|Total)\(\d+\)\t[^\n]*"
+JOB_START = r"^\d+(?: \([^)]*\))?\t$"
+JOB_TIMES = r"\t(?:" + STAMP + r"|Unknown)\t[^\t]*\t"
+DONE_OF_ALL = r"^\d+/\d+"
+TASK_START = r"^\d+\t\d+\t\d+[^\t]*\t[A-Z]+\t[A-Z_]+\t"
+TASK_TIMES = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\t"
+TASK_HEADER = "Index\tTask ID\t"
+EXECUTOR_LINE = r"^(?:driver|\d+)\t[^\t]+:\d+\t(?:Active|Dead)"
+EXECUTOR_TOTAL = r"^(?:Active|Dead|Total)\(\d+\)\t"
 SUMMARY_ENTRY = r"(?m)^[A-Z][^\t\n]*\t[^\t\n]*\d[^\t\n]*\t[^\t\n]+\t[^\t\n]+\t[^\t\n]+\t[^\t\n]+$"
 
 
@@ -199,9 +203,10 @@ def environment_pairs(pages: DataFrame) -> DataFrame:
         .when(F.size(from_pipes) > 0, from_pipes)
         .otherwise(from_tabs)
     )
-    found = pages.select("case", "path", F.posexplode(chosen).alias("pos", "pair"))
-    found = found.select("case", "path", "pos", F.col("pair.k").alias("key"), F.col("pair.v").alias("value"))
-    return found.groupBy("case", "path", "key").agg(F.max_by("value", "pos").alias("value"))
+    ordered = F.sort_array(F.transform(chosen, lambda p, i: F.struct(p["k"].alias("k"), i.alias("pos"), p["v"].alias("v"))))
+    found = pages.select("case", "path", ordered.alias("pairs"))
+    last = F.filter("pairs", lambda p, i: F.coalesce(F.get("pairs", i + 1)["k"] != p["k"], F.lit(True)))
+    return found.select("case", "path", F.inline(F.transform(last, lambda p: F.struct(p["k"].alias("key"), p["v"].alias("value")))))
 
 
 def text_tables(pages: DataFrame) -> DataFrame:
@@ -254,11 +259,39 @@ def table_references(sources: DataFrame, prefixes: Sequence[str] = tuple(TABLE_P
 
 
 def _entries(pages: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """One row per match of the pattern, as the lines of the match."""
-    found = pages_of(pages, kind).select(
-        "case", "path", "app_name", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("entry")
+    """One row per line that matches the pattern."""
+    found = pages_of(pages, kind).select("case", "path", "app_name", F.explode(_lines(F.col("text"))).alias("entry"))
+    return found.where(F.col("entry").rlike(pattern))
+
+
+def _blocks(pages: DataFrame, kind: str, start: str) -> DataFrame:
+    """One row per line that matches ``start``: it and the lines up to the next such line.
+
+    All positions are found inside the page's array of lines, each line once.
+    """
+    lined = pages_of(pages, kind).withColumn("page_lines", _lines(F.col("text")))
+    at = F.transform("page_lines", lambda x, i: F.when(x.rlike(start), i))
+    lined = lined.withColumn("starts", F.filter(at, lambda i: i.isNotNull()))
+    spans = F.transform(
+        "starts",
+        lambda s, i: F.slice("page_lines", s + 1, F.coalesce(F.get("starts", i + 1), F.size("page_lines")) - s),
+    )
+    return lined.withColumn("lines", F.explode(spans)).drop("page_lines", "starts")
+
+
+def _ended(blocks: DataFrame, first: int, times: str, after: str) -> DataFrame:
+    """Blocks cut behind their first line of times, from line ``first`` on, that a line like ``after`` follows.
+
+    Blocks without one are no entries. ``rest`` is the line behind the two, empty if there is none.
+    """
+    ends = F.transform(
+        "lines",
+        lambda x, i: F.when((i >= first) & x.rlike(times) & F.coalesce(F.get("lines", i + 1).rlike(after), F.lit(False)), i),
+    )
+    found = blocks.withColumn("end", F.array_min(ends)).where(F.col("end").isNotNull())
+    return found.withColumn("rest", F.coalesce(F.get("lines", F.col("end") + 2), F.lit(""))).withColumn(
+        "lines", F.slice("lines", 1, F.col("end") + 2)
     )
-    return found.withColumn("lines", F.split("entry", "\n"))
 
 
 def _line(back: int) -> Column:
@@ -289,17 +322,16 @@ def stage_rows(pages: DataFrame) -> DataFrame:
     where the copied text kept their tabs. Where empty cells were lost, a size cannot be told from
     its position: it stays null, ``sizes_known`` is false and ``sizes_text`` holds the page's text.
     """
-    rows = _entries(pages, "stages", STAGE_ENTRY)
-    no_sizes = _line(1).rlike(r"^\d+/\d+(?![\d/])")
+    rows = _ended(_blocks(pages, "stages", STAGE_START), 2, STAGE_TIMES, DONE_OF_ALL)
     rows = rows.select(
         "case",
         "path",
         "app_name",
-        F.substring_index(F.get("lines", F.lit(0)), "\t", 1).cast("int").alias("stage_id"),
-        F.when(no_sizes, _line(3)).otherwise(_line(4)).alias("action"),
-        F.split(F.when(no_sizes, _line(2)).otherwise(_line(3)), "\t").alias("timing"),
-        F.when(no_sizes, _line(1)).otherwise(_line(2)).alias("tasks"),
-        F.when(no_sizes, "").otherwise(_line(1)).alias("sizes_text"),
+        F.substring_index(F.get("lines", F.lit(0)), "\t", 1).try_cast("int").alias("stage_id"),
+        _line(3).alias("action"),
+        F.split(_line(2), "\t").alias("timing"),
+        _line(1).alias("tasks"),
+        F.when(F.col("rest").rlike(SIZES), F.col("rest")).otherwise("").alias("sizes_text"),
     ).withColumn("sizes", F.split("sizes_text", "\t"))
     known = F.size("sizes") >= 4
 
@@ -329,11 +361,11 @@ def stage_rows(pages: DataFrame) -> DataFrame:
 
 def job_rows(pages: DataFrame) -> DataFrame:
     """One row per job of the job pages."""
-    rows = _entries(pages, "jobs", JOB_ENTRY).select(
+    rows = _ended(_blocks(pages, "jobs", JOB_START), 1, JOB_TIMES, DONE_OF_ALL).select(
         "case",
         "path",
         "app_name",
-        F.substring_index(F.substring_index(F.get("lines", F.lit(0)), "\t", 1), " ", 1).cast("int").alias("job_id"),
+        F.substring_index(F.substring_index(F.get("lines", F.lit(0)), "\t", 1), " ", 1).try_cast("int").alias("job_id"),
         F.split(_line(2), "\t").alias("timing"),
         _line(1).alias("tasks"),
     )
@@ -358,9 +390,9 @@ def job_rows(pages: DataFrame) -> DataFrame:
     )
 
 
-def executor_rows(pages: DataFrame) -> DataFrame:
+def executor_totals(pages: DataFrame) -> DataFrame:
     """The Active, Dead and Total lines of executor pages, read by column position."""
-    rows = _entries(pages, "executors", EXECUTOR_ENTRY).withColumn("c", F.split("entry", "\t"))
+    rows = _entries(pages, "executors", EXECUTOR_TOTAL).withColumn("c", F.split("entry", "\t"))
 
     def cell(i: int) -> Column:
         return F.get("c", F.lit(i))
@@ -384,6 +416,88 @@ def executor_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def executor_rows(pages: DataFrame) -> DataFrame:
+    """One row per executor of executor pages, the driver included, read by column position."""
+    rows = _entries(pages, "executors", EXECUTOR_LINE).withColumn("c", F.split("entry", "\t"))
+
+    def cell(i: int) -> Column:
+        return F.get("c", F.lit(i))
+
+    return rows.select(
+        "case",
+        "path",
+        "app_name",
+        cell(0).alias("executor_id"),
+        F.substring_index(cell(1), ":", 1).alias("host"),
+        F.lower(F.regexp_extract(cell(2), r"^(\w+)", 1)).alias("state"),
+        cell(6).try_cast("int").alias("cores"),
+        cell(7).try_cast("int").alias("active_tasks"),
+        cell(8).try_cast("int").alias("failed_tasks"),
+        cell(9).try_cast("int").alias("complete_tasks"),
+        cell(10).try_cast("int").alias("total_tasks"),
+        to_seconds(F.substring_index(cell(11), " (", 1)).alias("task_time_s"),
+        to_seconds(F.regexp_extract(cell(11), r"\(([^)]*)\)", 1)).alias("gc_time_s"),
+        to_bytes(cell(12)).alias("input_bytes"),
+        to_bytes(cell(13)).alias("shuffle_read_bytes"),
+        to_bytes(cell(14)).alias("shuffle_write_bytes"),
+    )
+
+
+def task_rows(pages: DataFrame) -> DataFrame:
+    """One row per task of stage detail pages.
+
+    The copied text puts the links to logs on lines of their own, so a task is a line up to its
+    host and a line from its launch time on. Metrics are found by the names in the table's header;
+    a page shows only those that the stage has.
+    """
+    names = _heading()
+    marked = pages_of(pages, "stage_detail").select(
+        "case",
+        "path",
+        "text",
+        F.regexp_extract(names, r"Stage (\d+)", 1).try_cast("int").alias("stage_id"),
+        F.regexp_extract(names, r"\(Attempt (\d+)\)", 1).try_cast("int").alias("stage_attempt"),
+        F.split(F.get(F.filter(_lines(F.col("text")), lambda x: x.startswith(TASK_HEADER)), F.lit(0)), "\t").alias("header"),
+    )
+    rows = _ended(_blocks(marked, "stage_detail", TASK_START), 0, "", TASK_TIMES)
+    # The line of times is the last one of what _ended leaves.
+    rows = rows.withColumns({"head": F.split(F.get("lines", F.lit(0)), "\t"), "tail": F.split(_line(1), "\t")})
+
+    def cell(i: int) -> Column:
+        return F.get("head", F.lit(i))
+
+    def named(name: str) -> Column:
+        at = F.array_position("header", name) - F.array_position("header", "Launch Time")
+        return F.when(F.array_contains("header", name), F.get("tail", at.cast("int")))
+
+    def sized(name: str) -> list[Column]:
+        text, out = named(f"{name} Size / Records"), name.lower().replace(" ", "_")
+        return [
+            to_bytes(F.substring_index(text, " / ", 1)).alias(f"{out}_bytes"),
+            F.substring_index(text, " / ", -1).try_cast("long").alias(f"{out}_records"),
+        ]
+
+    return rows.select(
+        "case",
+        "path",
+        "app_name",
+        "stage_id",
+        "stage_attempt",
+        cell(1).try_cast("long").alias("task_id"),
+        cell(2).try_cast("int").alias("attempt"),
+        cell(3).alias("status"),
+        cell(4).alias("locality"),
+        cell(5).alias("executor_id"),
+        cell(6).alias("host"),
+        F.try_to_timestamp(F.get("tail", F.lit(0)), F.lit("yyyy-MM-dd HH:mm:ss")).alias("launched"),
+        to_seconds(named("Duration")).alias("duration_s"),
+        to_seconds(named("GC Time")).alias("gc_time_s"),
+        *sized("Input"),
+        *sized("Shuffle Read"),
+        *sized("Shuffle Write"),
+    )
+
+
 def stage_summary(pages: DataFrame) -> DataFrame:
     """Summary metrics of stage detail pages: minimum to maximum per metric, in seconds or bytes."""
     heading = _heading()

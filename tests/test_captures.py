@@ -31,12 +31,16 @@ EXECUTORS = NAV + (
     "Active(10)\t0\t0.0 B / 82 GiB\t0.0 B\t36\t0\t0\t12623\t12623\t111.9 h (16 min)\t401.1 GiB\t2.2 TiB\t592.2 GiB\t0\n"
     "Dead(64)\t0\t0.0 B / 552.9 GiB\t0.0 B\t256\t5\t251\t41504\t41760\t164.3 h (45 min)\t1.3 TiB\t2.8 TiB\t1.8 TiB\t0\n"
     "Total(74)\t0\t0.0 B / 634.9 GiB\t0.0 B\t292\t5\t251\t54127\t54383\t276.2 h (1.0 h)\t1.7 TiB\t5 TiB\t2.4 TiB\t0\nExecutors\nShow\n"
+    "driver\thost-a.dc:37883\tActive\t0\t0.0 B / 4.2 GiB\t0.0 B\t0\t0\t0\t0\t0\t0.0 ms (0.0 ms)\t0.0 B\t0.0 B\t0.0 B\t\nstdout\nstderr\n"
+    "7\thost-b.dc:42551\tDead\t0\t0.0 B / 8.6 GiB\t0.0 B\t4\t0\t4\t1982\t1986\t9.2 h (2.0 min)\t69.3 GiB\t160.1 GiB\t102.5 GiB\t\nstdout\n"
 )
 DETAIL = NAV + (
     "Details for Stage 65 (Attempt 2)\nSummary Metrics for 11251 Completed Tasks\nMetric\tMin\t25th percentile\tMedian\t75th percentile\tMax\n"
     "Duration\t0.8 s\t9 s\t10 s\t12 s\t42 s\nGC Time\t0.0 ms\t49.0 ms\t66.0 ms\t93.0 ms\t1 s\n"
     "Input Size / Records\t192 KiB / 0\t59.3 MiB / 22\t63.5 MiB / 23\t87.6 MiB / 32\t88.9 MiB / 33\nTasks (11367)\n"
-    "Index\tTask ID\tAttempt\tStatus\tLocality level\tExecutor ID\n0\t40564\t0\tSUCCESS\tNODE_LOCAL\t21\n"
+    "Index\tTask ID\tAttempt\tStatus\tLocality level\tExecutor ID\tHost\tLogs\tLaunch Time\tDuration\tGC Time\tInput Size / Records\tErrors\n"
+    "0\t40564\t0\tSUCCESS\tNODE_LOCAL\t21\thost-a.dc\t\nstdout\nstderr\n2026-06-05 11:09:45\t13 s\t0.3 s\t88.5 MiB / 3297280\t\n"
+    "1\t40541\t1\tFAILED\tANY\t4\thost-b.dc\t\nstdout\nstderr\n2026-06-05 11:09:43\t16 s\t\t\tlost\n"
 )
 SETTINGS = NAV + "Environment\n Spark Properties\nName\tValue\nspark.executor.cores\t4\nspark.sql.shuffle.partitions\t200\nspark.driver.extra\t\n"
 
@@ -74,12 +78,35 @@ def test_job_rows(pages):
 
 
 def test_executor_summary(pages):
-    got = C.executor_summary(C.executor_rows(pages)).first()
+    got = C.executor_summary(C.executor_totals(pages)).first()
     assert (got["active"], got["dead"], got["total"], got["cores"]) == (10, 64, 74, 292)
     assert (got["failed_tasks"], got["complete_tasks"], got["total_tasks"]) == (251, 54127, 54383)
     assert got["gc_time_s"] == 3600.0
 
 
+def test_rows_of_executors_and_tasks(pages):
+    got = {r["executor_id"]: r for r in C.executor_rows(pages).collect()}
+    assert set(got) == {"driver", "7"} and got["driver"]["state"] == "active"
+    assert (got["7"]["host"], got["7"]["state"], got["7"]["failed_tasks"], got["7"]["total_tasks"]) == ("host-b.dc", "dead", 4, 1986)
+    assert (got["7"]["gc_time_s"], got["7"]["shuffle_write_bytes"]) == (120.0, 102.5 * 1024**3)
+    tasks = {r["task_id"]: r for r in C.task_rows(pages).collect()}
+    assert set(tasks) == {40564, 40541}
+    first, second = tasks[40564], tasks[40541]
+    assert (first["stage_id"], first["stage_attempt"], first["duration_s"], first["gc_time_s"]) == (65, 2, 13.0, 0.3)
+    assert (first["input_bytes"], first["input_records"], first["shuffle_read_bytes"]) == (88.5 * 1024**2, 3297280, None)
+    assert (second["status"], second["attempt"], second["host"], second["gc_time_s"], second["input_bytes"]) == ("FAILED", 1, "host-b.dc", None, None)
+
+
+def test_very_long_entries(spark):
+    """A description of 50,000 lines is one entry; no expression recurses over lines."""
+    text = "x\n" * 50_000
+    stage = NAV + "Stages for All Jobs\n7\t\n" + text + "save at X.java:0+details\n2026/06/05 11:34:09\t2 s\t\n3/4\n"
+    job = NAV + "Spark Jobs (?)\n8\t\n" + text + "save at X\t2026/06/05 11:34:09\t2 s\t1/1\t\n5/6\n"
+    more = spark.createDataFrame([("c", "s", stage), ("c", "j", job)], "case string, path string, text string")
+    assert rows(C.stage_rows(more).select("stage_id", "tasks_done", "duration_s", "action")) == [(7, 3, 2.0, "save at X.java:0")]
+    assert rows(C.job_rows(more).select("job_id", "tasks_done", "action")) == [(8, 5, "save at X")]
+
+
 def test_stage_summary(pages):
     got = {r["metric"]: r for r in C.stage_summary(pages).collect()}
     assert set(got) == {"Duration", "GC Time", "Input Size / Records"}

@@ -246,10 +246,17 @@ def executor_pages(spark, d):
             "\t", executors * 100 + extra, "\t", executors, ".5 h (", extra, " min)\t", executors, " GiB\t2.5 TiB\t592.0 MiB\t0\n",
         )
 
+    def executor(i):
+        return page(
+            F.when(i == 0, "driver").otherwise(i.cast("string")), "\thost-", i, ".dc:", i + 30000, "\t", F.when(i % 2 == 0, "Active").otherwise("Dead"),
+            "\t0\t0.0 B / 8.6 GiB\t0.0 B\t4\t0\t", i, "\t", n * 100, "\t", n * 100 + i, "\t", n, ".5 h (", k, " min)\t", n, " GiB\t2.5 TiB\t592.0 MiB\t\nstdout\nstderr\n",
+        )
+
     n, k = (F.col("o_custkey") % 40).cast("int") + 1, (F.col("o_orderkey") % 30).cast("int")
     text = page(
         NAV, "app", F.col("o_orderkey"), " application UI\nExecutors\nShow Additional Metrics\nSummary\nRDD Blocks\tStorage Memory\n",
-        line("Active", n, k), line("Dead", n + 1, k + 1), line("Total", n + n + 1, k + k + 1), "Executors\nShow\n1\thost:1\tActive\t0\n",
+        line("Active", n, k), line("Dead", n + 1, k + 1), line("Total", n + n + 1, k + k + 1), "Executors\nShow\n20\n entries\n",
+        "Executor ID\tAddress\tStatus\tRDD Blocks\n", F.array_join(F.transform(F.sequence(F.lit(0), n % 4), executor), ""),
     )
     return spread(table(spark, d, "orders")).select(
         page("case", F.col("o_orderkey")).alias("case"), page("/e/", F.col("o_orderkey")).alias("path"), text.alias("text")
@@ -263,12 +270,24 @@ x AS (SELECT 'case' || o_orderkey AS "case", 'app' || o_orderkey AS app_name, 'a
   UNION ALL SELECT 'case' || o_orderkey, 'app' || o_orderkey, 'total', n + n + 1, k + k + 1 FROM o)"""
 
 
-@query("ev8_executor_rows", f"""WITH {_EXECUTORS}
+@query("ev8_executor_totals", f"""WITH {_EXECUTORS}
 SELECT "case", state, e AS executors, e * 4 AS cores, f AS active_tasks, f + 1 AS failed_tasks, e * 100 AS complete_tasks,
   e * 100 + f AS total_tasks, (e + 0.5::DOUBLE) * 3600 AS task_time_s, f * 60.0::DOUBLE AS gc_time_s,
   e * 1073741824.0::DOUBLE AS input_bytes, 2.5::DOUBLE * 1099511627776 AS shuffle_read_bytes,
   592 * 1048576.0::DOUBLE AS shuffle_write_bytes FROM x""")
 def ev8_executors(spark, d):
+    return C.executor_totals(executor_pages(spark, d)).drop("path", "app_name")
+
+
+@query("ev8_executor_rows", """
+WITH o AS (SELECT o_orderkey, CAST(o_custkey % 40 AS INTEGER) + 1 AS n, CAST(o_orderkey % 30 AS INTEGER) AS k FROM orders),
+x AS (SELECT *, CAST(unnest(range(n % 4 + 1)) AS INTEGER) AS i FROM o)
+SELECT 'case' || o_orderkey AS "case", CASE WHEN i = 0 THEN 'driver' ELSE '' || i END AS executor_id, 'host-' || i || '.dc' AS host,
+  CASE WHEN i % 2 = 0 THEN 'active' ELSE 'dead' END AS state, 4 AS cores, 0 AS active_tasks, i AS failed_tasks,
+  n * 100 AS complete_tasks, n * 100 + i AS total_tasks, (n + 0.5::DOUBLE) * 3600 AS task_time_s, k * 60.0::DOUBLE AS gc_time_s,
+  n * 1073741824.0::DOUBLE AS input_bytes, 2.5::DOUBLE * 1099511627776 AS shuffle_read_bytes,
+  592 * 1048576.0::DOUBLE AS shuffle_write_bytes FROM x""")
+def ev8_each_executor(spark, d):
     return C.executor_rows(executor_pages(spark, d)).drop("path", "app_name")
 
 
@@ -279,16 +298,25 @@ SELECT "case", app_name, max(e) FILTER (state = 'active') AS active, max(e) FILT
   max(e * 100 + f) FILTER (state = 'total') AS total_tasks, max((e + 0.5::DOUBLE) * 3600) FILTER (state = 'total') AS task_time_s,
   max(f * 60.0::DOUBLE) FILTER (state = 'total') AS gc_time_s FROM x GROUP BY ALL""")
 def ev16(spark, d):
-    return C.executor_summary(C.executor_rows(executor_pages(spark, d)))
+    return C.executor_summary(C.executor_totals(executor_pages(spark, d)))
 
 
 def detail_pages(spark, d):
     q = F.col("l_quantity").cast("int")
+
+    def task(i):
+        return page(
+            i, "\t", i + 40000, "\t0\t", F.when(i == 1, "FAILED").otherwise("SUCCESS"), "\tNODE_LOCAL\t", q, "\thost-", i, ".dc\t\nstdout\nstderr\n",
+            "2026-06-05 11:09:45\t", q, " s\t0.5 s\t", q, ".5 MiB / ", i + 7, "\t1.5 GiB / ", q, "\t\n",
+        )
+
     text = page(
         NAV, "etl application UI\nDetails for Stage ", F.col("l_orderkey"), " (Attempt 0)\nTotal Time Across All Tasks: 33.0 h\n",
         "Summary Metrics for 200 Completed Tasks\nMetric\tMin\t25th percentile\tMedian\t75th percentile\tMax\nDuration\t0.8 s\t", q,
         " s\t", q + 1, " s\t12 s\t", q + 40, " min\nInput Size / Records\t192 KiB / 0\t59.0 MiB / 22\t", q, ".5 MiB / 23\t87.0 MiB / 32\t",
-        q, " GiB / 33\nShowing 1 to 4 of 4 entries\nIndex\tTask ID\tAttempt\tStatus\n0\t40564\t0\tSUCCESS\tNODE_LOCAL\t21\n",
+        q, " GiB / 33\nShowing 1 to 4 of 4 entries\nIndex\tTask ID\tAttempt\tStatus\tLocality level\tExecutor ID\tHost\tLogs\tLaunch Time\t",
+        "Duration\tGC Time\tInput Size / Records\tShuffle Write Size / Records\tErrors\n",
+        F.array_join(F.transform(F.sequence(F.lit(0), q % 3), task), ""), "Showing 1 to 3 of 3 entries\n",
     )
     return spread(table(spark, d, "lineitem")).select(
         page("case", F.col("l_suppkey")).alias("case"), page("/d/", F.col("l_orderkey")).alias("path"), text.alias("text")
@@ -305,6 +333,19 @@ def ev9_pages(spark, d):
     return C.stage_summary(detail_pages(spark, d)).drop("path", "app_name", "attempt")
 
 
+@query("ev9_task_rows", """
+WITH s AS (SELECT 'case' || l_suppkey AS "case", CAST(l_orderkey AS INTEGER) AS stage_id, CAST(l_quantity AS INTEGER) AS q FROM lineitem),
+t AS (SELECT *, unnest(range(q % 3 + 1)) AS i FROM s)
+SELECT "case", stage_id, 0 AS stage_attempt, CAST(i + 40000 AS BIGINT) AS task_id, 0 AS attempt,
+  CASE WHEN i = 1 THEN 'FAILED' ELSE 'SUCCESS' END AS status, 'NODE_LOCAL' AS locality, '' || q AS executor_id, 'host-' || i || '.dc' AS host,
+  '2026-06-05 11:09:45' AS launched, q::DOUBLE AS duration_s, 0.5::DOUBLE AS gc_time_s, (q + 0.5::DOUBLE) * 1048576 AS input_bytes,
+  CAST(i + 7 AS BIGINT) AS input_records, CAST(NULL AS DOUBLE) AS shuffle_read_bytes, CAST(NULL AS BIGINT) AS shuffle_read_records,
+  1.5::DOUBLE * 1073741824 AS shuffle_write_bytes, CAST(q AS BIGINT) AS shuffle_write_records FROM t""")
+def ev9_tasks(spark, d):
+    rows = C.task_rows(detail_pages(spark, d)).drop("path", "app_name")
+    return rows.withColumn("launched", F.date_format("launched", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("ev9_task_distribution", """
 WITH p AS (SELECT l_suppkey, count(*) AS tasks, min(l_quantity) AS min, quantile_disc(l_quantity, 0.25) AS p25,
   quantile_disc(l_quantity, 0.5) AS median, quantile_disc(l_quantity, 0.75) AS p75, quantile_disc(l_quantity, 0.95) AS p95,
