@@ -30,8 +30,8 @@ def attach_spread(
 
     Keys with more than ``hot_share`` of the rows that an even shuffle partition has go through a
     broadcast, so their rows are not sent to one task. With P partitions no more than P / hot_share
-    keys can be that frequent, whatever the data, so the broadcast is bounded and no key is left out. All others take the ordinary shuffle
-    join, and rows with a missing key, which cannot match, take none. Without hot keys adaptive
+    keys can be that frequent, whatever the data, so the broadcast is bounded and no key is left
+    out. All others take the ordinary shuffle join, and rows with a missing key, which cannot match, take none. Without hot keys adaptive
     execution drops the broadcast branch before it reads anything. A column ``_n`` of ``side``
     tells the rows per key when the caller has counted them already; else they are counted here.
     """
@@ -91,17 +91,9 @@ def tag_in_list(df: DataFrame, key: str, items: Sequence[str] | DataFrame, out:
     return df.withColumn(out, F.when(F.col(key).isin(list(items)), 1).otherwise(0))
 
 
-def lookup(
-    df: DataFrame, dim: DataFrame, keys: Sequence[str], cols: Sequence[str], row_id: str, salts: int = 8
-) -> DataFrame:
-    """Columns of a dimension that is unique on the keys, for rows with a unique ``row_id``.
-
-    A dimension small enough is broadcast by Spark. One that is not is repeated once per salt, and
-    the rows of a frequent key spread over the salts by their id. The rows are read once either way.
-    """
-    salted = dim.select(*keys, *cols, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    rows = df.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    return rows.join(salted, [*keys, "_salt"], "left").select(*df.columns, *cols)
+def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Columns of a dimension that is unique on the keys; rows with a missing key get nulls."""
+    return attach_spread(df, dim.select(*keys, *cols), keys)
 
 
 def attach_last_entity(clients: DataFrame, last: DataFrame, features: DataFrame, key: str, entity: str) -> DataFrame:

@@ -8,6 +8,7 @@ than any other. A rank for *every* row cannot use that limit; see ``rank_per_day
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,53 +99,32 @@ def rank_per_day(
     cls: Column | None = None,
     top: int | None = None,
     out: str = "rank",
-    slices: int = 64,
 ) -> DataFrame:
     """Rank of each row within its day (and class) by a metric; ``tie`` must be unique in a day.
 
-    With ``top`` only the first rows are kept and the group limit applies. Without it every row
-    is ranked exactly, yet no task receives a whole day: each day is cut into slices at
-    approximate quantiles, the slices are counted, and a row's rank is the size of all earlier
-    slices plus its position in its own slice. A value frequent enough to fill whole slices is
-    split further by the id digest, which is also the tie order.
+    With ``top`` only the first rows are kept and the group limit applies. Without it every row is
+    ranked exactly, yet no task receives a whole day: the rows are range-sorted by day, metric and
+    id digest into as many parts as a shuffle has, the days' rows are counted per part, and a row's
+    rank is the number of its day's rows in earlier parts plus its position in its own. The sort is
+    materialised when this is called, because counting and numbering must use the same parts.
     """
     group = "_cls"
     rows = df.withColumn(group, cls if cls is not None else F.lit(0))
+    order = metric_order(F.col(metric), F.col(tie))
     if top is not None:
-        return top_n(rows, [day, group], metric_order(F.col(metric), F.col(tie)), top, out).drop(group)
-
-    rows = rows.withColumn("_v", F.coalesce(F.col(metric).cast("double"), F.lit(0.0)))
-    rows = rows.withColumn("_h", F.md5(F.col(tie).cast("string")))
-    cuts = [i / slices for i in range(1, slices)]
-    # Pinned: ranks are right for any cuts, as long as counting and numbering use the same ones.
-    bounds = pinned(
-        rows.groupBy(day, group).agg(F.percentile_approx("_v", cuts, 100 * slices).alias("_cuts"))
-    )
-    keys = [day, group]
+        return top_n(rows, [day, group], order, top, out).drop(group)
+
+    keys = [day, group, "_part"]
+    placed = pinned(rows.repartitionByRange(F.col(day), F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(day, group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # A part holds the end of one day, whole days and the start of another, so this is small.
+    offsets = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    at = {k: f"_at_{k}" for k in keys}
+    offsets = offsets.withColumnsRenamed(at)
     # Null-safe, so that rows without a day are ranked among themselves.
-    cut_keys = {k: f"_cut_{k}" for k in keys}
-    bounds = bounds.withColumnsRenamed(cut_keys)
-    placed = rows.join(bounds, [F.col(k).eqNullSafe(F.col(c)) for k, c in cut_keys.items()]).drop(*cut_keys.values())
-    higher = F.size(F.filter("_cuts", lambda c: c > F.col("_v")))
-    frequent = F.size(F.filter("_cuts", lambda c: c == F.col("_v"))) > 1
-    slot = F.struct(
-        higher.alias("s"),
-        frequent.cast("int").alias("f"),
-        F.when(frequent, F.substring("_h", 1, 2)).otherwise("").alias("h"),
-    )
-    placed = placed.withColumn("_slot", slot).drop("_cuts")
-    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*keys, "_slot")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*keys, "_slot").orderBy(F.col("_v").desc(), "_h", F.col(tie).cast("string"))
-    slot_keys = {k: f"_at_{k}" for k in [*keys, "_slot"]}
-    offsets = offsets.withColumnsRenamed(slot_keys)
-    numbered = placed.withColumn("_pos", F.row_number().over(inside)).join(
-        offsets, [F.col(k).eqNullSafe(F.col(c)) for k, c in slot_keys.items()]
+    numbered = placed.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).join(
+        offsets, [F.col(k).eqNullSafe(F.col(c)) for k, c in at.items()]
     )
     return numbered.select(*df.columns, (F.col("_before") + F.col("_pos")).cast("int").alias(out))
 
@@ -154,15 +134,25 @@ def top_ranked(
 ) -> DataFrame:
     """(day, metric name, rank, carried columns) of the first ``k`` rows per day and metric.
 
-    ``metrics`` maps a name to (metric column, condition that rows must meet or None). All
-    metrics are ranked in one pass over the rows; the result has at most k rows per day and
-    metric whatever the size of the input. The smaller ``tie`` wins a tie.
+    ``metrics`` maps a name to (metric column, condition that rows must meet or None). Metrics of
+    one type are ranked in one pass over the rows and compared in that type; the result has at most
+    k rows per day and metric whatever the size of the input. The smaller ``tie`` wins a tie.
     """
+    by_type: dict[str, dict[str, tuple[str, Column | None]]] = {}
+    for name, (col, condition) in metrics.items():
+        by_type.setdefault(df.schema[col].dataType.simpleString(), {})[name] = (col, condition)
+    tops = [_top_of_one_type(df, day, carry, alike, k, tie) for alike in by_type.values()]
+    return reduce(DataFrame.unionByName, tops)
+
+
+def _top_of_one_type(
+    df: DataFrame, day: str, carry: Sequence[str], metrics: Mapping[str, tuple[str, Column | None]], k: int, tie: str
+) -> DataFrame:
     entries = [
         F.struct(
             F.lit(name).alias("metric"),
             (F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))).alias("counts"),
-            F.coalesce(F.col(col).cast("double"), F.lit(0.0)).alias("value"),
+            F.coalesce(F.col(col), F.lit(0)).alias("value"),
         )
         for name, (col, condition) in metrics.items()
     ]

@@ -221,7 +221,7 @@ def device_table(devices: DataFrame, price: DataFrame, anchor: str, lists: Devic
         *[F.col(c).alias(before + c) for c in averages],
     )
     prices = latest_price(price).withColumnRenamed("price_usd_median", "last_price_usd")
-    return lookup(wide, prices, ["model", "brand"], ["last_price_usd"], "device_id").drop("model", "brand")
+    return lookup(wide, prices, ["model", "brand"], ["last_price_usd"]).drop("model", "brand")
 
 
 def client_activity(used: DataFrame, key: str, windows: Sequence[int]) -> DataFrame:

@@ -12,7 +12,7 @@ from creditloom.functions.columns import any_in_list
 from creditloom.functions.dates import month_ends
 from creditloom.operators.aggregates import activity_span, distinct_per_window, pivot_months
 from creditloom.operators.joins import attach_labels, attach_spread, expand_validity, lookup, tag_in_list, with_group_value
-from creditloom.operators.windows import latest_snapshot, rank_per_day
+from creditloom.operators.windows import latest_snapshot, rank_per_day, top_ranked
 from creditloom.plans.apps import app_features, app_features_stepwise
 from creditloom.plans.loans import DPD_CLASSES, build_sample, client_months
 
@@ -145,7 +145,7 @@ def test_with_group_value_equals_window(daily, hot_share):
 def test_lookup_and_labels_and_tags(spark, daily):
     df = daily.select("client_no", "tenor").withColumn("id", F.monotonically_increasing_id())
     dim = spark.createDataFrame([("c0", 0, "p"), ("c1", 1, "q")], "client_no string, tenor int, name string")
-    same(lookup(df, dim, ["client_no", "tenor"], ["name"], "id"), df.join(dim, ["client_no", "tenor"], "left"))
+    same(lookup(df, dim, ["client_no", "tenor"], ["name"]), df.join(dim, ["client_no", "tenor"], "left"))
     labels = spark.createDataFrame([("c0", 1), ("c1", None)], "client_no string, top int")
     got = attach_labels(df, labels, "client_no")
     assert got.agg(F.sum("top")).first()[0] == df.where("client_no = 'c0'").count()
@@ -154,9 +154,20 @@ def test_lookup_and_labels_and_tags(spark, daily):
     same(tag_in_list(df, "client_no", items, "t"), tag_in_list(df, "client_no", ["c0", "c2"], "t"))
 
 
-@pytest.mark.parametrize("slices", [4, 64])
-def test_rank_per_day_equals_window(spark, slices):
-    """Half of all metrics are equal, so whole slices hold one value; some rows have no day."""
+def test_ranks_compare_metrics_in_their_own_type(spark):
+    """Neighbours beyond 2^53 are one double, so are decimals of many digits."""
+    big = 1 << 60
+    df = spark.range(200).selectExpr("'d' AS day", "id", f"{big} + id AS m")
+    df = df.withColumn("c", F.concat(F.lit("7."), F.lpad(F.col("id").cast("string"), 20, "0")).cast("decimal(38,20)"))
+    for metric in ("m", "c"):
+        ranks = rank_per_day(df, "day", metric, "id").select("id", "rank").collect()
+        assert all(r["rank"] == 200 - r["id"] for r in ranks) and len(ranks) == 200
+    tops = top_ranked(df.withColumn("d", F.col("id").cast("double")), "day", [], {"m": ("m", None), "c": ("c", None), "d": ("d", None)}, 3, "id")
+    assert sorted((r["metric"], r["rank"], r["id"]) for r in tops.collect()) == [(m, k, 200 - k) for m in "cdm" for k in (1, 2, 3)]
+
+
+def test_rank_per_day_equals_window(spark):
+    """Half of all metrics are equal, so whole parts hold one value; some rows have no day."""
     rng = random.Random(6)
     data = [(rng.choice(["d0", "d1", None]), i, rng.choice([None, 5.0, 5.0, 5.0, rng.random() * 10]), rng.choice([None, "p0"]))
             for i in range(3000)]
@@ -164,7 +175,7 @@ def test_rank_per_day_equals_window(spark, slices):
     cls = F.when(F.col("q").isNotNull(), 1).otherwise(0)
     order = [F.coalesce("m", F.lit(0.0)).desc(), F.md5(F.col("id").cast("string")), F.col("id").cast("string")]
     plain = df.withColumn("rank", F.row_number().over(Window.partitionBy("day", cls).orderBy(*order)))
-    same(rank_per_day(df, "day", "m", "id", cls, slices=slices), plain)
+    same(rank_per_day(df, "day", "m", "id", cls), plain)
     same(rank_per_day(df, "day", "m", "id", cls, top=7), plain.where("rank <= 7"))
 
 

@@ -135,7 +135,7 @@ def j6(spark, d):
         F.concat(F.lit("brand#"), (F.col("user_id") % 30).cast("string")).alias("brand"),
     )
     dim = latest_price(price(spark, d)).withColumnRenamed("price_usd_median", "last_price_usd")
-    return lookup(rows, dim, ["model", "brand"], ["last_price_usd"], "event_id")
+    return lookup(rows, dim, ["model", "brand"], ["last_price_usd"])
 
 
 _LAST = """
@@ -196,13 +196,11 @@ def j11(spark, d):
 
 @query("j12_attach_month_value", """
 SELECT a.client_no, a.pt_date, a.tenor, m.worst FROM accounts a
-LEFT JOIN (SELECT client_no, pt_date, max(dpd) AS worst FROM accounts WHERE tenor < 5 GROUP BY ALL) m
+LEFT JOIN (SELECT client_no, pt_date, max(dpd) AS worst FROM accounts GROUP BY ALL) m
   ON m.client_no = a.client_no AND CAST(m.pt_date AS DATE) = last_day(CAST(a.pt_date AS DATE) - to_months(1))""", ["accounts"])
 def j12(spark, d):
     rows = accounts(spark, d).select("client_no", "pt_date", "tenor", "dpd")
-    monthly = month_rollup(
-        rows, ["client_no"], "pt_date", [F.max("dpd").alias("worst")], where=F.col("tenor") < 5
-    )
+    monthly = month_rollup(rows, ["client_no"], "pt_date", [F.max("dpd").alias("worst")])
     return attach_month_value(rows.drop("dpd"), monthly, "client_no", "pt_date", "month", -1)
 
 
