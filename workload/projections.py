@@ -141,23 +141,24 @@ def pf11(spark, d):
 
 _HALVES = """
 a AS (SELECT event_id, value, k AS android_cores FROM ev WHERE event_type = 'click'),
-b AS (SELECT event_id, value, 'apple' AS brand, user_id AS ios_memory FROM ev WHERE event_type = 'view')"""
+b AS (SELECT event_id, value, 'apple' AS brand, user_id AS ios_memory FROM ev WHERE event_type IS DISTINCT FROM 'click')"""
 
 
 def halves(spark, d):
     rows = ev(spark, d)
     a = rows.where(F.col("event_type") == "click").select("event_id", "value", F.col("k").alias("android_cores"))
-    b = rows.where(F.col("event_type") == "view").select(
+    b = rows.where(~F.col("event_type").eqNullSafe("click")).select(
         "event_id", "value", F.lit("apple").alias("brand"), F.col("user_id").alias("ios_memory")
     )
     return a, b
 
 
 @query("pf12_align_columns", f"""WITH {_HALVES}
-SELECT event_id, value, 'other' AS brand, CAST(-999997 AS BIGINT) AS ios_memory, android_cores FROM a""", ["ev"])
+SELECT 'first' AS side, event_id, value, 'other' AS brand, CAST(-999997 AS BIGINT) AS ios_memory, android_cores FROM a
+UNION ALL SELECT 'second', event_id, value, brand, ios_memory, -999997 FROM b""", ["ev"])
 def pf12(spark, d):
-    a, b = halves(spark, d)
-    return align_columns(a, b, -999997, {"brand": "other"})[0]
+    first, second = align_columns(*halves(spark, d), -999997, {"brand": "other"})
+    return first.withColumn("side", F.lit("first")).unionByName(second.withColumn("side", F.lit("second")))
 
 
 @query("un1_union_aligned", f"""WITH {_HALVES}

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from creditloom.functions.dates import month_ends
+from creditloom.operators.joins import tag_in_list
 from creditloom.session import scratch_path
 from creditloom.sources.scans import dim_from_list, read_merged, read_pages, read_price, run_sql, scan_dates, scan_window
 from workload.base import query, table
@@ -55,11 +56,12 @@ def io5(spark, d):
 
 
 @query("io6_dim_from_list", """
-SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS wanted
+FROM orders""")
 def io6(spark, d):
     wanted = dim_from_list(spark, ["2-HIGH", "1-URGENT", "2-HIGH"], "o_orderpriority")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return orders.join(wanted, "o_orderpriority")
+    return tag_in_list(orders, "o_orderpriority", wanted, "wanted")
 
 
 @query("io7_read_pages", """

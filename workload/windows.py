@@ -71,10 +71,10 @@ def w5(spark, d):
 
 @query("w6_dedup_attempts", """
 SELECT pt_date, job_id, user_id, strftime(started_date, '%Y-%m-%d %H:%M:%S') AS started FROM (
-  SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC) AS r FROM job_run)
+  SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC, user_id) AS r FROM job_run)
 WHERE r = 1""", ["job_run"])
 def w6(spark, d):
-    rows = dedup(job_run(spark, d), ["pt_date", "job_id"], [F.desc("started_date")])
+    rows = dedup(job_run(spark, d), ["pt_date", "job_id"], [F.desc("started_date"), F.asc("user_id")])
     return rows.select("pt_date", "job_id", "user_id", F.date_format("started_date", "yyyy-MM-dd HH:mm:ss").alias("started"))
 
 
@@ -105,7 +105,7 @@ def w8(spark, d):
 
 
 _RANKED = """
-j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC) AS r0
+j AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC, user_id) AS r0
   FROM job_run) WHERE r0 = 1),
 c AS (SELECT *, CASE WHEN regexp_matches(lower(app_queue), 'p0|p1') THEN 1 ELSE 0 END AS q FROM j),
 r AS (SELECT *, row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(memory_gb_hour, 0) DESC, job_id) AS mu,
@@ -118,7 +118,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY pt_date ORDER BY coalesce(memory
   CASE WHEN q = 1 AND rq <= {k} THEN 1 ELSE 0 END AS p0_p1_runtime_top{k},
   CASE WHEN q = 0 AND rq <= {k} THEN 1 ELSE 0 END AS non_p0_p1_runtime_top{k}""" for k in (100, 50)) + " FROM r", ["job_run"])
 def tk1(spark, d):
-    jobs = dedup(job_run(spark, d), ["pt_date", "job_id"], [F.desc("started_date")])
+    jobs = dedup(job_run(spark, d), ["pt_date", "job_id"], [F.desc("started_date"), F.asc("user_id")])
     jobs = jobs.select("pt_date", "job_id", "app_queue", "memory_gb_hour", "elapsed_time_min")
     priority = queue_class(F.col("app_queue"), PRIORITY_MARKS)
     metrics = {
