@@ -108,9 +108,12 @@ def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def exact_sum(col: Column) -> Column:
-    """Aggregate: money sum that does not depend on the order of addition."""
-    return F.sum(col.cast("decimal(18,2)"))
+def exact_sum(col: Column, scale: int = 10) -> Column:
+    """Aggregate: money sum that does not depend on the order of addition.
+
+    Amounts keep ``scale`` decimal places and 18 digits before them; a larger one counts as missing.
+    """
+    return F.sum(col.try_cast(f"decimal({18 + scale},{scale})"))
 
 
 def log_odds(p: Column) -> Column:

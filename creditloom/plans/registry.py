@@ -11,6 +11,7 @@ from creditloom.plans.apps import app_features
 from creditloom.plans.devices import device_features
 from creditloom.plans.job_health import job_health_labels
 from creditloom.plans.loans import failed_application_features, loan_features
+from creditloom.plans.scoring import loan_score
 from creditloom.sources.sinks import insert_aligned
 
 # Builders take (tables by name, anchor date, parameters). They run only when asked for.
@@ -22,6 +23,7 @@ REGISTRY: dict[str, Callable[[Mapping[str, DataFrame], str, Mapping], DataFrame]
     "ft_app_device_level": lambda t, anchor, p: app_features(t["app_log"], anchor, **p),
     "ft_loan_status": lambda t, anchor, p: loan_features(t["loan_daily"], anchor, **p),
     "ft_failed_application": lambda t, anchor, p: failed_application_features(t["application_scd2"], anchor, **p),
+    "loan_score": lambda t, anchor, p: loan_score(t["loan_daily"], t["accounts"], anchor, **p),
     "job_health": lambda t, anchor, p: job_health_labels(t["job_run"], anchor, **p),
 }
 

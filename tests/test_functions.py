@@ -117,3 +117,8 @@ def test_classify_first_match(spark):
     df = spark.createDataFrame([("SPARK", "hive_x"), (None, "my_Hive"), (None, None)], "t string, n string")
     label = C.classify([F.col("t"), F.col("n")], [("S", ["spark"]), ("H", ["hive"])], "O")
     assert rows(df.select(label)) == [("H",), ("O",), ("S",)]
+
+
+def test_exact_sum_keeps_parts_of_a_cent(spark):
+    df = spark.createDataFrame([(0.004,), (0.004,), (0.004,), (None,), (1e30,)], "x double")
+    assert float(df.agg(C.exact_sum(F.col("x"))).first()[0]) == 0.012

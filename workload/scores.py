@@ -16,6 +16,7 @@ from creditloom.plans.scoring import (
 )
 from creditloom.session import scratch_path
 from creditloom.sources.scans import WOE_SCHEMA, load_scorer, load_woe
+from creditloom.sources.sinks import write_parquet
 from workload.base import query
 from workload.loans import COLUMNS, SAMPLE, _feature_sql, delinquency_spec, disbursement_spec
 from workload.standins import (
@@ -102,6 +103,15 @@ def pl7(spark, d):
     return pack_json(score_input(spark, d), ["ft_balance", "ft_orders"], "features")
 
 
+@query("pl7_packed_values", "SELECT client_no, ft_balance, ft_orders FROM score_input", ["score_input"])
+def pl7_values(spark, d):
+    """The packed values, read back from the JSON."""
+    rows = score_input(spark, d)
+    cols = ["ft_balance", "ft_orders"]
+    packed = pack_json(rows, cols, "features")
+    return packed.select("client_no", F.from_json("features", rows.select(*cols).schema).alias("f")).select("client_no", "f.*")
+
+
 def _loan_score_sql():
     spec = {**delinquency_spec(), **disbursement_spec()}
     raw = ", ".join(f"coalesce({_feature_sql(*spec[f])}, 0) AS {f}" for f in MODEL_FEATURES)
@@ -138,6 +148,24 @@ def pl8_table(spark, d):
     return loan_score(loan_daily(spark, d), accounts(spark, d), LOAN_ANCHOR, LOAN_RULES, LOAN_COEF)
 
 
+@query("pl8_score_job", _loan_score_sql() + """
+SELECT * EXCLUDE (p, mob, seg_obs), round(p, 10) AS pd, CASE WHEN seg_obs <> 'xdpd' THEN round(ln(p / (1.0::DOUBLE - p)), 9) END AS logodds,
+  '1998-06-30' AS offline_score_date, (SELECT count(*) FROM z) AS client_count FROM z""", ["loan_daily", "accounts"])
+def pl8_job(spark, d):
+    """The registered score job: its partition written, read back, and the packed features unpacked."""
+    tables = {"loan_daily": loan_daily(spark, d), "accounts": accounts(spark, d)}
+    params = {"rules": LOAN_RULES, "coef": LOAN_COEF}
+    path = scratch_path(spark, "score")
+    write_parquet(registry.build("loan_score", tables, LOAN_ANCHOR, params), path, ["pt_date"])
+    scored = scored_clients(tables["loan_daily"], tables["accounts"], LOAN_ANCHOR, LOAN_RULES, LOAN_COEF)
+    packed = scored.select(*[c for c in scored.columns if c.startswith("ft_")]).schema
+    out = spark.read.parquet(path).withColumn("f", F.from_json("features", packed))
+    return out.select(
+        "client_no", F.col("pt_date").cast("string").alias("pt_date"), F.round("pd", 10).alias("pd"), F.round("logodds", 9).alias("logodds"),
+        "offline_score_date", "client_count", "f.*",
+    )
+
+
 @query("pl12_registry_loan_status")
 def pl12_loans(spark, d):
     return registry.build("ft_loan_status", {"loan_daily": loan_daily(spark, d)}, LOAN_ANCHOR)
