@@ -1,16 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over bytes.
 
-A text is its lower-cased words, each with a space after it, and an end mark. The tree's contexts are the strings of up to DEPTH symbols before a symbol. A context is a candidate if it holds at least
-LEAST_SHARE of all positions of the corpus, and is retained if its next-symbol distribution diverges
-from that of the context one symbol shorter by enough to matter: LEAST_GAIN bits per position of the
-corpus. Its distribution is smoothed with the shorter context's. A symbol is predicted by the longest
-retained suffix of what precedes it. A token's probability is the mean of two: what the tree gives to
-its symbols and its share of all tokens learned from, which smooths the tree where a word is known.
-As in the base, all tokens that were not learned are one more token; its probability is the share of
-words learned once only (Good-Turing), and what it takes is taken from the others alike.
-
-The corpus is counted in full, in Spark. What reaches the driver is bounded by the shares: at most
-1 / LEAST_SHARE contexts of each length, whatever the corpus.
+A text is its lower-cased words, each with a space after it, and an end mark. The tree's contexts are
+the strings of up to DEPTH symbols before a symbol. Contexts of up to HEAD symbols are all retained; a
+longer one is retained if it was seen LEAST_COUNT times and its next-symbol distribution diverges from
+that of the context one symbol shorter by enough to matter: LEAST_GAIN bits over all its positions.
+Both are absolute, so the tree grows with the corpus. A context's distribution is smoothed with the
+shorter context's. A symbol is predicted by the longest retained suffix of what precedes it. A token's
+probability is the mean of two: what the tree gives to its symbols and its share of all tokens learned
+from, which smooths the tree where a word is known. As in the base, all tokens that were not learned are
+one more token; its probability is the share of words learned once only (Good-Turing), and what it takes
+is taken from the others alike.
+
+The corpus is counted in full, in Spark, and the tree stays there: its longer contexts lie in buckets by
+their last symbols, so that a bucket holds every context with all its shorter ones. A block of documents
+asks the buckets for the grams that occur in it and gets their probabilities. Only the counts of symbols
+after up to HEAD others reach the driver; they are bounded by the alphabet, and none is left out.
 """
 
 from __future__ import annotations
@@ -18,26 +22,27 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.llm.common import column_bytes, held_out, kept_in_store, slices, text_of
 
-DEPTH = 5
-LEAST_SHARE = 2e-5
-LEAST_GAIN = 1e-7
+DEPTH, HEAD = 5, 2
+LEAST_COUNT, LEAST_GAIN = 4, 16.0
 SMOOTHING = 5.0
 FOLDS = 10
 #: A byte that no UTF-8 text has: the end mark, and what stands before a text.
 END = 0xFF
 LANES = 4096
 BLOCK_BYTES = 8 << 20
-MOST_WORDS = 300_000
+MOST_WORDS, MOST_GRAMS = 300_000, 2_000_000
+#: Buckets of longer contexts: at least so many, and one for so many blocks.
+LEAST_BUCKETS, BUCKET_BLOCKS = 128, 4
 
 
 def normal(text: bytes | None) -> list[bytes]:
@@ -52,12 +57,20 @@ def stream(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), dtype=np.uint8), np.cumsum(sizes) - sizes
 
 
-def grams(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and counts of a symbol (low byte) with the DEPTH symbols before it."""
+def coded(symbols: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+    """Code of each symbol from the first text's on: the symbol (low byte) with the ``depth`` before it."""
     code = symbols.astype(np.int64)
     codes = code[DEPTH:].copy()
-    for back in range(1, DEPTH + 1):
+    for back in range(1, depth + 1):
         codes |= code[DEPTH - back : len(code) - back] << (8 * back)
+    return codes
+
+
+def grams(symbols: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and counts of a symbol (low byte) with the ``depth`` symbols before it."""
+    if not len(starts):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    codes = coded(symbols, depth)
     real = np.ones(len(codes), dtype=bool)
     # The marks before a text are context only.
     at = (starts[1:, None] - DEPTH + np.arange(DEPTH)[None, :]).ravel()
@@ -70,20 +83,22 @@ def grams(symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.concatenate([p[0] for p in parts])
     counts = np.concatenate([p[1] for p in parts])
+    if not len(codes):
+        return codes, counts
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
     return codes[first], np.add.reduceat(counts, first)
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(code, n) over all texts; every task combines its own before the shuffle."""
+def count_grams(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(code, n) over all texts, a code with ``depth`` symbols before its own; every task combines its own before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for whole in batches:
             for batch in slices(whole, "text"):
-                held.append(grams(*stream([normal(t) for t in column_bytes(batch.column("text"))])))
+                held.append(grams(*stream([normal(t) for t in column_bytes(batch.column("text"))]), depth))
                 if len(held) > 3:
                     held = [_merged(held)]
         if held:
@@ -96,38 +111,87 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
+Level = tuple[np.ndarray, np.ndarray]
+
+
+def _low(codes: np.ndarray, symbols: int) -> np.ndarray:
+    return codes & ((1 << (8 * symbols)) - 1)
+
+
+def _places(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted one is in the sorted names, and whether it is there."""
+    if not len(names):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    return at, names[at] == wanted
+
+
+def retained(levels: list[Level], least_count: float, least_gain: float) -> list[tuple[np.ndarray, ...]]:
+    """Of each level: all its contexts, their counts, which are retained, and the context of each code.
+
+    ``levels[k]``: sorted codes of a symbol after k context symbols, and their counts.
+    """
+    found = []
+    for k, (codes, counts) in enumerate(levels):
+        names, rows = np.unique(codes >> 8, return_inverse=True)
+        sums = np.bincount(rows, counts, minlength=len(names))
+        kept = np.ones(len(names), dtype=bool)
+        if k > HEAD:
+            at = np.searchsorted(levels[k - 1][0], _low(codes, k))
+            p = counts / sums[rows]
+            _, shorter_sums, _, shorter_rows = found[k - 1]
+            q = levels[k - 1][1][at] / shorter_sums[shorter_rows[at]]
+            divergence = np.bincount(rows, p * np.log2(p / q), minlength=len(names))
+            kept = (sums >= least_count) & (divergence * sums >= least_gain)
+        found.append((names, sums, kept, rows))
+    # A retained context needs the shorter ones it is smoothed with.
+    for k in range(len(levels) - 1, HEAD + 1, -1):
+        names, _, kept, _ = found[k]
+        found[k - 1][2][np.searchsorted(found[k - 1][0], _low(names[kept], k - 1))] = True
+    return found
+
+
+def gram_logs(
+    codes: np.ndarray, counts: np.ndarray, head: list[Level], least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN
+) -> np.ndarray:
+    """log10 probability that the tree gives to the low byte of each sorted code after the rest of it.
+
+    ``counts``: how often each was learned, 0 if it was only asked for. ``codes`` hold all that was
+    learned after the last HEAD + 1 context symbols of any of them. ``head``: levels up to HEAD.
+    """
+    learned = counts > 0
+    own = codes[learned], counts[learned]
+    levels = [*head, *(_merged([(_low(own[0], k + 1), own[1])]) for k in range(HEAD + 1, DEPTH + 1))]
+
+    def seen(k: int) -> np.ndarray:
+        at, there = _places(levels[k][0], _low(codes, k + 1))
+        return np.where(there, levels[k][1][at], 0) if len(levels[k][0]) else np.zeros(len(codes))
+
+    p = (seen(0) + 0.5) / (levels[0][1].sum() + 128)
+    for k, (names, sums, kept, _) in enumerate(retained(levels, least_count, least_gain)):
+        names, sums = names[kept], sums[kept]
+        if k and len(names):
+            at, there = _places(names, _low(codes >> 8, k))
+            p = np.where(there, (seen(k) + SMOOTHING * p) / (sums[at] + SMOOTHING), p)
+    return np.log10(p)
+
+
 class SuffixTree:
-    """Transitions and log10 probabilities of the tree's automaton; row 0 is the empty context."""
+    """A whole tree in one process, for small corpora: ``score_texts`` gives the same from buckets.
+
+    Transitions and log10 probabilities of the tree's automaton; row 0 is the empty context."""
 
     def __init__(self, classes: np.ndarray, step: np.ndarray, logs: np.ndarray):
         self.classes, self.step, self.logs = classes, step, logs
 
     @classmethod
-    def build(cls, levels: list[tuple[np.ndarray, np.ndarray]], total: int, least_gain: float = LEAST_GAIN) -> SuffixTree:
+    def build(cls, levels: list[Level], least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> SuffixTree:
         """``levels[k]``: sorted codes of a symbol after k context symbols, and their counts."""
         seen = levels[0][0].astype(int)
         classes = np.full(256, len(seen), dtype=np.int64)
         classes[seen] = np.arange(len(seen))
         width = len(seen) + 1
-        contexts, sums, rows_of = [], [], []
-        for codes, counts in levels:
-            names, rows = np.unique(codes >> 8, return_inverse=True)
-            contexts.append(names)
-            rows_of.append(rows)
-            sums.append(np.bincount(rows, counts, minlength=len(names)))
-        kept = [np.ones(len(contexts[0]), dtype=bool)]
-        for k in range(1, len(levels)):
-            codes, counts = levels[k]
-            shorter = codes & ((1 << (8 * k)) - 1)
-            at = np.searchsorted(levels[k - 1][0], shorter)
-            p = counts / sums[k][rows_of[k]]
-            q = levels[k - 1][1][at] / sums[k - 1][rows_of[k - 1][at]]
-            divergence = np.bincount(rows_of[k], p * np.log2(p / q), minlength=len(contexts[k]))
-            kept.append(divergence * sums[k] / max(1, total) >= least_gain)
-        # A retained context needs the shorter ones it is smoothed with.
-        for k in range(len(levels) - 1, 1, -1):
-            shorter = contexts[k][kept[k]] & ((1 << (8 * (k - 1))) - 1)
-            kept[k - 1][np.searchsorted(contexts[k - 1], shorter)] = True
+        contexts, sums, kept, rows_of = zip(*retained(levels, least_count, least_gain), strict=True)
         # Distributions by level, each smoothed with that of the context one symbol shorter.
         root = np.full(width, 0.5)
         root[classes[levels[0][0] & 255]] += levels[0][1]
@@ -203,32 +267,122 @@ class SuffixTree:
         return np.add.reduceat(flat, begins)
 
 
+def _levels(found: pa.Table, depth: int) -> list[Level]:
+    """Sorted codes and counts after 0 to ``depth`` context symbols, from those after ``depth``."""
+    code, n = (found.column(c).to_numpy() for c in ("code", "n"))
+    return [_merged([(_low(code, k + 1), n)]) for k in range(depth + 1)]
+
+
+def _totals(root: Level) -> tuple[int, int]:
+    """Tokens and texts by the counts of the single symbols."""
+    symbols = dict(zip(*(x.tolist() for x in root), strict=True))
+    n_texts = symbols.get(END, 0)
+    return symbols.get(0x20, 0) + n_texts, n_texts
+
+
 def fit_tree(
-    texts: DataFrame, least_share: float = LEAST_SHARE, least_gain: float = LEAST_GAIN
+    texts: DataFrame, least_share: float = 0.0, least_gain: float = LEAST_GAIN, least_count: float = LEAST_COUNT
 ) -> tuple[SuffixTree, int, int]:
-    """The tree of a corpus, its tokens, and its texts.
+    """The whole tree of a small corpus, its tokens, and its texts; all its grams reach the driver.
 
-    All its grams are counted; contexts below ``least_share`` stay in Spark.
+    A share of all positions can be asked of longer contexts as well.
     """
-    counted = kept_in_store(count_grams(texts), "lm-grams")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(DEPTH + 1):
-        code = F.col("code").bitwiseAND((1 << (8 * (k + 1))) - 1)
-        level = counted.groupBy(code.alias("code")).agg(F.sum("n").alias("n"))
-        context = Window.partitionBy(F.shiftright("code", 8))
-        often = level.withColumn("_all", F.sum("n").over(context)).where(F.col("_all") >= least_share * total)
-        levels.append((often if k else level).select(F.lit(k).alias("k"), "code", "n"))
-    found = reduce(DataFrame.unionByName, levels).toArrow()
-    k, code, n = (found.column(c).to_numpy() for c in ("k", "code", "n"))
-    sorted_levels = []
-    for i in range(DEPTH + 1):
-        mine = np.flatnonzero(k == i)
-        order = mine[np.argsort(code[mine])]
-        sorted_levels.append((code[order], n[order]))
-    symbols = dict(zip(*(x.tolist() for x in sorted_levels[0]), strict=True))
-    n_texts = symbols.get(END, 0)
-    return SuffixTree.build(sorted_levels, total, least_gain), symbols.get(0x20, 0) + n_texts, n_texts
+    levels = _levels(count_grams(texts).toArrow(), DEPTH)
+    least = max(least_count, least_share * levels[0][1].sum())
+    return SuffixTree.build(levels, least, least_gain), *_totals(levels[0])
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Sorted codes as compressed differences."""
+    return pa.compress(np.diff(codes, prepend=np.int64(0)).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, size: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(packed, 8 * size, "zstd", asbytes=True), dtype=np.int64))
+
+
+def _bucket(codes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Bucket of each code by its last HEAD + 1 context symbols, which all longer contexts keep."""
+    key = _low(codes >> 8, HEAD + 1).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for by in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(by)
+    return ((key >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def grams_of_blocks(blocked: DataFrame, n_buckets: int) -> DataFrame:
+    """What each block asks of each bucket: the distinct codes in it, and how often it teaches each."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[Level]] = {}
+
+        def flush():
+            for number, parts in held.items():
+                codes, counts = _merged(parts)
+                bucket = _bucket(codes, n_buckets)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.cumsum(np.bincount(bucket, minlength=n_buckets))
+                given = [(i, x) for i, x in enumerate(np.split(order, ends[:-1])) if len(x)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([number] * len(given), pa.int32()),
+                        pa.array([i for i, _ in given], pa.int32()),
+                        pa.array([len(x) for _, x in given], pa.int32()),
+                        pa.array([_packed(codes[x]) for _, x in given], pa.binary()),
+                        pa.array([pa.compress(counts[x].tobytes(), "zstd", asbytes=True) for _, x in given], pa.binary()),
+                    ],
+                    ["block", "bucket", "size", "codes", "counts"],
+                )
+            held.clear()
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                numbers, apart = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "held_out"))
+                texts = column_bytes(batch.column("text"))
+                for number in np.unique(numbers):
+                    parts = held.setdefault(int(number), [])
+                    for out in (False, True):
+                        mine = np.flatnonzero((numbers == number) & (apart == out))
+                        codes, counts = grams(*stream([normal(texts[i]) for i in mine]))
+                        parts.append((codes, counts * (not out)))
+                    if len(parts) > 6:
+                        held[int(number)] = [_merged(parts)]
+                if sum(len(p[0]) for parts in held.values() for p in parts) > MOST_GRAMS:
+                    yield from flush()
+        yield from flush()
+
+    return blocked.mapInArrow(ask, "block int, bucket int, size int, codes binary, counts binary")
+
+
+def answered(asked: DataFrame, head: list[Level], least_count: float, least_gain: float) -> DataFrame:
+    """(block, size, codes, logs): the tree's log10 probability of every code asked for, by bucket."""
+    model = asked.sparkSession.sparkContext.broadcast(head)
+
+    def answer(rows: pa.Table) -> pa.Table:
+        sizes = rows.column("size").to_pylist()
+        each = [_unpacked(c, n) for c, n in zip(rows.column("codes").to_pylist(), sizes, strict=True)]
+        counts = [
+            np.frombuffer(pa.decompress(c, 8 * n, "zstd", asbytes=True), dtype=np.int64)
+            for c, n in zip(rows.column("counts").to_pylist(), sizes, strict=True)
+        ]
+        codes, counts = _merged(list(zip(each, counts, strict=True)))
+        logs = gram_logs(codes, counts, model.value, least_count, least_gain).astype(np.float32)
+        given = [logs[np.searchsorted(codes, x)].tobytes() for x in each]
+        columns = {c: rows.column(c) for c in ("block", "size", "codes")}
+        return pa.table(columns | {"logs": pa.array(given, pa.binary())})
+
+    return asked.groupBy("bucket").applyInArrow(answer, "block int, size int, codes binary, logs binary")
+
+
+def stream_logs(symbols: np.ndarray, starts: np.ndarray, codes: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """log10 probability of each token of a stream by those of its grams, the end marks included."""
+    found = pa.array(coded(symbols)).dictionary_encode()
+    at, _ = _places(codes, found.dictionary.to_numpy())
+    flat = np.zeros(len(symbols))
+    flat[DEPTH:] = logs[at].take(found.indices.to_numpy())
+    begins = np.sort(np.concatenate([starts + DEPTH, np.flatnonzero(symbols == 0x20) + 1]))
+    flat[(starts[:, None] + np.arange(DEPTH)[None, :]).ravel()] = 0
+    return np.add.reduceat(flat, begins)
 
 
 RESULT = (
@@ -237,7 +391,9 @@ RESULT = (
 )
 
 
-def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(
+    docs: DataFrame, block_bytes: int = BLOCK_BYTES, least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN
+) -> DataFrame:
     """Unigram base and tree score of every document, both learned from those not held out.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A document is held
@@ -246,14 +402,16 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Without any document to learn from, every token is new: base probability one, probability a half.
 
     Word counts are attached by blocks of documents: a block's distinct words are shuffled to the
-    counts and back, not its word occurrences, and a word has at most one row or a few per block.
+    counts and back, not its word occurrences, and a word has at most one row or a few per block. The
+    tree's probabilities are attached in the same way, packed by block and bucket.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         held_out("doc_id", FOLDS).alias("held_out"),
         text_of().alias("text"),
     )
-    tree, n_train, n_texts = fit_tree(rows.where("not held_out"))
+    head = _levels(count_grams(rows.where("not held_out"), HEAD).toArrow(), HEAD)
+    n_train, n_texts = _totals(head[0])
     size = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
@@ -292,10 +450,17 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         F.sum("n").over(same).alias("c"),
         (F.row_number().over(same.orderBy("block", "n")) == 1).alias("once"),
     )
-    model = docs.sparkSession.sparkContext.broadcast((tree.classes, tree.step, tree.logs))
-
-    def score_block(texts: pa.Table, words: pa.Table) -> pa.Table:
-        local = SuffixTree(*model.value)
+    asked = grams_of_blocks(blocked, max(LEAST_BUCKETS, n_blocks // BUCKET_BLOCKS))
+    attached = known.unionByName(answered(asked, head, least_count, least_gain), allowMissingColumns=True)
+
+    def score_block(texts: pa.Table, attached: pa.Table) -> pa.Table:
+        by_tree_rows = pc.is_valid(attached.column("codes"))
+        words, tree = attached.filter(pc.invert(by_tree_rows)), attached.filter(by_tree_rows)
+        answers = zip(*(tree.column(x).to_pylist() for x in ("codes", "size", "logs")), strict=True)
+        parts = [(_unpacked(x, n), np.frombuffer(y, dtype=np.float32)) for x, n, y in answers]
+        codes, logs = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (0, 1))
+        order = np.argsort(codes)
+        codes, logs = codes[order], logs[order]
         c = words.column("c").to_numpy()
         counts = dict(zip(words.column("word").to_pylist(), c.tolist(), strict=True))
         counts[b"\xff"] = n_texts
@@ -315,7 +480,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             firsts = np.cumsum(sizes) - sizes
             flat = chain.from_iterable([*w, b"\xff"] for w in part)
             known = np.fromiter(map(counts.__getitem__, flat), np.float64, sizes.sum())
-            by_tree = local.score(*stream(part)) * np.log(10)
+            by_tree = stream_logs(*stream(part), codes, logs) * np.log(10)
             with np.errstate(divide="ignore"):
                 by_share = np.log(known / max(1, n_train))
             mean = np.logaddexp(by_tree, by_share) + np.log(0.5)
@@ -333,7 +498,7 @@ def score_texts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         out |= {name: pa.array([n, *[0] * len(given)][: len(given)], pa.int64()) for name, n in totals.items()}
         return pa.table(out)
 
-    scored = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score_block, RESULT)
+    scored = blocked.groupBy("block").cogroup(attached.groupBy("block")).applyInArrow(score_block, RESULT)
     scored = kept_in_store(scored, "lm-scores")
     totals = scored.agg(
         *[F.coalesce(F.sum(f"block_{c}"), F.lit(0)).alias(f"_{c}") for c in ("distinct", "single")]

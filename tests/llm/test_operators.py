@@ -100,6 +100,36 @@ def test_tree_is_a_distribution_and_walks_to_longest_suffix(spark):
     assert len(got) == 4 and math.isclose(got.sum(), sum(want), rel_tol=1e-5)
 
 
+def test_contexts_are_kept_by_count_and_not_by_share(spark):
+    rng = np.random.default_rng(1)
+    filler = bytes(rng.integers(97, 123, 1_500_000, dtype=np.uint8))
+    filler = b" ".join(filler[i : i + 6] for i in range(0, len(filler), 6)).decode()
+    # A context seen 30 times in 3,500,000 positions; no row is held out.
+    rows = [*[(1, filler)] * 2, *[(1, "zqxjk")] * 30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert zlib.crc32(b"1") % 10
+    scores = [r.score for r in suffix_tree.score_texts(docs).where("n_tokens = 2").collect()]
+    # Two tokens, each about as likely as half of what the tree gives to a text it knows.
+    assert len(scores) == 30 and all(x > -2 for x in scores)
+
+
+def test_scores_by_buckets_are_those_of_the_whole_tree(spark, sample):
+    docs = sample.limit(300)
+    texts = {r.doc_id: suffix_tree.normal(r.text.encode()) for r in docs.collect()}
+    learn = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
+    tree, n, n_texts = suffix_tree.fit_tree(docs.where(docs.doc_id.isin(list(learn))), least_gain=8.0, least_count=6)
+    assert len(tree.logs) > 2_000
+    c = Counter(w for i in learn for w in texts[i])
+    new = (sum(x == 1 for x in c.values()) + (n_texts == 1) + 1) / (n + 2)
+    got = suffix_tree.score_texts(docs, block_bytes=1 << 17, least_gain=8.0, least_count=6).collect()
+    assert len(got) == 300
+    for r in got:
+        by_tree = tree.score(*suffix_tree.stream([texts[r.doc_id]]))
+        known = np.array([c[w] for w in texts[r.doc_id]] + [n_texts])
+        mean = (10.0**by_tree + known / n) / 2 * (1 - new)
+        assert math.isclose(r.score, np.log10(np.where(known > 0, mean, new)).sum(), rel_tol=1e-4)
+
+
 # --- line labelling --------------------------------------------------------------------------
 
 
