@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import column_bytes, held_out, slices
+from creditloom.llm.common import column_bytes, held_out, kept_in_store, slices
 
 #: Bound of the fit sample: clean and toxic documents, those with the smallest digest of their id, and
 #: words of a document (longer ones are not in the sample).
-FIT_DOCS, FIT_WORDS = (2000, 800), 800
+FIT_DOCS, FIT_WORDS = (2500, 1000), 1200
 FOLDS = 5
 WINDOW, STRIDE = 24, 16
 WORD_SIZE, CHAR_SIZE, HIDDEN = 4, 6, 8
@@ -231,60 +231,82 @@ class ToxicityNet:
 
     @classmethod
     def fit(cls, texts: list[list[bytes]], labels: np.ndarray, seed: int = 5) -> ToxicityNet:
-        """``texts``: the words of each document. Without both labels the network answers 0.
+        """``texts``: the words of each document; ``fit_coded`` of their numbers."""
+        numbers: dict[bytes, int] = {}
+        coded = [np.array([numbers.setdefault(w, len(numbers)) for w in t], dtype=np.int32) for t in texts]
+        return cls.fit_coded(list(numbers), coded, labels, seed)
+
+    @classmethod
+    def fit_coded(cls, words: list[bytes], coded: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> ToxicityNet:
+        """``coded``: each document's words as places in ``words``. Without both labels the network answers 0.
 
-        Every fourth document only sets the bias, to where fewest of them are on the wrong side.
+        Every fourth document only sets the bias, to where fewest of them are on the wrong side. Windows
+        are numbered over all documents and cut from the words when they are read, some at a time.
         """
         net = cls.new(seed)
         if len(set(labels.tolist())) < 2:
             net.weights["out"][:] = 0
             net.weights["bias"][:] = -8
             return net
-        numbers: dict[bytes, int] = {}
-        coded = [np.array([numbers.setdefault(w, len(numbers)) for w in t], dtype=np.int64) for t in texts]
-        rows = word_rows(list(numbers))
-        none = len(numbers)
-        windows, owner = [], []
-        for i, ids in enumerate(coded):
-            for start in window_starts(len(ids)):
-                window = np.full(WINDOW, none)
-                part = ids[start : start + WINDOW]
-                window[: len(part)] = part
-                windows.append(window)
-                owner.append(i)
-        windows, owner = np.array(windows, dtype=np.int32), np.array(owner)
-        aside = np.zeros(len(texts), dtype=bool)
+        rows = word_rows(words)
+        none = len(words)
+        begins = np.cumsum([0] + [len(ids) for ids in coded])
+        flat = np.concatenate([*coded, np.full(WINDOW, none)]).astype(np.int32)
+        starts = [np.array(window_starts(len(ids))) + at for ids, at in zip(coded, begins, strict=False)]
+        owner = np.repeat(np.arange(len(coded)), [len(x) for x in starts])
+        starts = np.concatenate(starts)
+
+        def windows(which: np.ndarray) -> np.ndarray:
+            places = starts[which, None] + np.arange(WINDOW)
+            return np.where(places < begins[owner[which] + 1, None], flat[places], none)
+
+        def judged(which: np.ndarray, judge) -> np.ndarray:
+            parts = [judge(windows(which[at : at + LANES])) for at in range(0, len(which), LANES)]
+            return np.concatenate(parts) if parts else np.zeros(0)
+
+        aside = np.zeros(len(coded), dtype=bool)
         for label in (0, 1):
             aside[np.flatnonzero(labels == label)[3::4]] = True
         learn = np.flatnonzero(~aside[owner])
         net._start_from_counts(rows, [coded[i] for i in np.flatnonzero(~aside)], labels[~aside])
         rng = np.random.default_rng(seed)
         balance = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum()) * len(labels)
-        first = {k: np.zeros_like(v) for k, v in net.weights.items()}
-        second = {k: np.zeros_like(v) for k, v in net.weights.items()}
+        # Moments of the tables only for the rows that a word of the sample uses.
+        used_rows = {"word": np.unique(rows.word), "char": np.unique(rows.grams)}
+        first = {k: np.zeros_like(v[used_rows[k]] if k in used_rows else v) for k, v in net.weights.items()}
+        second = {k: np.zeros_like(v) for k, v in first.items()}
         step = 0
         strength = net.vectors(rows)[:, [0, WORD_SIZE]].sum(axis=1)
         for epoch in range(EPOCHS):
-            found = net.logits(net.projected(net.vectors(rows)), windows[learn], none) if epoch else strength[windows[learn]].max(axis=1)
+            if epoch:
+                tables = net.projected(net.vectors(rows))
+                found = judged(learn, lambda ids, tables=tables: net.logits(tables, ids, none))
+                del tables
+            else:
+                found = judged(learn, lambda ids: strength[ids].max(axis=1))
             order = learn[np.lexsort((found, owner[learn]))]
             worst = order[np.append(owner[order][1:] != owner[order][:-1], True)]
             some = rng.choice(learn[labels[owner[learn]] == 0], size=(labels == 0).sum())
             chosen = rng.permutation(np.concatenate([worst, some]))
             for at in range(0, len(chosen), BATCH):
                 batch = chosen[at : at + BATCH]
-                used, ids = np.unique(windows[batch], return_inverse=True)
+                used, ids = np.unique(windows(batch), return_inverse=True)
                 ids = ids.reshape(len(batch), WINDOW)
                 has_none = used[-1] == none
                 real = used[:-1] if has_none else used
                 grads = net.gradients(_some(rows, real), ids, labels[owner[batch]], balance[owner[batch]] / len(batch))
                 step += 1
                 for name, grad in grads.items():
+                    own = used_rows.get(name, slice(None))
+                    grad = grad[own]
                     first[name] += 0.1 * (grad - first[name])
                     second[name] += 0.01 * (grad**2 - second[name])
                     rate = RATE * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-                    net.weights[name] -= rate * first[name] / (np.sqrt(second[name]) + 1e-6)
-        firsts = np.searchsorted(owner, np.arange(len(texts)))
-        worst = np.maximum.reduceat(net.logits(net.projected(net.vectors(rows)), windows, none), firsts)
+                    net.weights[name][own] -= rate * first[name] / (np.sqrt(second[name]) + 1e-6)
+        firsts = np.searchsorted(owner, np.arange(len(coded)))
+        tables = net.projected(net.vectors(rows))
+        found = judged(np.arange(len(owner)), lambda ids: net.logits(tables, ids, none))
+        worst = np.maximum.reduceat(found, firsts)
         net.weights["bias"] -= np.float32(_cut(worst[aside], labels[aside]))
         return net
 
@@ -365,6 +387,34 @@ class Scorer:
         return _sigmoid(np.maximum.reduceat(self.net.logits(self.tables, windows, 0), firsts)).astype(np.float64)
 
 
+def numbered(sample: DataFrame) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """Distinct words of a sample in byte order, each text as places in them, and its label; numbered in Spark."""
+    sample = kept_in_store(sample, "toxicity-sample")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = set()
+            for text in column_bytes(batch.column("text")):
+                words.update((text or b"").lower().split())
+            yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], ["word"])
+
+    found = sample.select("text").mapInArrow(split, "word binary").distinct().orderBy("word").toArrow()
+    listed = found.column("word").combine_chunks()
+    shared = sample.sparkSession.sparkContext.broadcast(listed.to_pylist())
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = {w: i for i, w in enumerate(shared.value)}
+        for batch in batches:
+            ids = [[places[w] for w in (t or b"").lower().split()] for t in column_bytes(batch.column("text"))]
+            ids = pa.array([np.array(x, dtype=np.int32).tobytes() for x in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), batch.column("toxic"), ids], ["doc_id", "text", "toxic", "ids"])
+
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    coded = sample.mapInArrow(number, f"doc_id {kind}, text string, toxic int, ids binary").orderBy("doc_id", "text").select("toxic", "ids").toArrow()
+    ids = [np.frombuffer(x.as_py(), dtype=np.int32) for x in coded.column("ids")]
+    return shared.value, ids, coded.column("toxic").to_numpy().astype(np.int64)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = FIT_DOCS, most_words: int = FIT_WORDS) -> ToxicityNet:
     """The network of ``labels.toxic``, learned from documents that are not held out."""
     key = F.xxhash64("doc_id", F.lit(5))
@@ -385,10 +435,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int]
         .select("doc_id", "toxic", "text")
         .orderBy("doc_id", "text")
         .limit(sum(per_label))
-        .collect()
     )
-    texts = [r.text.encode().lower().split() for r in sample]
-    return ToxicityNet.fit(texts, np.array([r.toxic for r in sample], dtype=np.int64))
+    return ToxicityNet.fit_coded(*numbered(sample))
 
 
 def score_toxicity(docs: DataFrame, net: ToxicityNet, out: str = "toxicity") -> DataFrame:

@@ -267,6 +267,30 @@ def test_toxicity_of_held_out_and_odd_rows(spark, odd_docs, no_docs):
     assert all(r.toxicity < 0.5 for r in toxicity.score_toxicity(odd_docs, empty_fit).collect())
 
 
+def test_toxicity_learns_from_texts_of_a_thousand_words(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(160):
+        words = list(rng.choice(plain, 1000))
+        if i % 2:
+            for at in rng.integers(0, 1000, 20):
+                words[at] = "scoundrel"
+        rows.append((i, " ".join(words), i % 2))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.fit_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    scores = toxicity.Scorer(net).score([b"word1 word2 scoundrel word3", b"word1 word2 word7 word3"])
+    assert scores[0] > max(toxicity.THRESHOLD, scores[1])
+
+
+def test_words_numbered_in_spark_are_the_same_sample(spark, odd_docs):
+    sample = odd_docs.where("text is not null").selectExpr("doc_id", "text", "1 toxic")
+    words, ids, labels = toxicity.numbered(sample)
+    want = [r.text.encode().lower().split() for r in sample.orderBy("doc_id", "text").collect()]
+    assert [[words[i] for i in x] for x in ids] == want and labels.tolist() == [1] * len(want)
+    assert words == sorted({w for t in want for w in t})
+
+
 # --- WARC ------------------------------------------------------------------------------------
 
 
