@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import lines, minhash, mixing, pii, preference, sentence_pieces, simhash, suffix_tree, toxicity, warc
+from creditloom.llm import divergence, lines, minhash, mixing, packing, pii, preference, repeats, sentence_pieces, simhash, suffix_tree, toxicity, warc
 from creditloom.llm.common import held_out, table
 from creditloom.session import pin_settings
 
 #: Vocabulary file of a public tokenizer.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,3 +196,74 @@ FROM served s LEFT JOIN taken t USING (doc_id)
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op11_harmonic_packing")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(BYTE_BPE, encoding="utf-8") as file:
+        packed = packing.pack_documents(table(spark, sf_dir, "documents"), file.read())
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_runs(repeats.repeated_texts(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    # The greatest length, then the smallest start, then the smallest period.
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("start"), r["period"].alias("period"))))
+    longest = found.withColumn("best", best)
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        (-F.col("best.n")).alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("-1000 * best.n div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query(
+    "op13_source_divergence",
+    """
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS found
+  FROM documents
+), w AS (
+  SELECT doc, lang, source, translate(unnest(found), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), used AS (
+  SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), v AS (
+  SELECT lang, count(*) AS terms, sum(lang_n) AS lang_total FROM kept GROUP BY lang
+), t AS (
+  SELECT lang, source, sum(n) AS total FROM used GROUP BY lang, source
+), p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (coalesce(total, 0) + 5 * terms)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * terms)::HUGEINT AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source)
+    LEFT JOIN used ON used.lang = g.lang AND used.source = g.source AND used.term = kept.term
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
