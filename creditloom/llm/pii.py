@@ -11,8 +11,9 @@ and decides. Patterns and forms are few whatever the corpus, so only their count
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +26,15 @@ from creditloom.llm.common import column_bytes
 KINDS = ("email", "ip", "card", "phone", "secret")
 EMAIL, IP, CARD, PHONE, SECRET = range(5)
 BASE_KINDS = 4
+#: Kinds that are about a person; a secret is reported, but a text that has no more is left alone.
+PERSONAL = (EMAIL, IP, CARD, PHONE)
 ABSTAIN, NO, YES = range(3)
 LABELERS = 5
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Starts at the start of a run of digits, as the leftmost match does, and never gives digits back.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = b"0123456789"
@@ -63,6 +67,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def at_most_255(digits: str) -> bool:
+    """Of a number of any length, leading zeros included."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def base_spans(text: str, raw: bytes) -> list[Span]:
     """(kind, start, end) of the base rules: leftmost, non-overlapping per kind, failing ones dropped."""
     found: list[Span] = []
@@ -77,7 +87,7 @@ def base_spans(text: str, raw: bytes) -> list[Span]:
     if len(raw.translate(None, _DIGITS)) == len(raw):
         return found
     for m in _IP.finditer(text) if b"." in raw else ():
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m.group().split(".")):
+        if all(at_most_255(part) for part in m.group().split(".")):
             found.append((IP, m.start(), m.end()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12:
@@ -167,10 +177,14 @@ def _packed(values: tuple[int, ...]) -> int:
 def candidates(text: str, raw: bytes) -> list[Candidate]:
     """(kind, start, end, votes, form, base): base spans, and proposed ones that overlap none of them."""
     base = base_spans(text, raw)
-    taken = sorted((s, e) for _, s, e in base)
+    starts, reach = [], []
+    for s, e in sorted((s, e) for _, s, e in base):
+        starts.append(s)
+        reach.append(max(e, reach[-1]) if reach else e)
     out = [(k, s, e, *_votes_and_form(text, k, s, e), True) for k, s, e in base]
     for k, s, e in _proposed(text, raw):
-        if not any(s < e2 and s2 < e for s2, e2 in taken):
+        before = bisect_left(starts, e)
+        if not before or reach[before - 1] <= s:
             out.append((k, s, e, *_votes_and_form(text, k, s, e), False))
     return out
 
@@ -198,26 +212,27 @@ class SpanModel:
     def fit(cls, counts: dict[tuple[int, int, int], int], rounds: int = 40, steps: int = 400) -> SpanModel:
         """``counts``: how often each (kind, votes, form) was proposed. No counts: accepts nothing."""
         if not counts:
-            return cls(np.full((2, LABELERS, 3), 1 / 3), np.zeros(len(cls.features(0, 0))))
+            return cls(np.full((len(KINDS), 2, LABELERS, 3), 1 / 3), np.zeros(len(cls.features(0, 0))))
         keys = sorted(counts)
         weight = np.array([counts[k] for k in keys], dtype=float)
         kind = np.array([k[0] for k in keys])
         votes = np.array([cls.votes_of(k[1]) for k in keys])
         yes, no = (votes == YES).sum(axis=1), (votes == NO).sum(axis=1)
         hit = (yes + 1.0) / (yes + no + 2.0)
+        kinds = len(KINDS)
         for _ in range(rounds):
-            prior = np.array([((hit * weight)[kind == k].sum() + 1) / (weight[kind == k].sum() + 2) for k in range(len(KINDS))])
-            reliability = np.ones((2, LABELERS, 3))
+            prior = np.array([((hit * weight)[kind == k].sum() + 1) / (weight[kind == k].sum() + 2) for k in range(kinds)])
+            # A labeler may be good at one kind and bad at another.
+            reliability = np.ones((kinds, 2, LABELERS, 3))
             for labeler in range(LABELERS):
-                for vote in range(3):
-                    told = votes[:, labeler] == vote
-                    reliability[1, labeler, vote] += (hit * weight)[told].sum()
-                    reliability[0, labeler, vote] += ((1 - hit) * weight)[told].sum()
-            reliability /= reliability.sum(axis=2, keepdims=True)
+                told = (kind, votes[:, labeler])
+                np.add.at(reliability[:, 1, labeler], told, hit * weight)
+                np.add.at(reliability[:, 0, labeler], told, (1 - hit) * weight)
+            reliability /= reliability.sum(axis=3, keepdims=True)
             logs = np.log(reliability)
             odds = np.log(prior[kind]) - np.log1p(-prior[kind])
             for labeler in range(LABELERS):
-                odds = odds + logs[1, labeler, votes[:, labeler]] - logs[0, labeler, votes[:, labeler]]
+                odds = odds + logs[kind, 1, labeler, votes[:, labeler]] - logs[kind, 0, labeler, votes[:, labeler]]
             hit = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         x = np.array([cls.features(k[0], k[2]) for k in keys])
         share = np.sqrt(weight) / np.sqrt(weight).sum()
@@ -277,7 +292,9 @@ def find_personal_data(docs: DataFrame, model: SpanModel) -> DataFrame:
     """doc_id, spans of the base rules and all spans of every document.
 
     Columns n_email, n_ip, n_card, n_phone count base spans; base_spans and spans list
-    kind:start:end in code points. A null or empty text has none; repeated rows are found alike.
+    kind:start:end in code points. A null or empty text has none; a null doc_id stays null; repeated
+    rows are found alike; an empty table gives no rows. A text is searched whole, in time proportional
+    to its length, numbers of any length included. Columns other than doc_id and text are not read.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +332,12 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[end:]])
 
 
-def redact_personal_data(docs: DataFrame, model: SpanModel) -> DataFrame:
-    """The documents with personal data replaced; n_chars follows, all other columns stay.
+def redact_personal_data(docs: DataFrame, model: SpanModel, kinds: Sequence[int] = PERSONAL) -> DataFrame:
+    """The documents with spans of these kinds replaced; n_chars follows, all other columns stay.
 
-    A null text stays null, and then n_chars is as it was.
+    A null text stays null, and then n_chars is as it was; repeated rows are changed alike. A text is
+    searched whole, in time proportional to its length. Spans that overlap are replaced as one, by the
+    kind of the first. An empty table stays empty.
     """
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,7 +350,7 @@ def redact_personal_data(docs: DataFrame, model: SpanModel) -> DataFrame:
                     sizes.append(n_chars)
                     continue
                 text = given.decode("utf-8", "replace")
-                new = redacted(text, _spans(text, given, accepts)[1])
+                new = redacted(text, [x for x in _spans(text, given, accepts)[1] if x[1] in kinds])
                 texts.append(new)
                 sizes.append(len(new))
             columns = {n: batch.column(n) for n in batch.schema.names}
