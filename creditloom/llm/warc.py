@@ -7,8 +7,10 @@ record's header first; and steps over the block of a record that the filters rej
 is not asked for, without reading it. Payloads are stored compressed where that is shorter.
 
 Records are not compressed as a whole, so that a block can be stepped over by its length. A writing
-task closes a file when it is full; files that a failed attempt leaves are not in the manifest that
-the commit writes, and the reader follows the manifest where there is one.
+task closes a file when it is full. Each commit adds a manifest of its own that names its files, so
+appends add up; an overwrite's manifest also says which manifests it replaces, and only then are
+their files removed. Files that a failed attempt leaves are in no manifest, and the reader follows
+the manifests where there are any.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ SCHEMA = (
 FILE_BYTES = 64 << 20
 PARTITION_BYTES = 32 << 20
 BATCH_BYTES = 4 << 20
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
 DATE = "2024-01-01T00:00:00Z"
 #: Payloads below this are never stored as revisits.
 LEAST_REVISIT_BYTES = 1000
@@ -109,9 +111,23 @@ class _Written(WriterCommitMessage):
     files: list[str]
 
 
+def manifests(system, folder: str) -> dict[str, list[str]]:
+    """Files by the name of the manifest that holds them; replaced manifests are left out."""
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    read = {}
+    for info in found:
+        if info.base_name.startswith(MANIFEST):
+            with system.open_input_stream(info.path) as file:
+                read[info.base_name] = json.loads(file.read())
+    replaced = {name for m in read.values() for name in m["replaces"]}
+    return {name: m["files"] for name, m in read.items() if name not in replaced}
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         files, out, filled = [], None, 0
@@ -136,11 +152,22 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages) -> None:
+        from pyarrow import fs
+
         system, folder = _opened(self.path)
         system.create_dir(folder, recursive=True)
         files = sorted(f for m in messages if m is not None for f in m.files)
-        with system.open_output_stream(f"{folder}/{MANIFEST}") as out:
-            out.write(json.dumps(files).encode())
+        old: dict[str, list[str]] = {}
+        gone: list[str] = []
+        if self.overwrite:
+            old = manifests(system, folder)
+            there = {x.base_name for x in system.get_file_info(fs.FileSelector(folder)) if x.base_name.endswith(".warc")}
+            # Without a manifest every archive of the folder is an old one.
+            gone = sorted(there & {f for m in old.values() for f in m} if old else there - set(files))
+        with system.open_output_stream(f"{folder}/{MANIFEST}{uuid.uuid4().hex}.json") as out:
+            out.write(json.dumps({"files": files, "replaces": sorted(old)}).encode())
+        for name in gone:  # readers see the new files only from here on
+            system.delete_file(f"{folder}/{name}")
 
     def abort(self, messages) -> None:
         system, folder = _opened(self.path)
@@ -179,11 +206,8 @@ class WarcReader(DataSourceReader):
 
         system, folder = _opened(self.path)
         found = {x.base_name: x for x in system.get_file_info(fs.FileSelector(folder)) if x.base_name.endswith(".warc")}
-        if system.get_file_info(f"{folder}/{MANIFEST}").type == fs.FileType.File:
-            with system.open_input_stream(f"{folder}/{MANIFEST}") as file:
-                names = json.loads(file.read())
-        else:
-            names = sorted(found)
+        listed = manifests(system, folder)
+        names = sorted(f for files in listed.values() for f in files) if listed else sorted(found)
         groups: list[list[str]] = []
         filled = PARTITION_BYTES
         for name in names:
@@ -300,7 +324,7 @@ def records(file, wanted=lambda values: True, decode: bool = True) -> Iterator[t
 
 
 class WarcSource(DataSource):
-    """Options: path; payload = decode (the default) or skip."""
+    """Options: path; payload = decode (the default) or skip. Modes append and overwrite."""
 
     @classmethod
     def name(cls) -> str:
@@ -313,7 +337,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "decode"))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -362,19 +386,27 @@ def page_urn(page_id):
 def archived_pages(pages: DataFrame) -> DataFrame:
     """Writes the pages as archives to the shared folder, reads them back, and tells what is there.
 
-    Length and digest of a response are those of its payload as read back; a revisit's are its
-    header's. Columns: page_id, payload_bytes, payload_digest, record_type, refers_to.
+    Responses are read with their payloads decoded, and length and digest are those of the bytes;
+    revisits, which have none, are read by their headers only, every block stepped over. Both scans
+    push their record type down, so each skips the blocks of the other's records.
+    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. A null html is an empty
+    payload, a null page_id stays null, repeated rows are records each, an empty table gives none. A
+    payload of any length is one record. Columns other than page_id, url and html are not read.
     """
     spark = pages.sparkSession
     register(spark)
     path = scratch_path(spark, "warc")
     page_records(pages).write.format("warc").mode("append").save(path)
-    read = spark.read.format("warc").load(path)
-    stored = F.col("payload").isNotNull()
-    return read.select(
-        F.expr("try_cast(substring(record_id, 10) as bigint)").alias("page_id"),
-        F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(stored, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type",
-        F.expr("try_cast(substring(refers_to, 10) as bigint)").alias("refers_to"),
-    )
+
+    def found(record_type: str, payload: str, length, digest) -> DataFrame:
+        read = spark.read.format("warc").option("payload", payload).load(path)
+        return read.where(F.col("record_type") == record_type).select(
+            F.expr("try_cast(substring(record_id, 10) as bigint)").alias("page_id"),
+            length.cast("long").alias("payload_bytes"),
+            digest.alias("payload_digest"),
+            "record_type",
+            F.expr("try_cast(substring(refers_to, 10) as bigint)").alias("refers_to"),
+        )
+
+    responses = found("response", "decode", F.octet_length("payload"), F.sha1("payload"))
+    return responses.unionByName(found("revisit", "skip", F.col("payload_length"), F.col("payload_digest")))

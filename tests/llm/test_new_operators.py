@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from creditloom.llm import catalog, divergence, packing, repeats
+from creditloom.llm import catalog, divergence, packing, pii, repeats, warc
 
 from llm_fixtures import no_docs, odd_docs, sample  # noqa: F401  (fixtures)
 
@@ -260,3 +260,90 @@ def test_shares_are_exact_for_great_counts(spark):
     (row,) = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(terms)).alias("p")).collect()
     assert row.p == 1 + 10**9 * (n + 5) // (total + 5 * terms)
     assert divergence._shares(np.array([[n]]), np.array([total]), terms).tolist() == [[row.p]]
+
+
+# --- archives and personal data, mended ---------------------------------------------------------
+
+
+def test_archives_append_and_overwrite(spark, tmp_path):
+    warc.register(spark)
+    path = str(tmp_path / "archives")
+
+    def put(mode, ids):
+        pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>" * 200) for i in ids], "page_id long, url string, html string")
+        warc.page_records(pages).write.format("warc").mode(mode).save(path)
+
+    def there():
+        read = spark.read.format("warc").load(path)
+        return sorted(r.record_id for r in read.collect())
+
+    put("append", range(5))
+    put("append", range(5, 10))
+    assert there() == sorted(f"urn:page:{i}" for i in range(10))
+    put("overwrite", [20])
+    assert there() == ["urn:page:20"] and len(list((tmp_path / "archives").glob("*.warc"))) == 1
+    put("append", [21])
+    put("overwrite", [30, 31])
+    put("append", [32])
+    assert there() == ["urn:page:30", "urn:page:31", "urn:page:32"]
+
+
+def test_archive_query_skips_what_each_scan_does_not_want(spark):
+    rows = [(i, "u", "<p>same page</p>" * 100) for i in range(6)] + [(None, None, None), (9, "u", "<p>short</p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.archived_pages(pages)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in found.collect()}
+    assert got[5] == ("response", None, 1600) and all(got[i] == ("revisit", 5, 1600) for i in range(5))
+    assert got[None] == ("response", None, 0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 2 and "Filter" not in plan.replace("PushedFilters", "")
+
+
+def test_long_numbers_take_linear_time():
+    import time
+
+    began = time.time()
+    assert pii.base_spans("1.2.3." + "0" * 5_000, b"1.") == [(pii.IP, 0, 5_006)]
+    assert pii.base_spans("1.2.3." + "9" * 5_000, b"1.") == []
+    for text in ("9" * 1_000_000, "1 " * 500_000, "+1" + "(" * 500_000, "a@" * 300_000):
+        assert not any(is_base for *_, is_base in pii.candidates(text, text.encode()))
+    dotted = "1." * 400_000
+    assert len(pii.candidates(dotted, dotted.encode())) == 100_000
+    assert time.time() - began < 20
+
+
+def test_reliabilities_are_told_apart_by_kind():
+    rng = random.Random(3)
+    # Labelers say yes or no rightly with these chances; the first is good at one kind, bad at the other.
+    right = {pii.EMAIL: (0.95, 0.9, 0.85, 0.8, 0.9), pii.PHONE: (0.55, 0.9, 0.85, 0.9, 0.95)}
+    counts = Counter()
+    for kind, chances in right.items():
+        for _ in range(20_000):
+            hit = rng.random() < 0.6
+            votes = 0
+            for chance in chances:
+                said = hit if rng.random() < chance else not hit
+                votes = votes * 3 + (pii.YES if said else pii.NO)
+            counts[kind, votes, int(hit)] += 1
+    model = pii.SpanModel.fit(dict(counts))
+    for kind, chances in right.items():
+        for labeler, chance in enumerate(chances):
+            assert abs(model.reliability[kind, 1, labeler, pii.YES] - chance) < 0.04
+            assert abs(model.reliability[kind, 0, labeler, pii.NO] - chance) < 0.04
+
+
+def test_personal_data_on_odd_and_no_rows(odd_docs, no_docs):
+    model = pii.fit_spans(odd_docs)
+    got = [(r.doc_id, r.n_email, r.spans) for r in pii.find_personal_data(odd_docs, model).collect()]
+    assert len(got) == odd_docs.count() and [(i, s) for i, n, s in got if n] == [(None, "email:21:36")]
+    assert all(n == 0 and s == "" for i, n, s in got if i in (3, 4, 6))
+    assert pii.redact_personal_data(no_docs, pii.fit_spans(no_docs)).count() == 0
+
+
+def test_secrets_are_reported_and_left_alone(spark):
+    text = 'token = "0641917ea4e9feb9cda83477b57ac2654884f485" and a.b@mail.com'
+    docs = spark.createDataFrame([(i, text, len(text)) for i in range(40)], "doc_id long, text string, n_chars long")
+    model = pii.fit_spans(docs)
+    assert "secret:" in pii.find_personal_data(docs, model).first().spans
+    assert pii.redact_personal_data(docs, model).first().text == text.replace("a.b@mail.com", "[EMAIL]")
+    assert "[SECRET]" in pii.redact_personal_data(docs, model, range(5)).first().text
