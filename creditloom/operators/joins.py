@@ -1,7 +1,9 @@
 """Joins that bring values to rows.
 
-Sizes are left to Spark: its broadcast threshold and adaptive execution decide from measured
-sizes. ``broadcast`` appears only where the number of rows is bounded by construction.
+Sizes are left to Spark: its broadcast threshold and adaptive execution decide from measured sizes,
+and split what a frequent key makes large. Where a key is known to hold so many rows that this is not
+enough, ``frequent_keys`` lists such keys once and the joins deal their rows out by a salt.
+``broadcast`` appears only where the number of rows is bounded by construction.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.dates import lit_date
 
-#: A key is hot if it holds more than this part of an even share of a shuffle partition's rows.
+#: A key is frequent if it holds more than this part of an even share of a shuffle partition's rows.
 HOT_SHARE = 0.25
 
 
@@ -23,50 +25,48 @@ def attach(base: DataFrame, parts: Sequence[DataFrame], keys: Sequence[str]) ->
     return reduce(lambda left, part: left.join(part, list(keys), "left"), parts, base)
 
 
-def attach_spread(
-    rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", hot_share: float = HOT_SHARE
-) -> DataFrame:
-    """Join ``side`` (unique on the keys) onto rows whose keys may be badly skewed.
-
-    Keys with more than ``hot_share`` of the rows that an even shuffle partition has go through a
-    broadcast, so their rows are not sent to one task. With P partitions no more than P / hot_share
-    keys can be that frequent, whatever the data, so the broadcast is bounded and no key is left
-    out. All others take the ordinary shuffle join, and rows with a missing key, which cannot match, take none. Without hot keys adaptive
-    execution drops the broadcast branch before it reads anything. A column ``_n`` of ``side``
-    tells the rows per key when the caller has counted them already; else they are counted here.
+def frequent_keys(rows: DataFrame, keys: Sequence[str], hot_share: float = HOT_SHARE) -> DataFrame:
+    """Keys with more than ``hot_share`` of an even partition's rows, and the parts to deal them into.
+
+    With P shuffle partitions no more than P / hot_share keys can be that frequent whatever the data,
+    and the parts of all together are no more than twice that, so the list is collected: later uses
+    read it and not the rows again. Rows with a missing key match nothing and are not counted.
     """
-    keys = list(keys)
-    added = [c for c in side.columns if c not in keys and c != "_n"]
+    spark, keys = rows.sparkSession, list(keys)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     present = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-    counted = "_n" in side.columns
-    # The filter keeps the count in both uses of the side, so that its shuffle can be shared.
-    side = side.where(F.col("_n") > 0) if counted else side
-    weights = side if counted else rows.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.where(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    heavy = counts.crossJoin(F.broadcast(total)).where(F.col("_n") * partitions > F.col("_all") * hot_share)
+    parts = F.ceil(F.col("_n") * partitions / F.col("_all")).cast("int")
+    listed = heavy.select(*keys, parts.alias("_parts"))
+    return spark.createDataFrame(listed.collect(), listed.schema)
+
+
+def attach_one(rows: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "left", hot: DataFrame | None = None) -> DataFrame:
+    """Join ``side`` (unique on the keys) onto rows, which are planned once.
+
+    Without ``hot`` this is the engine's join. ``hot`` are the keys of ``frequent_keys``: their rows
+    are dealt out by a digest of the row over as many parts as an even share needs, and their side is
+    repeated for each part; rows with a missing key are dealt out as well. All others have part 0.
+    """
+    keys = list(keys)
+    if hot is None:
+        return rows.join(side, keys, how)
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = weights.agg(F.sum("_n").alias("_all"))
-    heavy = weights.crossJoin(F.broadcast(total)).where(F.col("_n") * partitions > F.col("_all") * hot_share).drop("_all")
-    if counted:
-        hot = heavy.withColumn("_match", F.lit(1))
-    else:
-        found = side.join(F.broadcast(heavy.select(*keys)), keys, "left_semi").withColumn("_match", F.lit(1))
-        hot = heavy.join(F.broadcast(found), keys, "left")
-    through = rows.join(F.broadcast(hot), keys)
-    if how == "inner":
-        through = through.where(F.col("_match") == 1)
-    rest = rows.where(present).join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(side, keys, how)
-    cols = rows.columns + added
-    out = through.select(*cols).unionByName(rest.select(*cols))
-    if how == "left" and any(rows.schema[k].nullable for k in keys):
-        types = {f.name: f.dataType for f in side.schema.fields}
-        unmatched = rows.where(~present).withColumns({c: F.lit(None).cast(types[c]) for c in added})
-        out = out.unionByName(unmatched.select(*cols))
-    return out
-
-
-def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot_share: float = HOT_SHARE) -> DataFrame:
+    known = F.broadcast(hot)
+    missing = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    parts = F.when(missing, partitions).otherwise(F.coalesce("_parts", F.lit(1)))
+    dealt = rows.join(known, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int"))
+    every = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    repeated = side.join(known, keys, "left").withColumn("_part", F.explode(every))
+    added = [c for c in side.columns if c not in keys]
+    return dealt.drop("_parts").join(repeated.drop("_parts"), [*keys, "_part"], how).select(*rows.columns, *added)
+
+
+def with_group_value(df: DataFrame, keys: Sequence[str], value: Column, out: str, hot: DataFrame | None = None) -> DataFrame:
     """Every row with an aggregate of its key; rows with a missing key are dropped."""
-    per_key = df.groupBy(*keys).agg(value.alias(out), F.count(F.lit(1)).alias("_n"))
-    return attach_spread(df, per_key, keys, "inner", hot_share)
+    return attach_one(df, df.groupBy(*keys).agg(value.alias(out)), keys, "inner", hot)
 
 
 def expand_validity(
@@ -79,7 +79,9 @@ def expand_validity(
     return df.where(first <= last).withColumn(out, F.explode(F.sequence(first, last)))
 
 
-def tag_in_list(df: DataFrame, key: str, items: Sequence[str] | DataFrame, out: str) -> DataFrame:
+def tag_in_list(
+    df: DataFrame, key: str, items: Sequence[str] | DataFrame, out: str, hot: DataFrame | None = None
+) -> DataFrame:
     """1 where the key is listed, else 0.
 
     A Python list becomes a set test inside the scan stage. A frame (its first column holds the
@@ -87,19 +89,21 @@ def tag_in_list(df: DataFrame, key: str, items: Sequence[str] | DataFrame, out:
     """
     if isinstance(items, DataFrame):
         listed = items.select(F.col(items.columns[0]).alias(key)).distinct().withColumn(out, F.lit(1))
-        return attach_spread(df, listed, [key]).withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+        return attach_one(df, listed, [key], hot=hot).withColumn(out, F.coalesce(F.col(out), F.lit(0)))
     return df.withColumn(out, F.when(F.col(key).isin(list(items)), 1).otherwise(0))
 
 
-def lookup(df: DataFrame, dim: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+def lookup(
+    df: DataFrame, dim: DataFrame, keys: Sequence[str], cols: Sequence[str], hot: DataFrame | None = None
+) -> DataFrame:
     """Columns of a dimension that is unique on the keys; rows with a missing key get nulls."""
-    return attach_spread(df, dim.select(*keys, *cols), keys)
+    return attach_one(df, dim.select(*keys, *cols), keys, hot=hot)
 
 
 def attach_last_entity(clients: DataFrame, last: DataFrame, features: DataFrame, key: str, entity: str) -> DataFrame:
     """Key -> its last entity -> features of that entity; the entity id is dropped."""
     base = clients.select(key).join(last.select(key, entity), key, "left")
-    return attach_spread(base, features, [entity]).drop(entity)
+    return attach_one(base, features, [entity]).drop(entity)
 
 
 def onto_population(population: DataFrame, features: DataFrame, key: str) -> DataFrame:
@@ -107,10 +111,12 @@ def onto_population(population: DataFrame, features: DataFrame, key: str) -> Dat
     return population.select(key).join(features, key, "left")
 
 
-def attach_labels(df: DataFrame, labels: DataFrame, key: str, default: int = 0) -> DataFrame:
+def attach_labels(
+    df: DataFrame, labels: DataFrame, key: str, default: int = 0, hot: DataFrame | None = None
+) -> DataFrame:
     """Labels by name, ``default`` where a name has none."""
     names = [c for c in labels.columns if c != key]
-    joined = attach_spread(df, labels, [key])
+    joined = attach_one(df, labels, [key], hot=hot)
     return joined.select(*df.columns, *[F.coalesce(F.col(n), F.lit(default)).alias(n) for n in names])
 
 
@@ -120,4 +126,4 @@ def attach_month_value(
     """Value of the month end ``month_offset`` months from the row's own month."""
     rows = df.withColumn("_month", F.last_day(F.add_months(F.col(day), month_offset)))
     side = monthly.withColumnRenamed(month, "_month")
-    return attach_spread(rows, side, [key, "_month"]).drop("_month")
+    return attach_one(rows, side, [key, "_month"]).drop("_month")

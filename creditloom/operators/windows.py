@@ -48,16 +48,15 @@ def latest_complete(df: DataFrame, key: str, ts: str, cols: Sequence[str] | None
 
 
 def last_entity(df: DataFrame, key: str, age: str, entity: str) -> DataFrame:
-    """Entity with the smallest age per key; the smaller entity id wins a tie."""
-    first = F.min(F.struct(F.col(age), F.col(entity))).alias("first")
-    return df.groupBy(key).agg(first).select(key, f"first.{entity}", f"first.{age}")
+    """Entity with the smallest age per key; the smaller entity id wins a tie, a missing age or id comes last."""
+    order = [F.col(age).asc_nulls_last(), F.col(entity).asc_nulls_last()]
+    return first_per_key(df.select(key, entity, age), [key], order)
 
 
 def common_entity(df: DataFrame, key: str, entity: str) -> DataFrame:
     """Entity with most rows per key; the smaller entity id wins a tie."""
     counts = df.groupBy(key, entity).agg(F.count(F.lit(1)).alias("n"))
-    best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col(entity))).alias("best")
-    return counts.groupBy(key).agg(best).select(key, f"best.{entity}")
+    return first_per_key(counts, [key], [F.desc("n"), F.col(entity).asc_nulls_last()]).select(key, entity)
 
 
 def latest_as_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], at: Column, anchor: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.functions.columns import (
@@ -18,7 +18,6 @@ from creditloom.functions.columns import (
     member_flag,
     null_count,
     ratio,
-    share,
     to_int,
 )
 from creditloom.functions.dates import days_ago, from_epoch_ms
@@ -33,7 +32,7 @@ from creditloom.functions.packed import (
     version_number,
 )
 from creditloom.operators.aggregates import distinct_rows, entity_windows, window_totals
-from creditloom.operators.joins import attach_spread, lookup, onto_population
+from creditloom.operators.joins import attach_one, lookup, onto_population
 from creditloom.operators.projections import add_prefix, days_ago_window, fill_sentinels, require_keys
 from creditloom.operators.windows import dedup, first_per_key
 
@@ -51,6 +50,9 @@ SIM_READY = ["LOADED", "READY"]
 # Scenes of logins, onboarding and drawdown in the action log.
 SCENES = [1001, 1061, 1072, 1073, 1074, 1091, 1092, 1145, 1151, 1153, 1156]
 
+#: Parts of a device's records, by collection time.
+SLOTS = 16
+
 PERIOD_COLUMNS = ["total_storage", "used_storage", "app_name", "battery_level", "battery_status"]
 WINDOWS = (30, 90, 180, 360)
 
@@ -65,15 +67,24 @@ class DeviceLists:
     manufacturers: Mapping[str, str] = field(default_factory=dict)
 
 
-def raw_devices(raw: DataFrame, anchor: str, days: int = 360) -> DataFrame:
-    """Records of the last ``days`` partitions collected by the anchor, one per device and time."""
+def slot_of(slots: int) -> Column:
+    return F.pmod(F.xxhash64("collection_time"), F.lit(slots))
+
+
+def raw_devices(raw: DataFrame, anchor: str, days: int = 360, slots: int = SLOTS) -> DataFrame:
+    """Records of the last ``days`` partitions collected by the anchor, one per device and time.
+
+    Copies share a slot of the collection time, and rows are dealt out by device and slot, so that
+    ``last_and_averages`` finds them where it needs them.
+    """
     first = F.date_format(F.date_sub(F.lit(anchor).cast("date"), days - 1), "yyyy-MM-dd")
     kept = raw.where(
         (F.col("pt_date") <= anchor)
         & (F.col("pt_date") >= first)
         & (F.to_date("collection_time") <= F.lit(anchor).cast("date"))
-    )
-    return dedup(kept.drop("pt_date"), ["device_id", "collection_time"])
+    ).drop("pt_date")
+    dealt = kept.withColumn("_slot", slot_of(slots)).repartition("device_id", "_slot")
+    return dedup(dealt, ["device_id", "_slot", "collection_time"], [F.xxhash64(*kept.columns)]).drop("_slot")
 
 
 def normalise_devices(raw: DataFrame, anchor: str, lists: DeviceLists) -> DataFrame:
@@ -176,49 +187,61 @@ def latest_price(price: DataFrame) -> DataFrame:
     return first_per_key(price, ["model", "brand"], order)
 
 
-def period_aggregates(lists: DeviceLists) -> list[Column]:
-    """Averages and shares over all records of a device."""
-    return [
-        F.avg("used_storage").alias("avg_used_storage"),
-        F.avg("total_storage").alias("avg_total_storage"),
-        F.avg(ratio(F.col("used_storage"), F.col("total_storage"))).alias("avg_used_storage_ratio"),
-        share(F.col("battery_level") >= 90, F.col("battery_level")).alias("battery_level_ge_90_ratio"),
-        share(F.col("battery_status").isin("charging", "fully_charged"), F.col("battery_status")).alias(
-            "battery_charging_ratio"
-        ),
-        F.avg("network_is_wifi").alias("network_wifi_ratio"),
-        *[
-            share(F.col("app_name") == name, F.col("app_name")).alias(f"trigger_app_{name}_ratio")
-            for name in lists.app_names
-        ],
-    ]
+def period_values(lists: DeviceLists) -> dict[str, Column]:
+    """What is averaged over all records of a device; a share is the average of a 0/1 flag."""
 
+    def among(hit: Column, known: Column) -> Column:
+        return F.when(hit, 1).when(known.isNotNull(), 0)
+
+    values = {
+        "avg_used_storage": F.col("used_storage"),
+        "avg_total_storage": F.col("total_storage"),
+        "avg_used_storage_ratio": ratio(F.col("used_storage"), F.col("total_storage")),
+        "battery_level_ge_90_ratio": among(F.col("battery_level") >= 90, F.col("battery_level")),
+        "battery_charging_ratio": among(F.col("battery_status").isin("charging", "fully_charged"), F.col("battery_status")),
+        "network_wifi_ratio": F.col("network_is_wifi"),
+    }
+    flags = {f"trigger_app_{name}_ratio": among(F.col("app_name") == name, F.col("app_name")) for name in lists.app_names}
+    return values | flags
 
-def device_table(devices: DataFrame, price: DataFrame, anchor: str, lists: DeviceLists, period_prefix: str) -> DataFrame:
-    """One row per device: last record (``last_*``), period averages and last known price.
 
-    The last record (latest day, then fewest nulls, then latest time) and the averages come from
-    one aggregate per device, so the normalised records are shuffled by device once.
+def last_and_averages(devices: DataFrame, values: Mapping[str, Column], slots: int = SLOTS) -> DataFrame:
+    """The last record of each device with the device's averages of ``values``.
+
+    The last record has the latest day, then the fewest nulls, then the latest time. Records are
+    reduced to one per device and slot of the collection time, each with the sums and counts of its
+    slot, and these to one per device: no task holds more than a slot of a device that fills much of
+    the log, and strings ride along in the rows, so nothing is sorted to be aggregated.
     """
-    newest = F.struct(
-        F.to_date("collection_time"),
-        -null_count([F.col(c) for c in devices.columns]),
-        F.col("collection_time"),
-        F.xxhash64(*devices.columns),
+    nulls = null_count([F.col(c) for c in devices.columns])
+    rows = devices.withColumns(
+        {"_day": F.to_date("collection_time"), "_nulls": nulls, "_digest": F.xxhash64(*devices.columns), "_slot": slot_of(slots)}
     )
-    state = [c for c in devices.columns if c not in ["device_id", *PERIOD_COLUMNS]]
-    period = period_aggregates(lists)
-    per_device = devices.groupBy("device_id").agg(F.max_by(F.struct(*state), newest).alias("last"), *period)
-    averages = [c for c in per_device.columns if c not in ("device_id", "last")]
+    newest = [F.desc("_day"), F.asc("_nulls"), F.desc("collection_time"), F.desc("_digest")]
+    parts = {f"_sum_{n}": F.sum(v) for n, v in values.items()} | {f"_n_{n}": F.count(v) for n, v in values.items()}
+    again = {name: F.sum(name) for name in parts}
+    for keys, sums in ((["device_id", "_slot"], parts), (["device_id"], again)):
+        group = Window.partitionBy(*keys)
+        rank = F.row_number().over(group.orderBy(*newest))
+        rows = rows.withColumns({"_rank": rank} | {n: total.over(group) for n, total in sums.items()}).where("_rank = 1")
+    averages = [F.try_divide(F.col(f"_sum_{n}").cast("double"), F.col(f"_n_{n}")).alias(n) for n in values]
+    return rows.select(*devices.columns, *averages)
+
+
+def device_table(devices: DataFrame, price: DataFrame, anchor: str, lists: DeviceLists, period_prefix: str) -> DataFrame:
+    """One row per device: last record (``last_*``), period averages and last known price."""
+    values = period_values(lists)
+    per_device = last_and_averages(devices, values)
     before = f"{period_prefix}_" if period_prefix else ""
+    state = [c for c in devices.columns if c not in ["device_id", *PERIOD_COLUMNS]]
     kept = sorted(set(state) - {"model", "brand", "collection_time"})
     wide = per_device.select(
         "device_id",
-        F.col("last.model").alias("model"),
-        F.col("last.brand").alias("brand"),
-        *[F.col(f"last.{c}").alias(f"last_{c}") for c in kept],
-        days_ago(F.col("last.collection_time"), anchor).alias("last_days_from_collection"),
-        *[F.col(c).alias(before + c) for c in averages],
+        "model",
+        "brand",
+        *[F.col(c).alias(f"last_{c}") for c in kept],
+        days_ago(F.col("collection_time"), anchor).alias("last_days_from_collection"),
+        *[F.col(c).alias(before + c) for c in values],
     )
     prices = latest_price(price).withColumnRenamed("price_usd_median", "last_price_usd")
     return lookup(wide, prices, ["model", "brand"], ["last_price_usd"]).drop("model", "brand")
@@ -265,7 +288,7 @@ def device_features(
         table = device_table(devices, price, anchor, lists, "last")
         used = client_devices(actions, anchor, max(windows), part)
         activity = client_activity(used, key, windows)
-        out = attach_spread(activity, table, ["device_id"]).drop("device_id")
+        out = attach_one(activity, table, ["device_id"]).drop("device_id")
     out = fill_sentinels(add_prefix(out, "device", [key]), NO_VALUE, None)
     out = fill_sentinels(out, None, NO_CATEGORY, ["device_last_os"])
     return out if population is None else onto_population(population, out, key)

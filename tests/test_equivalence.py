@@ -11,7 +11,7 @@ from conftest import rows, same
 from creditloom.functions.columns import any_in_list
 from creditloom.functions.dates import month_ends
 from creditloom.operators.aggregates import activity_span, distinct_per_window, pivot_months
-from creditloom.operators.joins import attach_labels, attach_spread, expand_validity, lookup, tag_in_list, with_group_value
+from creditloom.operators.joins import attach_labels, attach_one, expand_validity, frequent_keys, lookup, tag_in_list, with_group_value
 from creditloom.operators.windows import latest_snapshot, rank_per_day, top_ranked
 from creditloom.plans.apps import app_features, app_features_stepwise
 from creditloom.plans.loans import DPD_CLASSES, build_sample, client_months
@@ -127,19 +127,43 @@ def test_span_equals_join_to_last_record(actions):
     same(activity_span(actions, "client", "age"), plain)
 
 
-@pytest.mark.parametrize("hot_share", [0, 0.25, 1e9])
+@pytest.mark.parametrize("hot_share", [None, 0, 0.25, 1e9])
 @pytest.mark.parametrize("how", ["left", "inner"])
-def test_attach_spread_equals_join(spark, daily, hot_share, how):
+def test_attach_one_equals_join(spark, daily, hot_share, how):
     side = spark.createDataFrame([("c0", 1, None), ("c2", 2, "x"), ("c9", 3, "y")], "client_no string, a int, b string")
     df = daily.select("client_no", "loan_no", "tenor")
-    same(attach_spread(df, side, ["client_no"], how, hot_share), df.join(side, "client_no", how))
-
-
-@pytest.mark.parametrize("hot_share", [0, 0.25])
+    hot = None if hot_share is None else frequent_keys(df, ["client_no"], hot_share)
+    got = attach_one(df, side, ["client_no"], how, hot)
+    same(got, df.join(side, "client_no", how))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+
+
+def test_frequent_keys_are_bounded_and_dealt_out(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id")
+    hot = frequent_keys(rows, ["k"])
+    assert [(r.k, r._parts) for r in hot.collect()] == [("hot", 2)]
+    side = spark.createDataFrame([("hot", 1), ("1", 2)], "k string, v int")
+    pinned = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in pinned}
+    for k, v in pinned.items():
+        spark.conf.set(k, v)
+    try:
+        hot = frequent_keys(rows, ["k"])
+        joined = attach_one(rows, side, ["k"], hot=hot)
+        same(joined, rows.join(side, "k", "left"))
+        per_task = joined.groupBy(F.spark_partition_id().alias("p"), "k").count().where("k = 'hot' or k is null").collect()
+        assert max(r["count"] for r in per_task) < 4_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("hot_share", [None, 0, 0.25])
 def test_with_group_value_equals_window(daily, hot_share):
     df = daily.select("client_no", "loan_no", "tenor")
     plain = df.where(F.col("client_no").isNotNull()).withColumn("hi", F.max("loan_no").over(Window.partitionBy("client_no")))
-    same(with_group_value(df, ["client_no"], F.max("loan_no"), "hi", hot_share), plain)
+    hot = None if hot_share is None else frequent_keys(df, ["client_no"], hot_share)
+    same(with_group_value(df, ["client_no"], F.max("loan_no"), "hi", hot), plain)
 
 
 def test_lookup_and_labels_and_tags(spark, daily):

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from conftest import executed
 from creditloom.operators.windows import first_per_key, top_n
 from creditloom.plans.apps import app_features
+from creditloom.plans.devices import device_features
 from creditloom.plans.job_health import job_health_labels
 from creditloom.plans.loans import loan_features
 from creditloom.sources.scans import scan_dates, scan_window
-from workload.standins import job_run, loan_daily
+from workload.standins import ACTION_ANCHOR, LISTS, actions, device_raw, job_run, loan_daily, price
 
 SF = "/root/testdata/sf0.001"
 
@@ -59,3 +60,14 @@ def test_messages_are_parsed_once(spark, tmp_path):
     df = app_features(spark.read.parquet(path), "2024-03-20", "2024-03-20", ["a"])
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_device_features_read_the_log_once(spark, tmp_path):
+    for name, frame in (("log", device_raw(spark, SF)), ("actions", actions(spark, SF)), ("price", price(spark, SF))):
+        frame.write.parquet(str(tmp_path / name))
+    log, acts, prices = (spark.read.parquet(str(tmp_path / n)) for n in ("log", "actions", "price"))
+    plan = executed(device_features(log, prices, ACTION_ANCHOR, LISTS, "client_no", acts))
+    assert scans(plan) == 3
+    # Only the clients' few devices are sorted to find the last one.
+    assert plan.count("SortAggregate") <= 2
+    assert not re.search(r"SortAggregate\(key=\[device_id", plan)
