@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType
 
 # Missing-value codes of the feature tables.
 NO_VALUE = -999999
@@ -108,12 +109,18 @@ def count_where(condition: Column) -> Column:
     return F.count_if(condition)
 
 
-def exact_sum(col: Column, scale: int = 10) -> Column:
+def exact_sum(col: Column, kind: DataType | None = None, scale: int = 10) -> Column:
     """Aggregate: money sum that does not depend on the order of addition.
 
-    Amounts keep ``scale`` decimal places and 18 digits before them; a larger one counts as missing.
+    ``kind`` is the column's type: decimals and integers are summed as they are. Other amounts keep
+    ``scale`` decimal places and 18 digits before them; one that does not fit, NaN and infinity
+    included, ends the query with an error, whatever the session's ANSI setting.
     """
-    return F.sum(col.try_cast(f"decimal({18 + scale},{scale})"))
+    if isinstance(kind, (DecimalType, IntegralType)):
+        return F.sum(col)
+    amount = col.try_cast(f"decimal({18 + scale},{scale})")
+    lost = col.isNotNull() & amount.isNull()
+    return F.sum(F.when(lost, F.raise_error(F.concat(F.lit("amount out of range: "), col.cast("string")))).otherwise(amount))
 
 
 def log_odds(p: Column) -> Column:

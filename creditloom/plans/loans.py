@@ -89,6 +89,7 @@ def client_months(daily: DataFrame, months: Sequence[str]) -> DataFrame:
     shuffles carry loans and clients only. Days within one task are combined before the shuffle.
     """
     index = range(len(months))
+    money = daily.schema["loan_disb"].dataType
     # Position of a month in the list, worked out once per row; null outside of it.
     seen_at = ladder([(F.last_day("pt_date") == lit_date(m), i) for i, m in enumerate(months)])
     rows = daily.select(
@@ -105,7 +106,7 @@ def client_months(daily: DataFrame, months: Sequence[str]) -> DataFrame:
     per_loan = per_terms.groupBy("client_no", "loan_no").agg(
         *[F.max(f"dpd_{i}").alias(f"dpd_{i}") for i in index],
         *[F.count_if(in_month[i]).alias(f"terms_{i}") for i in index],
-        *[exact_sum(F.when(in_month[i], F.col("loan_disb"))).alias(f"amount_{i}") for i in index],
+        *[exact_sum(F.when(in_month[i], F.col("loan_disb")), money).alias(f"amount_{i}") for i in index],
     )
     aggs: list[Column] = []
     for i, m in enumerate(months):

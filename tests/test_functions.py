@@ -120,5 +120,20 @@ def test_classify_first_match(spark):
 
 
 def test_exact_sum_keeps_parts_of_a_cent(spark):
-    df = spark.createDataFrame([(0.004,), (0.004,), (0.004,), (None,), (1e30,)], "x double")
+    df = spark.createDataFrame([(0.004,), (0.004,), (0.004,), (None,)], "x double")
     assert float(df.agg(C.exact_sum(F.col("x"))).first()[0]) == 0.012
+    cents = df.select(F.col("x").cast("decimal(18,3)").alias("x"))
+    assert float(cents.agg(C.exact_sum(F.col("x"), cents.schema["x"].dataType)).first()[0]) == 0.012
+
+
+@pytest.mark.parametrize("odd", [1e30, 1e18, float("nan"), float("inf")])
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_exact_sum_loses_no_amount_in_silence(spark, odd, ansi):
+    df = spark.createDataFrame([(5.0,), (odd,)], "x double")
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="amount out of range"):
+            df.agg(C.exact_sum(F.col("x"))).collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
