@@ -64,6 +64,50 @@ def latest_as_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column], at
     return first_per_key(df.where(at <= anchor), keys, order)
 
 
+def as_of_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: str, right_at: str, cols: Sequence[str],
+    ties: Sequence[str] = (),
+) -> DataFrame:
+    """Every left row with ``cols`` of the key's last right row at or before the row's own time.
+
+    Both sides are put in one order of key and time and cut into ranges, so a key of any size is
+    spread over as many parts as its rows fill. Within a part the last known right row is carried on;
+    what a part starts with is the last right row of the key in the parts before it, and there is one
+    such row per key and part. No row meets more than one other, whatever the number of right rows.
+
+    Right rows of one time: the last in the order of ``ties``, then of a digest. Left rows without a
+    key or a time, or before any right row, get nulls; right rows without them match nothing. The
+    order is materialised when this is called, because both steps must use the same parts.
+    """
+    keys = list(keys)
+    rest = [c for c in left.columns if c not in keys]
+    usable = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
+    record = F.struct(*[F.col(c) for c in cols])
+    rank = F.struct(*[F.col(c) for c in ties], F.xxhash64(*cols))
+    ours = left.select(
+        *keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*rest).alias("_left"),
+        F.xxhash64(*left.columns).alias("_digest"),
+    )
+    theirs = right.where(usable & F.col(right_at).isNotNull()).select(
+        *keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), rank.alias("_rank"), record.alias("_right"),
+    )
+    both = ours.unionByName(theirs, allowMissingColumns=True)
+    order = [F.col(c) for c in ("_at", "_side", "_rank", "_digest")]
+    placed = pinned(both.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy(*keys, "_part").orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # The last right row of each key and part, and of the parts before.
+    ends = top_n(placed.where("_side = 0"), [*keys, "_part"], [c.desc() for c in order], 1).select(*keys, "_part", "_right")
+    parts = placed.where(usable).select(*keys, "_part").distinct().join(ends, [*keys, "_part"], "left")
+    carried = parts.withColumn("_carried", F.last("_right", ignorenulls=True).over(before)).drop("_right")
+    seen = F.last("_right", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = placed.withColumn("_seen", seen).where("_side = 1").join(carried, [*keys, "_part"], "left")
+    best = F.when(usable & F.col("_at").isNotNull(), F.coalesce("_seen", "_carried"))
+    out = found.withColumn("_best", best)
+    picked = [F.col(c) if c in keys else F.col("_left")[c].alias(c) for c in left.columns]
+    return out.select(*picked, *[F.col("_best")[c].alias(c) for c in cols])
+
+
 def latest_snapshot(df: DataFrame, key: str, day: str, item: str) -> DataFrame:
     """Distinct items of each key on the key's latest day.
 

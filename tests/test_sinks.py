@@ -9,7 +9,7 @@ from conftest import rows
 from creditloom.plans import registry
 from creditloom.session import pinned, scratch_path, shared_folder
 from creditloom.sources import scans, sinks
-from creditloom.streaming.incremental import materialise_day, merge_latest, read_state, stream_latest
+from creditloom.streaming.incremental import materialise_day, merge_latest
 
 
 @pytest.fixture
@@ -93,22 +93,3 @@ def test_merge_latest(spark):
     once = merge_latest(state, today, ["k"], [F.desc("ts"), F.asc("v")])
     assert rows(once) == [("a", 2, "new"), ("b", 5, "y"), ("c", 1, "z")]
     assert rows(merge_latest(once, today, ["k"], [F.desc("ts"), F.asc("v")])) == rows(once)
-
-
-def test_stream_latest_continues_from_its_state(spark, tmp_path):
-    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "state", "cp"))
-    schema = "k string, ts timestamp, v string"
-
-    def add(data):
-        spark.createDataFrame(data, "k string, ts string, v string").withColumn("ts", F.to_timestamp("ts")).write.mode("append").parquet(source)
-
-    def run():
-        stream = spark.readStream.schema(schema).parquet(source)
-        stream_latest(stream, ["k"], [F.desc("ts"), F.asc("v")], path, checkpoint).awaitTermination()
-        return rows(read_state(spark, path).select("k", F.col("ts").cast("string"), "v"))
-
-    add([("a", "2024-01-01 10:00:00", "1"), ("a", "2024-01-01 10:00:00", "1"), ("a", "2024-01-01 10:05:00", "2")])
-    assert run() == [("a", "2024-01-01 10:05:00", "2")]
-    add([("a", "2024-01-01 10:06:00", "3"), ("b", "2024-01-01 11:00:00", "4")])
-    assert run() == [("a", "2024-01-01 10:06:00", "3"), ("b", "2024-01-01 11:00:00", "4")]
-    assert run() == [("a", "2024-01-01 10:06:00", "3"), ("b", "2024-01-01 11:00:00", "4")]

@@ -43,5 +43,5 @@ def st3(spark, d):
     rows.repartition(4, F.pmod(F.xxhash64("event_id"), F.lit(64))).write.parquet(source)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     path, checkpoint = scratch_path(spark, "state"), scratch_path(spark, "stream")
-    stream_latest(stream, ["user_id"], order(), path, checkpoint).awaitTermination()
-    return read_state(spark, path).drop("ts")
+    stream_latest(stream, ["user_id"], ["ts", "event_id"], path, checkpoint).awaitTermination()
+    return read_state(spark, path, ["user_id"]).drop("ts")

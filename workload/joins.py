@@ -16,7 +16,7 @@ from creditloom.operators.joins import (
     tag_in_list,
     with_group_value,
 )
-from creditloom.operators.windows import last_entity, latest_as_of
+from creditloom.operators.windows import as_of_join, last_entity, latest_as_of
 from creditloom.plans.apps import app_entries, parse_messages
 from creditloom.plans.devices import latest_price
 from creditloom.plans.loans import application_days, client_months
@@ -214,3 +214,23 @@ def j13(spark, d):
         rows, ["user_id"], [F.desc("ts"), F.asc("event_id")], F.to_date("ts"), F.lit("2024-01-20").cast("date")
     )
     return out.drop("ts")
+
+
+@query("j13b_as_of_join", """
+WITH r AS (SELECT brand, grass_date, min(price_usd_median) AS price FROM price GROUP BY 1, 2),
+l AS (SELECT event_id, CASE WHEN k % 20 <> 0 THEN 'brand#' || (user_id % 30) END AS brand,
+  CASE WHEN k % 30 <> 1 THEN DATE '2022-12-20' + CAST(event_id % 70 AS INTEGER) END AS day FROM ev)
+SELECT event_id, l.brand, strftime(day, '%Y-%m-%d') AS day, strftime(grass_date, '%Y-%m-%d') AS priced_on, price
+FROM l ASOF LEFT JOIN r ON l.brand = r.brand AND l.day >= r.grass_date""", ["ev", "price"])
+def j13b(spark, d):
+    """The price of an event's brand on the event's own day: the last one at or before it."""
+    k = F.col("k")
+    events = ev(spark, d).select(
+        "event_id",
+        F.when(k % 20 != 0, F.concat(F.lit("brand#"), (F.col("user_id") % 30).cast("string"))).alias("brand"),
+        F.when(k % 30 != 1, F.date_add(F.lit("2022-12-20").cast("date"), (F.col("event_id") % 70).cast("int"))).alias("day"),
+    )
+    prices = price(spark, d).groupBy("brand", "grass_date").agg(F.min("price_usd_median").alias("price"))
+    prices = prices.withColumn("priced_on", F.date_format("grass_date", "yyyy-MM-dd"))
+    joined = as_of_join(events, prices, ["brand"], "day", "grass_date", ["priced_on", "price"])
+    return joined.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
