@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from creditloom.operators import captures as C
 from creditloom.operators import evidence as E
+from creditloom.sources.footers import file_footers
 from creditloom.sources.scans import read_pages
 
 NAV = " 3.2.1\nJobs\nStages\nStorage\nEnvironment\nExecutors\nSQL\nnightly_score application UI\n"
@@ -173,5 +174,5 @@ def test_evidence_rules(spark):
 def test_small_files(spark, tmp_path):
     path = str(tmp_path / "f")
     spark.range(100).repartition(5).write.parquet(path)
-    got = E.small_files(E.file_sizes(spark, path).where(F.col("path").endswith(".parquet"))).first()
+    got = E.small_files(file_footers(spark, path)).first()
     assert (got["files"], got["small_files"]) == (5, 1)

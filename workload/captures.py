@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from creditloom.operators import captures as C
 from creditloom.operators import evidence as E
 from creditloom.session import scratch_path
-from creditloom.sources.sinks import write_parquet
+from creditloom.sources.footers import file_footers
 from workload.base import query, spread, table
 from workload.standins import ev, loan_daily
 
@@ -165,7 +165,26 @@ SELECT count(DISTINCT pt_date) AS partitions, count(DISTINCT pt_date) FILTER (pt
   AS window_partitions, count(*) FILTER (pt_date BETWEEN '1998-01-01' AND '1998-06-30') AS window_rows, count(*) AS total_rows
 FROM loan_daily""", ["loan_daily"])
 def ev7(spark, d):
-    return E.table_profile(loan_daily(spark, d), "pt_date", "1998-01-01", "1998-06-30")
+    return E.scanned_profile(loan_daily(spark, d), "pt_date", "1998-01-01", "1998-06-30")
+
+
+def stored_lines(spark, d):
+    """Line items as a table by return flag and line number, one file for each pair; the table's folder."""
+    path = scratch_path(spark, "lines")
+    keys = ["l_returnflag", "l_linenumber"]
+    lines = table(spark, d, "lineitem").select(*keys, "l_orderkey", "l_extendedprice")
+    lines.repartition(*keys).write.partitionBy(*keys).parquet(path)
+    return path
+
+
+@query("ev7_footer_profile", """
+SELECT count(DISTINCT l_linenumber) AS partitions, count(DISTINCT l_linenumber) FILTER (l_linenumber BETWEEN 2 AND 4) AS window_partitions,
+  count(*) FILTER (l_linenumber BETWEEN 2 AND 4) AS window_rows, count(*) AS total_rows,
+  count(DISTINCT (l_returnflag, l_linenumber)) AS files, true AS has_bytes FROM lineitem""")
+def ev7_footers(spark, d):
+    files = file_footers(spark, stored_lines(spark, d), ["l_linenumber"])
+    profile = E.table_profile(files, "l_linenumber", "2", "4")
+    return profile.withColumn("has_bytes", F.col("total_bytes") > F.col("total_rows")).drop("total_bytes")
 
 
 @query("ev7_partition_rows", "SELECT pt_date, count(*) AS n_rows FROM loan_daily GROUP BY 1", ["loan_daily"])
@@ -367,12 +386,13 @@ def ev10(spark, d):
     )
 
 
-@query("ev11_small_files")
+@query("ev11_small_files", """
+SELECT l_returnflag, count(DISTINCT l_linenumber) AS files, 1 AS small_files, count(*) AS rows FROM lineitem GROUP BY 1""")
 def ev11(spark, d):
-    path = scratch_path(spark, "files")
-    write_parquet(loan_daily(spark, d).withColumn("year", F.substring("pt_date", 1, 4)), path, ["year"], 4)
-    files = E.file_sizes(spark, path).withColumn("year", F.regexp_extract("folder", r"year=(\d+)", 1))
-    return E.small_files(files, ["year"]).drop("total_bytes", "mean_bytes")
+    files = file_footers(spark, stored_lines(spark, d), ["l_returnflag"])
+    counted = files.groupBy("l_returnflag").agg(F.sum("rows").alias("rows"))
+    found = E.small_files(files, ["l_returnflag"]).drop("total_bytes", "mean_bytes")
+    return found.join(counted, "l_returnflag")
 
 
 @query("ev12_hot_keys", """
@@ -444,3 +464,15 @@ SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS IN
 def ev_links(spark, d):
     links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
     return table(spark, d, "pages").select("page_id", F.size(links).alias("links"))
+
+
+@query("ev12_hot_words", """
+WITH w AS (SELECT unnest(string_split(coalesce(text, ''), ' ')) AS word FROM documents),
+c AS (SELECT word, count(*) AS n_rows FROM w GROUP BY 1)
+SELECT word, n_rows, n_rows::DOUBLE / (SELECT sum(n_rows)::DOUBLE FROM c) AS share,
+  n_rows::DOUBLE / (SELECT sum(n_rows)::DOUBLE FROM c) * (SELECT count(*) FROM c) AS times_mean
+FROM c ORDER BY n_rows DESC, word LIMIT 10""")
+def ev12_words(spark, d):
+    """Words of all texts: far more keys than the sketch holds."""
+    words = F.explode(F.split(F.coalesce("text", F.lit("")), " ")).alias("word")
+    return E.hot_keys(table(spark, d, "documents").select(words), "word", 10, 1024)
