@@ -5,11 +5,11 @@ the strings of up to DEPTH symbols before a symbol. Contexts of up to HEAD symbo
 longer one is retained if it was seen LEAST_COUNT times and its next-symbol distribution diverges from
 that of the context one symbol shorter by enough to matter: LEAST_GAIN bits over all its positions.
 Both are absolute, so the tree grows with the corpus. A context's distribution is smoothed with the
-shorter context's. A symbol is predicted by the longest retained suffix of what precedes it. A token's
-probability is the mean of two: what the tree gives to its symbols and its share of all tokens learned
-from, which smooths the tree where a word is known. As in the base, all tokens that were not learned are
-one more token; its probability is the share of words learned once only (Good-Turing), and what it takes
-is taken from the others alike.
+shorter context's, which weighs as many occurrences as the context has different next symbols (and
+LEAST_SMOOTHING more). A symbol is predicted by the longest retained suffix of what precedes it. A token's
+probability is a mixture: TREE_SHARE of what the tree gives to its symbols, one by one, and the rest of
+its share of all tokens learned from. A token that was not learned has the tree's part alone, so it is
+as likely as its spelling.
 
 The corpus is counted in full, in Spark, and the tree stays there: its longer contexts lie in buckets by
 their last symbols, so that a bucket holds every context with all its shorter ones. A block of documents
@@ -34,11 +34,11 @@ from creditloom.llm.common import column_bytes, held_out, kept_in_store, slices,
 
 DEPTH, HEAD = 5, 2
 LEAST_COUNT, LEAST_GAIN = 4, 16.0
-SMOOTHING = 5.0
+LEAST_SMOOTHING = 0.5
+TREE_SHARE = 0.85
 FOLDS = 10
 #: A byte that no UTF-8 text has: the end mark, and what stands before a text.
 END = 0xFF
-LANES = 4096
 BLOCK_BYTES = 8 << 20
 MOST_WORDS, MOST_GRAMS = 300_000, 2_000_000
 #: Buckets of longer contexts: at least so many, and one for so many blocks.
@@ -127,7 +127,7 @@ def _places(names: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def retained(levels: list[Level], least_count: float, least_gain: float) -> list[tuple[np.ndarray, ...]]:
-    """Of each level: all its contexts, their counts, which are retained, and the context of each code.
+    """Of each level: its contexts, their counts, which are retained, each code's context, next symbols of each.
 
     ``levels[k]``: sorted codes of a symbol after k context symbols, and their counts.
     """
@@ -139,14 +139,14 @@ def retained(levels: list[Level], least_count: float, least_gain: float) -> list
         if k > HEAD:
             at = np.searchsorted(levels[k - 1][0], _low(codes, k))
             p = counts / sums[rows]
-            _, shorter_sums, _, shorter_rows = found[k - 1]
+            _, shorter_sums, _, shorter_rows, _ = found[k - 1]
             q = levels[k - 1][1][at] / shorter_sums[shorter_rows[at]]
             divergence = np.bincount(rows, p * np.log2(p / q), minlength=len(names))
             kept = (sums >= least_count) & (divergence * sums >= least_gain)
-        found.append((names, sums, kept, rows))
+        found.append((names, sums, kept, rows, np.bincount(rows, minlength=len(names))))
     # A retained context needs the shorter ones it is smoothed with.
     for k in range(len(levels) - 1, HEAD + 1, -1):
-        names, _, kept, _ = found[k]
+        names, _, kept, _, _ = found[k]
         found[k - 1][2][np.searchsorted(found[k - 1][0], _low(names[kept], k - 1))] = True
     return found
 
@@ -168,105 +168,14 @@ def gram_logs(
         return np.where(there, levels[k][1][at], 0) if len(levels[k][0]) else np.zeros(len(codes))
 
     p = (seen(0) + 0.5) / (levels[0][1].sum() + 128)
-    for k, (names, sums, kept, _) in enumerate(retained(levels, least_count, least_gain)):
-        names, sums = names[kept], sums[kept]
+    for k, (names, sums, kept, _, distinct) in enumerate(retained(levels, least_count, least_gain)):
+        names, sums, weight = names[kept], sums[kept], distinct[kept] + LEAST_SMOOTHING
         if k and len(names):
             at, there = _places(names, _low(codes >> 8, k))
-            p = np.where(there, (seen(k) + SMOOTHING * p) / (sums[at] + SMOOTHING), p)
+            p = np.where(there, (seen(k) + weight[at] * p) / (sums[at] + weight[at]), p)
     return np.log10(p)
 
 
-class SuffixTree:
-    """A whole tree in one process, for small corpora: ``score_texts`` gives the same from buckets.
-
-    Transitions and log10 probabilities of the tree's automaton; row 0 is the empty context."""
-
-    def __init__(self, classes: np.ndarray, step: np.ndarray, logs: np.ndarray):
-        self.classes, self.step, self.logs = classes, step, logs
-
-    @classmethod
-    def build(cls, levels: list[Level], least_count: float = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> SuffixTree:
-        """``levels[k]``: sorted codes of a symbol after k context symbols, and their counts."""
-        seen = levels[0][0].astype(int)
-        classes = np.full(256, len(seen), dtype=np.int64)
-        classes[seen] = np.arange(len(seen))
-        width = len(seen) + 1
-        contexts, sums, kept, rows_of = zip(*retained(levels, least_count, least_gain), strict=True)
-        # Distributions by level, each smoothed with that of the context one symbol shorter.
-        root = np.full(width, 0.5)
-        root[classes[levels[0][0] & 255]] += levels[0][1]
-        root /= root[:-1].sum() + root[-1] * (256 - len(seen))
-        names = [np.zeros(1, dtype=np.int64)]
-        distributions = [root[None, :]]
-        for k in range(1, len(levels)):
-            chosen = np.flatnonzero(kept[k])
-            place = np.full(len(contexts[k]), -1)
-            place[chosen] = np.arange(len(chosen))
-            row = place[rows_of[k]]
-            table = np.zeros((len(chosen), width))
-            table[row[row >= 0], classes[levels[k][0][row >= 0] & 255]] = levels[k][1][row >= 0]
-            names.append(contexts[k][chosen])
-            parent = np.searchsorted(names[k - 1], names[k] & ((1 << (8 * (k - 1))) - 1))
-            table += SMOOTHING * distributions[k - 1][parent]
-            distributions.append(table / (sums[k][chosen] + SMOOTHING)[:, None])
-        return cls._automaton(classes, width, names, distributions)
-
-    @classmethod
-    def _automaton(cls, classes, width, names, distributions) -> SuffixTree:
-        """States are the retained contexts and all their beginnings, so that a step needs only the state.
-
-        A step from a state leads to the longest state that ends what has been read: the state plus
-        the symbol if that is one, or else wherever the state one symbol shorter leads.
-        """
-        depth = len(names) - 1
-        states = [np.zeros(1, dtype=np.int64)] * (depth + 1)
-        for k in range(depth, 0, -1):
-            longer = states[k + 1] >> 8 if k < depth else names[k]
-            states[k] = np.unique(np.concatenate([names[k], longer]))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in states])])
-        logs = np.empty((offsets[-1], width), dtype=np.float32)
-        step = np.zeros((offsets[-1], width), dtype=np.int32)
-        logs[0] = np.log10(distributions[0][0])
-        for k in range(depth + 1):
-            own = np.arange(offsets[k], offsets[k + 1])
-            if k:
-                shorter = offsets[k - 1] + np.searchsorted(states[k - 1], states[k] & ((1 << (8 * (k - 1))) - 1))
-                step[own], logs[own] = step[shorter], logs[shorter]
-                retained = own[np.searchsorted(states[k], names[k])]
-                logs[retained] = np.log10(distributions[k])
-            if k < depth:
-                longer = states[k + 1]
-                source = offsets[k] + np.searchsorted(states[k], longer >> 8)
-                step[source, classes[longer & 255]] = np.arange(offsets[k + 1], offsets[k + 2])
-        return cls(classes, step, logs)
-
-    def score(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of a stream, the end marks included."""
-        coded = self.classes[symbols].astype(np.int32)
-        n = len(coded)
-        per_lane = -(-n // LANES)
-        padded = np.zeros(DEPTH + per_lane * LANES, dtype=np.int32)
-        padded[DEPTH : DEPTH + n] = coded
-        padded[:DEPTH] = self.classes[END]
-        width = self.step.shape[1]
-        step, logs = self.step.ravel(), self.logs.ravel()
-        # Every lane first reads the DEPTH symbols before its own, which determine its state.
-        begins = np.arange(LANES) * per_lane
-        columns = np.lib.stride_tricks.sliding_window_view(padded, DEPTH + per_lane)[begins].T
-        columns = np.ascontiguousarray(columns)
-        state = np.zeros(LANES, dtype=np.int32)
-        found = np.empty((per_lane, LANES), dtype=np.float32)
-        for t in range(DEPTH + per_lane):
-            at = state * width + columns[t]
-            if t >= DEPTH:
-                logs.take(at, out=found[t - DEPTH])
-            state = step.take(at)
-        flat = found.T.ravel()[:n].astype(np.float64)
-        begins = np.sort(np.concatenate([starts + DEPTH, np.flatnonzero(symbols == 0x20) + 1]))
-        flat[(starts[:, None] + np.arange(DEPTH)[None, :]).ravel()] = 0
-        return np.add.reduceat(flat, begins)
-
-
 def _levels(found: pa.Table, depth: int) -> list[Level]:
     """Sorted codes and counts after 0 to ``depth`` context symbols, from those after ``depth``."""
     code, n = (found.column(c).to_numpy() for c in ("code", "n"))
@@ -280,18 +189,6 @@ def _totals(root: Level) -> tuple[int, int]:
     return symbols.get(0x20, 0) + n_texts, n_texts
 
 
-def fit_tree(
-    texts: DataFrame, least_share: float = 0.0, least_gain: float = LEAST_GAIN, least_count: float = LEAST_COUNT
-) -> tuple[SuffixTree, int, int]:
-    """The whole tree of a small corpus, its tokens, and its texts; all its grams reach the driver.
-
-    A share of all positions can be asked of longer contexts as well.
-    """
-    levels = _levels(count_grams(texts).toArrow(), DEPTH)
-    least = max(least_count, least_share * levels[0][1].sum())
-    return SuffixTree.build(levels, least, least_gain), *_totals(levels[0])
-
-
 def _packed(codes: np.ndarray) -> bytes:
     """Sorted codes as compressed differences."""
     return pa.compress(np.diff(codes, prepend=np.int64(0)).tobytes(), "zstd", asbytes=True)
@@ -386,8 +283,7 @@ def stream_logs(symbols: np.ndarray, starts: np.ndarray, codes: np.ndarray, logs
 
 
 RESULT = (
-    "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, known_score double, "
-    "block_distinct long, block_single long"
+    "doc_id long, held_out boolean, n_tokens long, n_known long, known_log double, score double, block_distinct long"
 )
 
 
@@ -399,7 +295,8 @@ def score_texts(
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. A document is held
     out if crc32 of its doc_id as text is a multiple of FOLDS; one without a doc_id is held out. A
     null text counts as empty: its only token is the end. Repeated rows are separate documents.
-    Without any document to learn from, every token is new: base probability one, probability a half.
+    Without any document to learn from, every token is new: base probability one, and all symbols alike.
+    An empty table gives no rows. A text is scored whole, however long, in parts of some megabytes.
 
     Word counts are attached by blocks of documents: a block's distinct words are shuffled to the
     counts and back, not its word occurrences, and a word has at most one row or a few per block. The
@@ -465,8 +362,7 @@ def score_texts(
         counts = dict(zip(words.column("word").to_pylist(), c.tolist(), strict=True))
         counts[b"\xff"] = n_texts
         once = words.column("once").to_numpy()
-        once = c[once.astype(bool)]
-        totals = {"block_distinct": int((once > 0).sum()), "block_single": int((once == 1).sum())}
+        distinct = int((c[once.astype(bool)] > 0).sum())
         given = [normal(t) for chunk in texts.column("text").chunks for t in column_bytes(chunk)]
         columns: list[list[np.ndarray]] = [[], [], [], []]
         at = 0
@@ -480,33 +376,30 @@ def score_texts(
             firsts = np.cumsum(sizes) - sizes
             flat = chain.from_iterable([*w, b"\xff"] for w in part)
             known = np.fromiter(map(counts.__getitem__, flat), np.float64, sizes.sum())
-            by_tree = stream_logs(*stream(part), codes, logs) * np.log(10)
+            by_tree = stream_logs(*stream(part), codes, logs)
             with np.errstate(divide="ignore"):
-                by_share = np.log(known / max(1, n_train))
-            mean = np.logaddexp(by_tree, by_share) + np.log(0.5)
+                by_share = np.log10(known * (1 - TREE_SHARE) / max(1, n_train))
+            most = np.maximum(by_tree + np.log10(TREE_SHARE), by_share)
+            least = np.minimum(by_tree + np.log10(TREE_SHARE), by_share)
             columns[0].append(sizes)
             columns[1].append(np.add.reduceat((known > 0).astype(np.int64), firsts))
             columns[2].append(np.add.reduceat(np.log10(known + 0.1), firsts))
-            columns[3].append(np.add.reduceat(np.where(known > 0, mean, 0), firsts) / np.log(10))
+            columns[3].append(np.add.reduceat(most + np.log10(1 + 10.0 ** (least - most)), firsts))
             at = stop
         joined = [np.concatenate(x) if x else np.zeros(0) for x in columns]
-        names = ("n_tokens", "n_known", "known_log", "known_score")
+        names = ("n_tokens", "n_known", "known_log", "score")
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         out = {"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out")}
         out |= {name: pa.array(x, kind) for name, x, kind in zip(names, joined, kinds, strict=True)}
-        # A block's share of the totals stands in its first row.
-        out |= {name: pa.array([n, *[0] * len(given)][: len(given)], pa.int64()) for name, n in totals.items()}
+        # A block's share of the distinct words stands in its first row.
+        out["block_distinct"] = pa.array([distinct, *[0] * len(given)][: len(given)], pa.int64())
         return pa.table(out)
 
     scored = blocked.groupBy("block").cogroup(attached.groupBy("block")).applyInArrow(score_block, RESULT)
     scored = kept_in_store(scored, "lm-scores")
-    totals = scored.agg(
-        *[F.coalesce(F.sum(f"block_{c}"), F.lit(0)).alias(f"_{c}") for c in ("distinct", "single")]
-    ).withColumn("_new", (F.col("_single") + 1) / F.lit(n_train + 2))
+    totals = scored.agg(F.coalesce(F.sum("block_distinct"), F.lit(0)).alias("_distinct"))
     distinct = F.col("_distinct") + int(n_texts > 0)
     base = F.col("known_log") - F.col("n_tokens") * F.log10(F.lit(float(n_train)) + 0.1 * (distinct + 1))
-    new = F.col("n_tokens") - F.col("n_known")
-    score = F.col("known_score") + F.col("n_known") * F.log10(1 - F.col("_new")) + new * F.log10("_new")
     return scored.crossJoin(F.broadcast(totals)).select(
         "doc_id",
         "held_out",
@@ -514,5 +407,5 @@ def score_texts(
         "n_known",
         F.lit(n_train).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        score.alias("score"),
+        "score",
     )
