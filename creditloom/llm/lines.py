@@ -2,9 +2,12 @@
 
 Every line is described by a few yes/no features. The field scores content and boilerplate for each
 line and for each step between lines; Viterbi decoding picks the best sequence, and the share of a
-document's words in content lines decides whether it stays. The field is fitted by maximum
-likelihood on a bounded sample of labelled documents, whose lines all carry the document's label:
-noisy for single lines, but common features of bad documents stand out.
+document's words in content lines decides whether it stays.
+
+Labels are given for documents only, so the lines' states are latent and found by expectation
+maximisation on a bounded sample. The expected states of a bad document are shifted until most of its
+words are boilerplate, and those of a good one until nearly all are content; which of a bad document's
+lines are bad, and how often states change from line to line, the field learns from all documents.
 """
 
 from __future__ import annotations
@@ -19,9 +22,12 @@ from pyspark.sql import functions as F
 from creditloom.llm.common import column_bytes
 
 #: Bound of the fit sample: documents of each label, those with the smallest digest of their id, and
-#: lines of a document (longer ones are not in the sample).
+#: lines of a document (a longer one takes part with so many consecutive lines, from a digest of its id).
 FIT_DOCS, FIT_LINES = 600, 96
-FIT_ROUNDS, FIT_STEP, FIT_DECAY = 120, 0.5, 1e-3
+#: Rounds of expectation maximisation, steps of ascent in each.
+FIT_ROUNDS, FIT_STEPS, FIT_STEP, FIT_DECAY = 4, 50, 0.5, 1e-3
+#: Expected share of a document's words in content lines: at most, if bad, and at least, if good.
+BAD_AT_MOST, GOOD_AT_LEAST = 0.4, 0.97
 KEEP_SHARE = 0.5
 WINDOW = 3
 
@@ -132,8 +138,8 @@ class LineField:
         self.weights, self.steps = weights, steps
 
     @classmethod
-    def fit(cls, documents: list[np.ndarray], labels: list[int]) -> LineField:
-        """Gradient ascent on the mean log likelihood of the label sequences, documents in a block."""
+    def fit(cls, documents: list[np.ndarray], labels: list[int], words: list[np.ndarray] | None = None) -> LineField:
+        """Expectation maximisation over documents' line features, labels and words per line (or 1 each)."""
         features = documents[0].shape[1] if documents else len(FEATURES)
         field = cls(np.zeros((features, 2)), np.zeros((2, 2)))
         if not documents:
@@ -141,30 +147,65 @@ class LineField:
         most = max(len(d) for d in documents)
         x = np.zeros((len(documents), most, features))
         mask = np.zeros((len(documents), most))
+        sizes = np.zeros((len(documents), most))
         for i, d in enumerate(documents):
             x[i, : len(d)], mask[i, : len(d)] = d, 1
+            sizes[i, : len(d)] = 1 if words is None else words[i] + 1e-3
         y = np.array(labels)
+        # Every document counts alike, and both labels count alike.
         per_line = mask / mask.sum(axis=1, keepdims=True) / len(documents)
         balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         per_line = per_line * balance[:, None]
         flat = x.reshape(-1, features)
         want = np.zeros((*mask.shape, 2))
         want[np.arange(len(y))[:, None], np.arange(most)[None, :], y[:, None]] = 1
-        moments_w, moments_s = np.zeros_like(field.weights), np.zeros_like(field.steps)
-        for _ in range(FIT_ROUNDS):
-            single, double = field._marginals((flat @ field.weights).reshape(*mask.shape, 2), mask)
-            down = ((want - single) * per_line[..., None]).reshape(-1, 2)
-            grad_w = flat.T @ down - FIT_DECAY * field.weights
-            pair_weight = per_line[:, 1:] * mask[:, 1:]
-            have = np.zeros_like(double)
-            have[np.arange(len(y)), :, y, y] = 1
-            grad_s = ((have - double) * pair_weight[..., None, None]).sum(axis=(0, 1)) - FIT_DECAY * field.steps
-            moments_w += grad_w**2
-            moments_s += grad_s**2
-            field.weights = field.weights + FIT_STEP * grad_w / (np.sqrt(moments_w) + 1e-8)
-            field.steps = field.steps + FIT_STEP * grad_s / (np.sqrt(moments_s) + 1e-8)
+        have = np.zeros((len(y), most - 1, 2, 2))
+        for round_ in range(FIT_ROUNDS):
+            if round_:
+                # The first expectation looks at lines alone: the steps are from one state a document.
+                told = field if round_ > 1 else cls(field.weights, np.zeros((2, 2)))
+                want, have = told._expected((flat @ told.weights).reshape(*mask.shape, 2), mask, sizes, y)
+            else:
+                have[np.arange(len(y)), :, y, y] = mask[:, 1:]
+            field = cls(np.zeros((features, 2)), np.zeros((2, 2)))
+            moments_w, moments_s = np.zeros_like(field.weights), np.zeros_like(field.steps)
+            for _ in range(FIT_STEPS):
+                single, double = field._marginals((flat @ field.weights).reshape(*mask.shape, 2), mask)
+                down = ((want - single) * per_line[..., None]).reshape(-1, 2)
+                grad_w = flat.T @ down - FIT_DECAY * field.weights
+                grad_s = ((have - double) * per_line[:, 1:, None, None]).sum(axis=(0, 1)) - FIT_DECAY * field.steps
+                moments_w += grad_w**2
+                moments_s += grad_s**2
+                field.weights = field.weights + FIT_STEP * grad_w / (np.sqrt(moments_w) + 1e-8)
+                field.steps = field.steps + FIT_STEP * grad_s / (np.sqrt(moments_s) + 1e-8)
         return field
 
+    def _expected(self, scores, mask, sizes, y) -> tuple[np.ndarray, np.ndarray]:
+        """Expected states of lines and of steps, each document's shifted until its label's share is met."""
+        single, double = self._marginals(scores, mask)
+        logit = np.log(single[..., 1] + 1e-9) - np.log(single[..., 0] + 1e-9)
+        share = sizes / sizes.sum(axis=1, keepdims=True)
+
+        def content(shift):
+            return (share / (1 + np.exp(-np.clip(logit + shift[:, None], -60, 60)))).sum(axis=1)
+
+        low, high = np.full(len(y), -60.0), np.full(len(y), 60.0)
+        aim = np.where(y == 1, GOOD_AT_LEAST, BAD_AT_MOST)
+        for _ in range(40):
+            middle = (low + high) / 2
+            under = content(middle) < aim
+            low, high = np.where(under, middle, low), np.where(under, high, middle)
+        now = content(np.zeros(len(y)))
+        met = np.where(y == 1, now >= aim, now <= aim)
+        shift = np.where(met, 0.0, (low + high) / 2)
+        tilt = np.exp(np.clip(shift, -30, 30) / 2)[:, None]
+        odds = np.stack([single[..., 0] / tilt, single[..., 1] * tilt], axis=-1)
+        want = odds / np.maximum(odds.sum(axis=-1, keepdims=True), 1e-300) * mask[..., None]
+        state = np.stack([1 / tilt[:, 0], tilt[:, 0]], axis=-1)
+        pairs = double * state[:, None, :, None] * state[:, None, None, :]
+        have = pairs / np.maximum(pairs.sum(axis=(2, 3), keepdims=True), 1e-300) * mask[:, 1:, None, None]
+        return want, have
+
     def _marginals(self, scores: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward-backward over all documents at once; lines past a document's end change nothing."""
         n, most, _ = scores.shape
@@ -205,37 +246,43 @@ class LineField:
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = FIT_DOCS, most_lines: int = FIT_LINES) -> LineField:
-    """The field of ``labels.quality``; the lines are described in Spark, the fit sample is bounded."""
+    """The field of ``labels.quality``; the lines are described in Spark, the fit sample is bounded.
+
+    A document with several labels has the larger; null or other labels, and labels without a
+    document, are left out before the sample is taken. Of documents that share a doc_id each takes
+    part. A document with more than ``most_lines`` takes part with so many consecutive lines.
+    """
     key = F.xxhash64("doc_id", F.lit(3))
-    # Of a document with several labels the larger counts; few rows a label are chosen before texts are read.
-    marked = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Few rows a label are chosen before texts are read.
+    marked = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max("quality").cast("int").alias("quality")
+    )
+    marked = marked.join(texts.select("doc_id"), "doc_id", "left_semi")
     chosen = None
     for label in (0, 1):
         part = marked.where(F.col("quality") == label).orderBy(key, "doc_id").limit(per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
-    picked = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(picked, F.col("doc_id") == F.col("_id"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").withColumn("_from", F.xxhash64("doc_id", F.lit(4)))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in column_bytes(batch.column("text")):
-                features = described(text)[1]
-                out.append(features.astype(np.uint8).tobytes() if len(features) <= most_lines else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array(out, pa.binary())], ["doc_id", "quality", "lines"]
-            )
+            lines, counts = [], []
+            for text, place in zip(column_bytes(batch.column("text")), batch.column("_from").to_pylist(), strict=True):
+                _, features, words = described(text)
+                at = place % max(1, len(words) - most_lines + 1)
+                lines.append(features[at : at + most_lines].astype(np.uint8).tobytes())
+                counts.append(words[at : at + most_lines].astype(np.int32).tobytes())
+            arrays = [batch.column("doc_id"), batch.column("quality"), pa.array(lines, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "quality", "lines", "words"])
 
-    sample = (
-        rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "text")
-        .mapInArrow(describe, "doc_id long, quality int, lines binary")
-        .where("lines is not null")
-        .orderBy("doc_id", "quality", "lines")
-        .limit(2 * per_label)
-        .collect()
+    described_rows = rows.select("doc_id", "quality", "text", "_from").mapInArrow(
+        describe, "doc_id long, quality int, lines binary, words binary"
     )
+    sample = described_rows.orderBy("doc_id", "quality", "lines", "words").limit(2 * per_label).collect()
     lines = [np.frombuffer(bytes(r.lines), dtype=np.uint8).reshape(-1, len(FEATURES)).astype(np.float64) for r in sample]
-    return LineField.fit(lines, [r.quality for r in sample])
+    words = [np.frombuffer(bytes(r.words), dtype=np.int32).astype(np.float64) for r in sample]
+    return LineField.fit(lines, [r.quality for r in sample], words)
 
 
 RESULT = (
@@ -249,7 +296,8 @@ def judge_lines(docs: DataFrame, field: LineField, share: float = KEEP_SHARE) ->
 
     base_failed: under 50 words, or over half of the words in repeated 3-word windows. kept: not
     base_failed, and at least ``share`` of the words in content lines. A null or empty text has one
-    line without words and fails; a null doc_id stays null; repeated rows are judged alike.
+    line without words and fails; a null doc_id stays null; repeated rows are judged alike; an empty
+    table gives no rows. A text is judged whole, however long, in time proportional to its length.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

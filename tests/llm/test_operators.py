@@ -3,6 +3,7 @@
 import hashlib
 import io
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -72,32 +73,16 @@ def test_base_and_tree_scores(spark, sample):
     c = Counter(w for i in learn for w in texts[i])
     n, v = sum(c.values()), len(c)
     got = {r.doc_id: r for r in suffix_tree.score_texts(docs, block_bytes=1 << 17).collect()}
-    held = [0.0, 0.0]
     for i, ws in texts.items():
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
         assert math.isclose(got[i].base_score, base, rel_tol=1e-9)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
         assert got[i].held_out == (i not in learn)
-        if got[i].held_out:
-            held[0] += base
-            held[1] += got[i].score
-    assert held[1] > held[0]
-
-
-def test_tree_is_a_distribution_and_walks_to_longest_suffix(spark):
-    texts = spark.createDataFrame([("abracadabra abra cadabra " * 20,), ("xyz",)], "text string")
-    tree, tokens, n = suffix_tree.fit_tree(texts, least_share=1e-3)
-    assert n == 2 and tokens == 20 * 3 + 1 + 2
-    assert np.allclose((10.0 ** tree.logs[:, tree.classes].astype(float)).sum(axis=1), 1, atol=1e-4)
-    symbols, starts = suffix_tree.stream([[b"abracadabra", b"cad"], []])
-    got = tree.score(symbols, starts)
-    state, want = 0, []
-    for j, s in enumerate(symbols):
-        value = float(tree.logs[state, tree.classes[s]])
-        if j >= 5 and not starts[1] <= j < starts[1] + 5:
-            want.append(value)
-        state = tree.step[state, tree.classes[s]]
-    assert len(got) == 4 and math.isclose(got.sum(), sum(want), rel_tol=1e-5)
+
+
+def test_held_out_texts_are_likelier_than_by_the_base(spark):
+    held = catalog.QUERIES["op2_suffix_tree_scores"](spark, SF).where("held_out").groupBy().sum("score", "base_score").first()
+    assert held[0] > held[1]
 
 
 def test_contexts_are_kept_by_count_and_not_by_share(spark):
@@ -109,25 +94,89 @@ def test_contexts_are_kept_by_count_and_not_by_share(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert zlib.crc32(b"1") % 10
     scores = [r.score for r in suffix_tree.score_texts(docs).where("n_tokens = 2").collect()]
-    # Two tokens, each about as likely as half of what the tree gives to a text it knows.
-    assert len(scores) == 30 and all(x > -2 for x in scores)
-
-
-def test_scores_by_buckets_are_those_of_the_whole_tree(spark, sample):
-    docs = sample.limit(300)
+    # The word is nearly certain after its first letter or two.
+    assert len(scores) == 30 and all(x > -8 for x in scores)
+
+
+class PlainTree:
+    """The tree by its definition: a dictionary from contexts to counts of the next symbol."""
+
+    def __init__(self, texts, least_count, least_gain):
+        self.next = {}
+        for words in texts:
+            symbols = b"\xff" * 5 + b" ".join([*words, b"\xff"])
+            for i in range(5, len(symbols)):
+                for k in range(6):
+                    self.next.setdefault(symbols[i - k : i], Counter())[symbols[i]] += 1
+        kept = set()
+        for context, counts in self.next.items():
+            total = sum(counts.values())
+            if len(context) > 2:
+                shorter = self.next[context[1:]]
+                below = sum(shorter.values())
+                gain = sum(n * math.log2(n / total / (shorter[x] / below)) for x, n in counts.items())
+                if total < least_count or gain < least_gain:
+                    continue
+            kept |= {context[i:] for i in range(len(context) + 1)}
+        self.kept = kept
+
+    def symbol(self, context, x):
+        empty = self.next.get(b"", Counter())
+        p = (empty[x] + 0.5) / (sum(empty.values()) + 128)
+        for k in range(1, 6):
+            suffix = context[len(context) - k :]
+            if suffix not in self.kept:
+                break
+            weight = len(self.next[suffix]) + 0.5
+            p = (self.next[suffix][x] + weight * p) / (sum(self.next[suffix].values()) + weight)
+        return p
+
+    def tokens(self, words):
+        symbols = b"\xff" * 5 + b" ".join([*words, b"\xff"])
+        out = [0.0]
+        for i in range(5, len(symbols)):
+            out[-1] += math.log10(self.symbol(symbols[i - 5 : i], symbols[i]))
+            if symbols[i] == 0x20:
+                out.append(0.0)
+        return out
+
+
+def test_scores_are_those_of_a_plain_tree(spark, sample):
+    docs = sample.limit(120)
     texts = {r.doc_id: suffix_tree.normal(r.text.encode()) for r in docs.collect()}
-    learn = {i for i in texts if zlib.crc32(str(i).encode()) % 10}
-    tree, n, n_texts = suffix_tree.fit_tree(docs.where(docs.doc_id.isin(list(learn))), least_gain=8.0, least_count=6)
-    assert len(tree.logs) > 2_000
-    c = Counter(w for i in learn for w in texts[i])
-    new = (sum(x == 1 for x in c.values()) + (n_texts == 1) + 1) / (n + 2)
-    got = suffix_tree.score_texts(docs, block_bytes=1 << 17, least_gain=8.0, least_count=6).collect()
-    assert len(got) == 300
+    learn = [ws for i, ws in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    tree = PlainTree(learn, 6, 8.0)
+    assert sum(len(c) > 2 for c in tree.kept) > 300
+    c = Counter(w for ws in learn for w in ws)
+    n = sum(c.values()) + len(learn)
+    got = suffix_tree.score_texts(docs, block_bytes=1 << 16, least_gain=8.0, least_count=6).collect()
+    assert len(got) == 120
     for r in got:
-        by_tree = tree.score(*suffix_tree.stream([texts[r.doc_id]]))
-        known = np.array([c[w] for w in texts[r.doc_id]] + [n_texts])
-        mean = (10.0**by_tree + known / n) / 2 * (1 - new)
-        assert math.isclose(r.score, np.log10(np.where(known > 0, mean, new)).sum(), rel_tol=1e-4)
+        ws = texts[r.doc_id]
+        shares = [c[w] / n for w in ws] + [len(learn) / n]
+        want = sum(math.log10(0.85 * 10.0**t + 0.15 * s) for t, s in zip(tree.tokens(ws), shares, strict=True))
+        assert math.isclose(r.score, want, rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_gibberish_is_less_likely_than_any_ordinary_text(spark, sample):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    made = [(-10 - i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(10))) for i in range(40)]
+    docs = sample.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    held = [r for r in suffix_tree.score_texts(docs).where("held_out").collect()]
+    gibberish = [r.score / r.n_tokens for r in held if r.doc_id < 0]
+    ordinary = [r.score / r.n_tokens for r in held if r.doc_id >= 0 and r.n_tokens > 10]
+    assert gibberish and len(ordinary) > 50 and max(gibberish) < min(ordinary)
+
+
+def test_scores_of_odd_and_no_rows(odd_docs, no_docs):
+    assert suffix_tree.score_texts(no_docs).count() == 0
+    got = suffix_tree.score_texts(odd_docs).collect()
+    assert len(got) == odd_docs.count() and all(r.score < 0 and math.isfinite(r.base_score) for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+    assert {r.n_tokens for r in got if r.doc_id in (3, 4, 6)} == {1}
+    alone = suffix_tree.score_texts(odd_docs.where("doc_id is null")).collect()
+    assert all(r.base_score == 0 and r.score < 0 and r.held_out for r in alone)
 
 
 # --- line labelling --------------------------------------------------------------------------
@@ -174,15 +223,58 @@ def test_decoding_is_the_best_sequence():
     assert tuple(field.decode(x).astype(int)) == best
 
 
-def test_verdicts_follow_quality(spark):
-    got = {r.doc_id: r for r in catalog.QUERIES["op3_line_labelling"](spark, SF).collect()}
-    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
-    open_ones = [(r.quality, got[r.doc_id].kept) for r in labels if not got[r.doc_id].base_failed]
+def test_verdicts_follow_quality_outside_the_fit(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    outside = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 0"
+    field = lines.fit_field(docs, labels.where(f"not {outside}"))
+    got = {r.doc_id: r for r in lines.judge_lines(docs.where(outside), field).collect()}
+    open_ones = [(r.quality, got[r.doc_id].kept) for r in labels.where(outside).collect() if not got[r.doc_id].base_failed]
     good = [k for q, k in open_ones if q]
-    assert sum(good) >= 0.98 * len(good)
+    assert len(open_ones) > 80 and sum(good) >= 0.98 * len(good)
     assert sum(q == k for q, k in open_ones) >= 0.95 * len(open_ones)
 
 
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    outside = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 0"
+    field = lines.fit_field(docs, labels.where(f"not {outside}"))
+    assert field.steps[0, 0] + field.steps[1, 1] > field.steps[0, 1] + field.steps[1, 0]
+    texts = docs.join(labels, "doc_id").where(outside).select("quality", "text").collect()
+    long = re.compile(r"(?:\S+\s+){7}")
+    plain = [x for r in texts if r.quality for x in r.text.split("\n") if long.match(x)][:200]
+    marks = ("!! ", "### ", " | ")
+    junk = [x for r in texts if not r.quality for x in r.text.split("\n") if any(x.count(m) > 2 for m in marks)][:200]
+    assert len(plain) > 50 and len(junk) > 30
+    hit = 0
+    for i in range(0, 30, 3):
+        parts = [(0, junk[i : i + 3]), (1, plain[i : i + 3]), (0, junk[-i - 3 :][:2])]
+        states = [s for s, part in parts for _ in part]
+        text = "\n".join(x for _, part in parts for x in part)
+        hit += (field.decode(lines.described(text.encode())[1]) == np.array(states, dtype=bool)).sum() / len(states)
+    assert hit > 9.5
+
+
+def test_expected_states_meet_the_labels_shares():
+    rng = np.random.default_rng(3)
+    field = lines.LineField(rng.normal(size=(4, 2)), rng.normal(size=(2, 2)))
+    mask = np.ones((6, 5))
+    mask[3, 3:] = 0
+    sizes = rng.integers(1, 20, mask.shape) * mask
+    y = np.array([0, 1, 0, 1, 0, 1])
+    want, have = field._expected(rng.normal(size=(6, 5, 2)), mask, sizes, y)
+    assert np.allclose(want.sum(axis=2), mask) and np.allclose(have.sum(axis=(2, 3)), mask[:, 1:])
+    share = (want[..., 1] * sizes).sum(axis=1) / sizes.sum(axis=1)
+    assert (share[y == 1] >= lines.GOOD_AT_LEAST - 1e-3).all() and (share[y == 0] <= lines.BAD_AT_MOST + 1e-3).all()
+
+
+def test_line_fit_takes_odd_rows_and_long_documents(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(1, 1), (1, 0), (5, 0), (None, 1), (2, None), (99, 1), (7, 3)], "doc_id long, quality int")
+    field = lines.fit_field(odd_docs, labels, most_lines=2)
+    assert lines.judge_lines(odd_docs, field).count() == odd_docs.count()
+    assert lines.judge_lines(no_docs, lines.fit_field(no_docs, labels)).count() == 0
+    many = spark.createDataFrame([(1, "\n".join(f"A plain line number {i} of text." for i in range(400))), (2, "!! A!! B!!\n" * 300)], "doc_id long, text string")
+    fitted = lines.fit_field(many, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert {r.doc_id: r.content_words > 0 for r in lines.judge_lines(many, fitted).collect()} == {1: True, 2: False}
 # --- MinHash ---------------------------------------------------------------------------------
 
 
