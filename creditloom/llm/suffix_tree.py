@@ -368,7 +368,7 @@ def score_texts(
         at = 0
         while at < len(given):
             stop, symbols = at, 0
-            while stop < len(given) and (stop == at or symbols < 4 << 20):
+            while stop < len(given) and (stop == at or symbols < 2 << 20):
                 symbols += sum(map(len, given[stop])) + len(given[stop])
                 stop += 1
             part = given[at:stop]
