@@ -108,6 +108,37 @@ def as_of_join(
     return out.select(*picked, *[F.col("_best")[c].alias(c) for c in cols])
 
 
+def running_total(df: DataFrame, keys: Sequence[str], at: str, amount: str, out: str) -> DataFrame:
+    """Every row with the sum of the amounts of its key up to it; ``at`` is unique within a key.
+
+    Rows are range-sorted by key and ``at`` into as many parts as a shuffle has; a row's total is that
+    of its part up to it and the sums of its key's parts before, one number per key and part. A key of
+    any size is spread over the parts it fills. The order is materialised when this is called.
+    """
+    placed = pinned(df.repartitionByRange(*keys, at).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    named = {k: f"_at_{k}" for k in [*keys, "_part"]}
+    parts = placed.groupBy(*keys, "_part").agg(F.sum(amount).alias("_sum"))
+    carried = parts.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum").withColumnsRenamed(named)
+    here = placed.withColumn("_here", F.sum(amount).over(Window.partitionBy(*keys, "_part").orderBy(at)))
+    joined = here.join(carried, [F.col(k).eqNullSafe(F.col(c)) for k, c in named.items()])
+    return joined.select(*df.columns, (F.col("_before") + F.col("_here")).alias(out))
+
+
+def valid_counts(df: DataFrame, keys: Sequence[str], start: str, end: str, day: str = "day", out: str = "valid") -> DataFrame:
+    """How many half-open intervals ``[start, end)`` of a key are valid from each day on that changes it.
+
+    An interval is a rise at its start and a fall at its end, added up per key and day before they are
+    summed in order: rows follow intervals and never the days between. Empty intervals and those
+    without an end or a start count for nothing; days whose rises and falls cancel stay.
+    """
+    rise = F.struct(F.col(start).alias(day), F.lit(1).alias("_step"))
+    fall = F.struct(F.col(end).alias(day), F.lit(-1).alias("_step"))
+    events = df.where(F.col(start) < F.col(end)).select(*keys, F.inline(F.array(rise, fall)))
+    changes = events.groupBy(*keys, day).agg(F.sum("_step").alias("_step"))
+    return running_total(changes, keys, day, "_step", out).drop("_step")
+
+
 def latest_snapshot(df: DataFrame, key: str, day: str, item: str) -> DataFrame:
     """Distinct items of each key on the key's latest day.
 

@@ -16,7 +16,7 @@ from creditloom.operators.joins import (
     tag_in_list,
     with_group_value,
 )
-from creditloom.operators.windows import as_of_join, last_entity, latest_as_of
+from creditloom.operators.windows import as_of_join, last_entity, latest_as_of, valid_counts
 from creditloom.plans.apps import app_entries, parse_messages
 from creditloom.plans.devices import latest_price
 from creditloom.plans.loans import application_days, client_months
@@ -234,3 +234,14 @@ def j13b(spark, d):
     prices = prices.withColumn("priced_on", F.date_format("grass_date", "yyyy-MM-dd"))
     joined = as_of_join(events, prices, ["brand"], "day", "grass_date", ["priced_on", "price"])
     return joined.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("j4c_valid_counts", """
+WITH a AS (SELECT status, dc_start_date AS s, dc_end_date AS e FROM applications WHERE dc_start_date < dc_end_date),
+e AS (SELECT status, s AS day, 1 AS step FROM a UNION ALL SELECT status, e, -1 FROM a)
+SELECT status, strftime(day, '%Y-%m-%d') AS day, CAST(sum(sum(step)) OVER (PARTITION BY status ORDER BY day) AS BIGINT) AS valid
+FROM e GROUP BY status, day""", ["applications"])
+def j4c(spark, d):
+    """Valid applications by status from day to day, without a row per day of validity."""
+    found = valid_counts(applications(spark, d), ["status"], "dc_start_date", "dc_end_date")
+    return found.withColumn("day", F.date_format("day", "yyyy-MM-dd"))

@@ -12,12 +12,13 @@ from creditloom.plans.scoring import (
     score,
     score_with_model,
     scored_clients,
+    unmatched_values,
     woe_encode,
 )
 from creditloom.session import scratch_path
 from creditloom.sources.scans import WOE_SCHEMA, load_scorer, load_woe
 from creditloom.sources.sinks import write_parquet
-from workload.base import query
+from workload.base import query, table
 from workload.loans import COLUMNS, SAMPLE, _feature_sql, delinquency_spec, disbursement_spec
 from workload.standins import (
     ACTION_ANCHOR,
@@ -86,6 +87,28 @@ def pl4(spark, d):
     return encoded(spark, d)
 
 
+@query("pl4_boundary_search", """
+SELECT o_orderkey, CASE WHEN o_totalprice < 1000000 THEN floor(o_totalprice / 100)::DOUBLE END AS price,
+  CASE WHEN o_orderkey % 7 = 0 AND o_orderkey < 140000 THEN 0.5 WHEN o_orderkey < 4000 THEN 1.5 END::DOUBLE AS key FROM orders""")
+def pl4_search(spark, d):
+    """Ten thousand rules for one feature: a bin for every hundred of the price, as one search."""
+    prices = [rule("price", "bin", i, "lt", i, hi=100.0 * (i + 1)) for i in range(10_000)]
+    sevens = rule("key", "bin", 0, "in", 0.5, values=[str(k) for k in range(0, 140_000, 7)])
+    keys = [sevens, *[rule("key", "bin", i, "lt", 1.5, hi=100.0 * i) for i in range(1, 41)]]
+    woe = [rule("price", "woe", i, "between", i, lo=i, hi=i) for i in range(10_000)]
+    woe += [rule("key", "woe", 1, "le", 0.5, hi=0.5), rule("key", "woe", 2, "le", 1.5, hi=1.5)]
+    orders = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("key"))
+    return woe_encode(orders, prices + keys + woe, ["o_orderkey"])
+
+
+@query("pl4_unmatched", """
+SELECT 'ft_balance' AS feature, 'bin' AS stage, 0::BIGINT AS unmatched UNION ALL SELECT 'ft_balance', 'woe', 0
+UNION ALL SELECT 'ft_orders', 'bin', count(*) FILTER (ft_orders IS NULL OR ft_orders > 12) FROM score_input
+UNION ALL SELECT 'ft_orders', 'woe', 0""", ["score_input"])
+def pl4_unmatched(spark, d):
+    return unmatched_values(score_input(spark, d), RULES)
+
+
 @query("pl5_score", f"WITH {_WOE} SELECT client_no, round({_PD}, 10) AS pd FROM w", ["score_input"])
 def pl5(spark, d):
     return score(encoded(spark, d), COEF).select("client_no", F.round("pd", 10).alias("pd"))
