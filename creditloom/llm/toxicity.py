@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.common import column_bytes, held_out, kept_in_store, slices
+from creditloom.llm.common import column_bytes, held_out, kept_in_store, slices, word_count, words
 
 #: Bound of the fit sample: clean and toxic documents, those with the smallest digest of their id, and
-#: words of a document (longer ones are not in the sample).
+#: words of a document (of a longer clean one so many consecutive words, from a digest of its id; a longer
+#: toxic one is not in the sample, because nobody says which of its words are meant).
 FIT_DOCS, FIT_WORDS = (2500, 1000), 1200
 FOLDS = 5
-WINDOW, STRIDE = 24, 16
+WINDOW, STRIDE = 24, 12
 WORD_SIZE, CHAR_SIZE, HIDDEN = 4, 6, 8
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
@@ -416,23 +417,34 @@ def numbered(sample: DataFrame) -> tuple[list[bytes], list[np.ndarray], np.ndarr
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = FIT_DOCS, most_words: int = FIT_WORDS) -> ToxicityNet:
-    """The network of ``labels.toxic``, learned from documents that are not held out."""
+    """The network of ``labels.toxic``, learned from documents that are not held out.
+
+    Of several labels of a document the larger counts; null and other labels, and those without a
+    document, are left out before the sample is taken, as are toxic documents over ``most_words``.
+    Documents that share a doc_id take part each; without any label the network knows nothing.
+    """
     key = F.xxhash64("doc_id", F.lit(5))
     marked = (
         labels.where(F.col("toxic").isin(0, 1) & ~held_out("doc_id", FOLDS))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.max("toxic").cast("int").alias("_toxic"))
     )
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    n_words = word_count(F.coalesce("text", F.lit(""))).alias("n")
+    sized = texts.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic", n_words)
+    fit = sized.where((F.col("_toxic") == 0) | (F.col("n") <= most_words)).groupBy("doc_id").agg(F.max("_toxic").alias("toxic"))
     chosen = None
     for label in (0, 1):
-        part = marked.where(F.col("toxic") == label).orderBy(key, "doc_id").limit(per_label[label])
+        part = fit.where(F.col("toxic") == label).orderBy(key, "doc_id").limit(per_label[label])
         chosen = part if chosen is None else chosen.unionByName(part)
     picked = F.broadcast(chosen.withColumnRenamed("doc_id", "_id"))
+    parts = words(F.coalesce("text", F.lit("")))
+    rows = texts.join(picked, F.col("doc_id") == F.col("_id")).withColumn("_words", parts).withColumn("_n", F.size("_words"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.col("_n") - most_words + 1).cast("int") + 1
+    cut = F.array_join(F.slice("_words", place, most_words), " ")
     sample = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .join(picked, F.col("doc_id") == F.col("_id"))
-        .where(F.size(F.split("text", r"[\x20\x09-\x0D]+")) <= most_words)
-        .select("doc_id", "toxic", "text")
+        rows.where((F.col("toxic") == 0) | (F.col("_n") <= most_words))
+        .select("doc_id", "toxic", F.when(F.col("_n") > most_words, cut).otherwise(F.col("text")).alias("text"))
         .orderBy("doc_id", "text")
         .limit(sum(per_label))
     )
