@@ -30,7 +30,7 @@ UNIGRAM = 1
 #: What an uncovered character costs below the least likely piece.
 UNKNOWN_COST = 10.0
 #: Distinct stretches that a task remembers.
-KNOWN_STRETCHES = 400_000
+KNOWN_STRETCHES = 250_000
 
 
 @dataclass
@@ -311,7 +311,7 @@ def encode_documents(docs: DataFrame, encoder: Encoder) -> DataFrame:
         local = TaskEncoder(Encoder.of_state(model.value))
         byte_piece = local.encoder.vocabulary.kinds == BYTE
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 given = [x.decode("utf-8", "replace") if x is not None else None for x in column_bytes(batch.column("text"))]
                 ids, sizes = local.encode([t or "" for t in given])
                 ends = np.cumsum(sizes)
