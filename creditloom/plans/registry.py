@@ -12,13 +12,13 @@ from creditloom.plans.devices import device_features
 from creditloom.plans.job_health import job_health_labels
 from creditloom.plans.loans import failed_application_features, loan_features
 from creditloom.plans.scoring import loan_score
-from creditloom.sources.sinks import insert_aligned
+from creditloom.sources.sinks import insert_aligned, replace_partition
 
 # Builders take (tables by name, anchor date, parameters). They run only when asked for.
 REGISTRY: dict[str, Callable[[Mapping[str, DataFrame], str, Mapping], DataFrame]] = {
-    "ft_device": lambda t, anchor, p: device_features(t["device_raw"], t["price"], anchor, p["lists"]),
+    "ft_device": lambda t, anchor, p: device_features(t["device_raw"], t["price"], anchor, **p),
     "ft_device_user_level": lambda t, anchor, p: device_features(
-        t["device_raw"], t["price"], anchor, p["lists"], "client_no", t["action_log"], t.get("population")
+        t["device_raw"], t["price"], anchor, key="client_no", actions=t["action_log"], population=t.get("population"), **p
     ),
     "ft_app_device_level": lambda t, anchor, p: app_features(t["app_log"], anchor, **p),
     "ft_loan_status": lambda t, anchor, p: loan_features(t["loan_daily"], anchor, **p),
@@ -39,5 +39,13 @@ def run(
     name: str, tables: Mapping[str, DataFrame], anchor: str, table: str,
     params: Mapping | None = None, path: str | None = None,
 ) -> None:
-    """Build and write: the only action is the write itself."""
-    insert_aligned(build(name, tables, anchor, params), table, ["pt_date"], path)
+    """Build and write the anchor's partition, the only action.
+
+    An existing table has that partition replaced, by name, and emptied where the job yields no
+    rows; its other partitions stay. Data that lacks a column of the table is refused.
+    """
+    rows = build(name, tables, anchor, params)
+    if rows.sparkSession.catalog.tableExists(table):
+        replace_partition(rows, table, {"pt_date": anchor})
+    else:
+        insert_aligned(rows, table, ["pt_date"], path)

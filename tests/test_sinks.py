@@ -57,6 +57,21 @@ def test_registry_writes_a_new_table(spark):
         registry.build("nothing", {}, "2024-03-31")
 
 
+def test_registry_replaces_the_day_and_empties_it(spark, monkeypatch):
+    name = f"t_{uuid.uuid4().hex[:8]}"
+    monkeypatch.setitem(registry.REGISTRY, "given", lambda t, anchor, p: t["rows"])
+    first = spark.createDataFrame([("a", 1), ("b", 2)], "client_no string, n int")
+    registry.run("given", {"rows": first}, "2024-03-31", name)
+    registry.run("given", {"rows": first}, "2024-04-30", name)
+    registry.run("given", {"rows": first.select("n", "client_no").where("n = 2")}, "2024-04-30", name)
+    assert rows(spark.table(name).select("client_no", "n", "pt_date")) == [
+        ("a", 1, "2024-03-31"), ("b", 2, "2024-03-31"), ("b", 2, "2024-04-30")
+    ]
+    registry.run("given", {"rows": first.where("n > 5")}, "2024-03-31", name)
+    assert rows(spark.table(name).select("client_no", "pt_date")) == [("b", "2024-04-30")]
+    sinks.drop_table(spark, name)
+
+
 def test_write_partition_drops_its_columns(spark, tmp_path):
     path = str(tmp_path / "p")
     df = spark.createDataFrame([(1, "d1"), (2, "d1")], "id int, pt_date string")

@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from creditloom.plans.job_health import job_health_labels
 from workload.base import query
-from workload.standins import JOB_DAY, job_run
+from workload.standins import JOB_DAY, job_copies, job_run
 
 KS = (40, 25)
+#: The daily places that the labels are defined by; they need more jobs a day than ``job_run`` has.
+DEFINED_KS = (100, 50)
 
 _STREAK = {
     "mu": ("memory_gb_hour", "TRUE"),
@@ -22,19 +24,19 @@ def _rank(metric, condition):
 
 
 _RANKS = ", ".join(f"CASE WHEN {cond} THEN {_rank(metric, cond)} END AS r_{name}" for name, (metric, cond) in _STREAK.items())
-_DAYS = ", ".join(
-    f"count(DISTINCT pt_date) FILTER (r_{name} <= {k}) AS d_{name}_{k}" for name in _STREAK for k in KS
-)
-_TOPS = ", ".join(
-    f"CASE WHEN coalesce(d_{name}_{k}, 0) = 7 THEN 1 ELSE 0 END AS {name}_top{k}_label" for name in _STREAK for k in KS
-)
-
-BASE = f"""
+
+
+def _base(ks, runs):
+    days = ", ".join(f"count(DISTINCT pt_date) FILTER (r_{name} <= {k}) AS d_{name}_{k}" for name in _STREAK for k in ks)
+    tops = ", ".join(
+        f"CASE WHEN coalesce(d_{name}_{k}, 0) = 7 THEN 1 ELSE 0 END AS {name}_top{k}_label" for name in _STREAK for k in ks
+    )
+    return f"""
 wk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pt_date, job_id ORDER BY started_date DESC) AS r0
-    FROM job_run WHERE pt_date BETWEEN '2024-01-22' AND '{JOB_DAY}' AND started_date::DATE = CAST(pt_date AS DATE)) WHERE r0 = 1),
+    FROM {runs} WHERE pt_date BETWEEN '2024-01-22' AND '{JOB_DAY}' AND started_date::DATE = CAST(pt_date AS DATE)) WHERE r0 = 1),
 wq AS (SELECT *, CASE WHEN regexp_matches(lower(coalesce(app_queue, '')), 'p0|p1') THEN 1 ELSE 0 END AS q FROM wk),
 wr AS (SELECT *, {_RANKS} FROM wq),
-nd AS (SELECT task_table_name, {_DAYS} FROM wr WHERE task_table_name IS NOT NULL GROUP BY 1),
+nd AS (SELECT task_table_name, {days} FROM wr WHERE task_table_name IS NOT NULL GROUP BY 1),
 td AS (SELECT wr.*, nd.* EXCLUDE (task_table_name), coalesce(app_type, '') || '/' || coalesce(app_name, '') AS what
     FROM wr LEFT JOIN nd ON nd.task_table_name = wr.task_table_name WHERE pt_date = '{JOB_DAY}'),
 lb AS (SELECT job_id, user_id, user_name, team_id, team_name, app_name, app_queue, app_type,
@@ -45,7 +47,7 @@ lb AS (SELECT job_id, user_id, user_name, team_id, team_name, app_name, app_queu
   CASE WHEN what ILIKE '%spark%' AND attempt_number > 3 THEN 1 ELSE 0 END AS spark_stage_failed_gt3_label,
   CASE WHEN what ILIKE '%spark%' AND airflow_try_number > 0 THEN 1 ELSE 0 END AS spark_task_retry_label,
   CASE WHEN what ILIKE '%spark%' AND airflow_try_number > 3 THEN 1 ELSE 0 END AS spark_task_retry_gt3_label,
-  {_TOPS},
+  {tops},
   CASE WHEN elapsed_time_min > 60 THEN 1 ELSE 0 END AS runtime_gt_1h_label,
   CASE WHEN queue_wait_time > 10 THEN 1 ELSE 0 END AS submit_wait_gt_10min_label,
   CASE WHEN avg_memory_allocate_gb < input_size_gb THEN 1 ELSE 0 END AS memory_alloc_insufficient_label,
@@ -61,6 +63,9 @@ lb AS (SELECT job_id, user_id, user_name, team_id, team_name, app_name, app_queu
   CASE WHEN avg_memory_allocate_gb > input_size_gb THEN 1 ELSE 0 END AS over_allocated,
   '[' || hour(started_date) || ', ' || (hour(started_date) + 1) || ')' AS started_hour_bucket FROM td)"""
 
+
+BASE = _base(KS, "job_run")
+
 _ALWAYS = ["task_failed_label", "spark_stage_failed_label", "spark_task_retry_label", "data_skew_read_label",
            "data_skew_write_label", "full_gc_label", "spill_disk_label"] + [f"{n}_top{k}_label" for n in _STREAK for k in KS]
 
@@ -85,14 +90,6 @@ NUMBERED = {
     4: ("spark_stage_failed_gt3", "spark_stage_failed_gt3_label"),
     5: ("spark_task_retry", "spark_task_retry_label"),
     6: ("spark_task_retry_gt3", "spark_task_retry_gt3_label"),
-    7: ("mu_top_wide", "mu_top40_label"),
-    8: ("mu_top_narrow", "mu_top25_label"),
-    9: ("runtime_top_wide", "runtime_top40_label"),
-    10: ("runtime_top_narrow", "runtime_top25_label"),
-    11: ("p0_p1_runtime_top_wide", "p0_p1_runtime_top40_label"),
-    12: ("p0_p1_runtime_top_narrow", "p0_p1_runtime_top25_label"),
-    13: ("non_p0_p1_runtime_top_wide", "non_p0_p1_runtime_top40_label"),
-    14: ("non_p0_p1_runtime_top_narrow", "non_p0_p1_runtime_top25_label"),
     15: ("runtime_gt_1h", "runtime_gt_1h_label"),
     16: ("submit_wait_gt_10min", "submit_wait_gt_10min_label"),
     17: ("memory_alloc_insufficient", "memory_alloc_insufficient_label"),
@@ -115,6 +112,17 @@ for _number, (_word, _label) in NUMBERED.items():
     _register(_number, _word, _label)
 
 
+def _register_top(number, word, label):
+    @query(f"lb{number}_{word}", f"WITH {_base(DEFINED_KS, 'job_copies')} SELECT job_id, {label} FROM lb", ["job_copies"])
+    def run(spark, d):
+        return job_health_labels(job_copies(spark, d), JOB_DAY, 7, DEFINED_KS).select("job_id", label)
+
+
+for _place, _metric in enumerate(_STREAK):
+    for _offset, (_width, _k) in enumerate(zip(("wide", "narrow"), DEFINED_KS)):
+        _register_top(7 + 2 * _place + _offset, f"{_metric}_top_{_width}", f"{_metric}_top{_k}_label")
+
+
 @query("lb23_task_health", f"WITH {BASE} SELECT job_id, {_healthy(['over_allocated'])} FROM lb", ["job_run"])
 def lb23(spark, d):
     return labels(spark, d).select("job_id", "task_health_label")

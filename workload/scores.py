@@ -1,5 +1,7 @@
 """PL4-PL8, PL12, IO8 and IO9 queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from creditloom.functions.columns import log_odds, null_where
@@ -17,15 +19,22 @@ from creditloom.plans.scoring import (
 )
 from creditloom.session import scratch_path
 from creditloom.sources.scans import WOE_SCHEMA, load_scorer, load_woe
-from creditloom.sources.sinks import write_parquet
-from workload.base import query, table
+from workload.base import TWINS, query, table
+from workload.devices import WINDOWS, rounded
+from workload.jobs import KS
 from workload.loans import COLUMNS, SAMPLE, _feature_sql, delinquency_spec, disbursement_spec
 from workload.standins import (
     ACTION_ANCHOR,
+    APP_ANCHOR,
+    APP_TODAY,
     JOB_DAY,
     LISTS,
     LOAN_ANCHOR,
+    RISK_WORDS,
     accounts,
+    actions,
+    app_log,
+    applications,
     device_raw,
     job_run,
     loan_daily,
@@ -171,6 +180,14 @@ def pl8_table(spark, d):
     return loan_score(loan_daily(spark, d), accounts(spark, d), LOAN_ANCHOR, LOAN_RULES, LOAN_COEF)
 
 
+def published(spark, name, tables, anchor, params=None):
+    """A registered job run into a table of its own; the table."""
+    table_name = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, table_name)
+    registry.run(name, tables, anchor, table_name, params, path)
+    return spark.table(table_name)
+
+
 @query("pl8_score_job", _loan_score_sql() + """
 SELECT * EXCLUDE (p, mob, seg_obs), round(p, 10) AS pd, CASE WHEN seg_obs <> 'xdpd' THEN round(ln(p / (1.0::DOUBLE - p)), 9) END AS logodds,
   '1998-06-30' AS offline_score_date, (SELECT count(*) FROM z) AS client_count FROM z""", ["loan_daily", "accounts"])
@@ -178,47 +195,90 @@ def pl8_job(spark, d):
     """The registered score job: its partition written, read back, and the packed features unpacked."""
     tables = {"loan_daily": loan_daily(spark, d), "accounts": accounts(spark, d)}
     params = {"rules": LOAN_RULES, "coef": LOAN_COEF}
-    path = scratch_path(spark, "score")
-    write_parquet(registry.build("loan_score", tables, LOAN_ANCHOR, params), path, ["pt_date"])
+    written = published(spark, "loan_score", tables, LOAN_ANCHOR, params)
     scored = scored_clients(tables["loan_daily"], tables["accounts"], LOAN_ANCHOR, LOAN_RULES, LOAN_COEF)
     packed = scored.select(*[c for c in scored.columns if c.startswith("ft_")]).schema
-    out = spark.read.parquet(path).withColumn("f", F.from_json("features", packed))
+    out = written.withColumn("f", F.from_json("features", packed))
     return out.select(
-        "client_no", F.col("pt_date").cast("string").alias("pt_date"), F.round("pd", 10).alias("pd"), F.round("logodds", 9).alias("logodds"),
+        "client_no", "pt_date", F.round("pd", 10).alias("pd"), F.round("logodds", 9).alias("logodds"),
         "offline_score_date", "client_count", "f.*",
     )
 
 
-@query("pl12_registry_loan_status")
+def _dated(name, anchor):
+    """The SQL twin of a job's query, with the job's date."""
+    return f"SELECT *, '{anchor}' AS pt_date FROM ({TWINS[name]})"
+
+
+@query("pl12_registry_loan_status", TWINS["ff_all_loan_features"])
 def pl12_loans(spark, d):
-    return registry.build("ft_loan_status", {"loan_daily": loan_daily(spark, d)}, LOAN_ANCHOR)
+    return published(spark, "ft_loan_status", {"loan_daily": loan_daily(spark, d)}, LOAN_ANCHOR)
+
 
+@query("pl12_registry_failed_application", TWINS["pl13_failed_applications"])
+def pl12_failed(spark, d):
+    return published(spark, "ft_failed_application", {"application_scd2": applications(spark, d)}, LOAN_ANCHOR)
 
-@query("pl12_registry_device")
+
+@query("pl12_registry_device", _dated("pl10_device_features", ACTION_ANCHOR))
 def pl12_device(spark, d):
     tables = {"device_raw": device_raw(spark, d), "price": price(spark, d)}
-    return registry.build("ft_device", tables, ACTION_ANCHOR, {"lists": LISTS})
+    return rounded(published(spark, "ft_device", tables, ACTION_ANCHOR, {"lists": LISTS, "windows": WINDOWS}), "")
+
+
+@query("pl12_registry_device_user", _dated("pl10_device_features_by_client", ACTION_ANCHOR))
+def pl12_device_user(spark, d):
+    tables = {
+        "device_raw": device_raw(spark, d), "price": price(spark, d), "action_log": actions(spark, d),
+        "population": score_input(spark, d),
+    }
+    params = {"lists": LISTS, "windows": WINDOWS, "part": "pt_date"}
+    return rounded(published(spark, "ft_device_user_level", tables, ACTION_ANCHOR, params), "last_")
 
 
-@query("pl12_registry_job_health")
+@query("pl12_registry_app", _dated("pl11_app_features", APP_ANCHOR))
+def pl12_app(spark, d):
+    params = {"as_of": APP_TODAY, "risk_apps": RISK_WORDS, "history_days": 20}
+    return published(spark, "ft_app_device_level", {"app_log": app_log(spark, d)}, APP_ANCHOR, params)
+
+
+@query("pl12_registry_job_health", _dated("lb_job_health_labels", JOB_DAY))
 def pl12_jobs(spark, d):
-    return registry.build("job_health", {"job_run": job_run(spark, d)}, JOB_DAY, {"ks": (40, 25)})
+    return published(spark, "job_health", {"job_run": job_run(spark, d)}, JOB_DAY, {"ks": KS})
 
 
-@query("io8_load_scorer")
-def io8(spark, d):
-    """Fit a small model on the given customers, save it, load it back and score with it."""
+def fitted(spark, d, path):
+    """The encoded customers with a label, and a small model fitted on them and saved below ``path``."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    path = scratch_path(spark, "model")
     rows = encoded(spark, d).withColumn("label", F.when(F.col("seg_obs") == "BUILDING", 1.0).otherwise(0.0))
     assembler = VectorAssembler(inputCols=["ft_balance", "ft_orders"], outputCol="features")
-    fitted = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=5).fit(assembler.transform(rows))
+    model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=25).fit(assembler.transform(rows))
     assembler.save(f"{path}/vector_assembler")
-    fitted.save(f"{path}/model")
-    loaded = load_scorer(path)
-    return score_with_model(rows, *loaded).select("client_no", F.round("pd", 9).alias("pd"))
+    model.save(f"{path}/model")
+    return rows
+
+
+@query("io8_load_scorer")
+def io8(spark, d):
+    """Fit a small model on the given customers, save it, load it back and score with it."""
+    path = scratch_path(spark, "model")
+    rows = fitted(spark, d, path)
+    return score_with_model(rows, *load_scorer(path)).select("client_no", F.round("pd", 9).alias("pd"))
+
+
+@query("io8_saved_coefficients", f"WITH {_WOE} SELECT client_no, TRUE AS same, round({_PD}, 9) AS pd FROM w", ["score_input"])
+def io8_saved(spark, d):
+    """The loaded model against the formula of its own coefficients, and the formula with the given ones."""
+    path = scratch_path(spark, "model")
+    rows = fitted(spark, d, path)
+    assembler, model = load_scorer(path)
+    own = {INTERCEPT: float(model.intercept), **dict(zip(assembler.getInputCols(), map(float, model.coefficients)))}
+    by_model = score_with_model(rows, assembler, model, "by_model")
+    both = score(score(by_model, own, "by_formula"), COEF)
+    same = F.abs(F.col("by_model") - F.col("by_formula")) < 1e-12
+    return both.select("client_no", same.alias("same"), F.round("pd", 9).alias("pd"))
 
 
 @query("io9_load_woe", f"WITH {_WOE} SELECT * FROM w", ["score_input"])

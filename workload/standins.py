@@ -408,6 +408,23 @@ def job_run(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+TABLE_SQL["job_copies"] = """
+SELECT * EXCLUDE (c) REPLACE (job_id || '_' || c AS job_id, task_table_name || '_' || c AS task_table_name,
+  elapsed_time_min * (1 + c * c)::DOUBLE AS elapsed_time_min, memory_gb_hour * (1 + c * c)::DOUBLE AS memory_gb_hour)
+FROM job_run, (SELECT CAST(unnest(range(8)) AS INTEGER) AS c)
+"""
+NEEDS["job_copies"] = ["job_run"]
+
+
+def job_copies(spark: SparkSession, d: str) -> DataFrame:
+    """Eight jobs per job, the later ones larger: enough names and jobs a day for the first 100 to be a choice."""
+    c = F.col("c")
+    copies = job_run(spark, d).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    grown = {m: F.col(m) * (1 + c * c).cast("double") for m in ("elapsed_time_min", "memory_gb_hour")}
+    named = {n: F.concat(F.col(n), F.lit("_"), c.cast("string")) for n in ("job_id", "task_table_name")}
+    return copies.withColumns({**grown, **named}).drop("c")
+
+
 # ---------------------------------------------------------------- score input
 
 TABLE_SQL["score_input"] = """
