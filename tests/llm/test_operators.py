@@ -55,12 +55,33 @@ def test_preference_odd_rows(spark):
     assert preference.format_preferences(_turns(spark, [])).count() == 0
 
 
-def test_preference_long_conversation_comes_in_parts(spark):
-    rows = [(1, s, t, "user", f"t{t}") for s in ("chosen", "rejected") for t in range(25)]
-    rows += [(1, "chosen", 25, "assistant", "end")]
-    parts = preference.format_preferences(_turns(spark, rows), part_turns=10).orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert "".join(p.prompt for p in parts).count("<|user|>") == 25 and parts[2].chosen_mask == "14:24"
+def test_preference_long_conversation_is_one_row_with_masks_over_it(spark):
+    rows = [(1, s, t, "user", f"t{t}") for s in ("chosen", "rejected") for t in range(700)]
+    rows += [(1, "chosen", t, ("assistant", "user")[t % 2], f"a{t}") for t in range(700, 1300)]
+    (row,) = preference.format_preferences(_turns(spark, rows).repartition(5)).collect()
+    assert row.prompt.count("<|user|>") == 700 and row.rejected == row.rejected_mask == ""
+    spans = [tuple(map(int, x.split(":"))) for x in row.chosen_mask.split(",")]
+    assert [row.chosen[a:b] for a, b in spans] == [f"a{t}<|end|>" for t in range(700, 1300, 2)]
+
+
+def test_preference_ties_and_repeats_part_at_their_turn(spark):
+    rows = [(1, s, 0, "user", "same") for s in ("chosen", "rejected")]
+    rows += [(1, "chosen", 1, "user", x) for x in "bab"] + [(1, "rejected", 1, "user", x) for x in "aba"]
+    rows += [(1, s, 2, "assistant", "equal again") for s in ("chosen", "rejected")]
+    rows = [(*r, "clash") for r in rows]
+    turns = spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string, prompt string")
+    (row,) = preference.format_preferences(turns).collect()
+    assert row.prompt == "<|user|>\nsame<|end|>\n"
+    assert [x.split("<|end|>")[0] for x in row.chosen.split("<|user|>\n")[1:]] == ["a", "b", "b"]
+    assert [x.split("<|end|>")[0] for x in row.rejected.split("<|user|>\n")[1:]] == ["a", "a", "b"]
+    assert row.chosen.endswith("equal again<|end|>\n") and row.rejected.endswith("equal again<|end|>\n")
+
+
+def test_preference_query_shuffles_texts_once(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "x"), (None, 1, "assistant", None)], "conv_id long, turn long, role string, text string")
+    df = preference.format_preferences(preference.shortened_replies(turns))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and len(df.collect()) == 2
 
 
 # --- suffix tree -----------------------------------------------------------------------------
