@@ -24,6 +24,8 @@ BITS = 4
 SINGLE_TRIES = 6
 VALUE_BITS = 40
 LEAST_LONG = -(1 << 63)
+#: Rows without a doc_id are dealt out to as many keys, by their text.
+NULL_PARTS = 32
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -111,9 +113,9 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
 
 
 def before_in_order(keys: DataFrame) -> DataFrame:
-    """(k, before_k, before_n): for each key the next larger one, for the largest the smallest.
+    """``keys`` with before_k and before_n: for each key the next larger one, for the largest the smallest.
 
-    ``keys`` holds unique longs k with a value n. The keys are range-sorted into parts that are
+    ``keys`` holds unique longs k with a value n, and maybe other columns. The keys are range-sorted into parts that are
     stored, so that both uses see the same parts; only the parts' first keys meet in one task.
     """
     parts = kept_in_store(
@@ -134,7 +136,7 @@ def before_in_order(keys: DataFrame) -> DataFrame:
     # One row per part, and parts are as many as a shuffle has.
     return parts.withColumns({"_k": F.lead("k").over(inside), "_n": F.lead("n").over(inside)}).join(
         F.broadcast(firsts), "part"
-    ).select("k", F.coalesce("_k", "_next_k").alias("before_k"), F.coalesce("_n", "_next_n").alias("before_n"))
+    ).select(*keys.columns, F.coalesce("_k", "_next_k").alias("before_k"), F.coalesce("_n", "_next_n").alias("before_n"))
 
 
 def compared_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -145,7 +147,8 @@ def compared_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, size
     document, or all it has. Columns: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
-    A null text is empty. A row without a doc_id sorts below all others. Rows of one doc_id stay
+    A null text is empty. A row without a doc_id sorts below all others; such rows are one document
+    with many texts to their neighbours, and are spread over tasks by text. Rows of one doc_id stay
     separate rows, but only the first of them by a digest of the text is the next document of
     others. A lone document is its own next. An empty table gives no rows.
     """
@@ -154,23 +157,29 @@ def compared_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, size
     )
     digest = F.xxhash64("text")
     first = F.min(F.struct(digest.alias("h"), F.char_length("text").alias("n"))).alias("first")
-    before = before_in_order(rows.groupBy("k").agg(first).select("k", F.col("first.n").alias("n")))
-    # The only shuffle of whole texts; both joins below read it.
+    before = before_in_order(rows.groupBy("k").agg(first).select("k", F.col("first.n").alias("n"), F.col("first.h").alias("h")))
+    unnamed = F.col("k") == LEAST_LONG
+    spread = F.explode(F.when(unnamed, F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))).otherwise(F.array(F.lit(0))))
+    # The only shuffle of whole texts; both joins below read it. Rows without a doc_id meet by salt.
     placed = (
         rows.withColumn("codes", fingerprint(F.col("text"), bins, bits, size))
-        .repartition("k")
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("k").orderBy(digest)))
+        .withColumn("digest", digest)
+        .withColumn("salt", F.when(unnamed, F.pmod("digest", F.lit(NULL_PARTS)).cast("int")).otherwise(0))
+        .repartition("k", "salt")
+        .withColumn("_nth", F.row_number().over(Window.partitionBy("k", "salt").orderBy("digest")))
     )
     starts = (
         placed.where("_nth = 1")
-        .join(before, "k")
+        .join(before.select("k", "h", "before_k", "before_n").withColumn("salt", spread), ["k", "salt"])
+        .where(F.col("digest") == F.col("h"))
         .select(
             F.col("before_k").alias("k"),
             F.col("codes").alias("next_codes"),
             F.expr("substring(text, 1, cast(floor(before_n / 3) as int))").alias("start"),
         )
+        .withColumn("salt", spread)
     )
-    edited = placed.join(starts, "k").select(
+    edited = placed.join(starts, ["k", "salt"]).select(
         F.when(F.col("k") != LEAST_LONG, F.col("k")).alias("doc_id"),
         F.char_length("text").cast("long").alias("n_chars"),
         "codes",

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
@@ -319,6 +320,61 @@ def test_minhash_edits_and_likeness(spark, sample):
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
+def _plain_fingerprint(text, bins=256):
+    """Binned minima of shingle hashes, one shingle and one try after the other."""
+    hashes = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words_of(text, True)]
+    least = [None] * bins
+    for i in range(max(1, len(hashes) - 4)):
+        h = 42
+        for word in hashes[i : i + 5]:
+            h = xxhash.xxh64(word.to_bytes(8, "little"), seed=h).intdigest()
+        j, value = h >> 56, h & (1 << 40) - 1
+        least[j] = value if least[j] is None else min(least[j], value)
+    out = ""
+    for i in range(bins):
+        step, at = ((i * 0x9E3779B1) ^ (i >> 3) ^ 0x2545F491) % bins | 1, ((i * 0x85EBCA6B + 0x27D4EB2F) >> 7) % bins
+        if least[i] is not None:
+            at = i
+        while least[at] is None:
+            at = (at + step) % bins
+        out += f"{least[at] & 15:x}"
+    return out
+
+
+def test_minhash_fingerprints_equal_plain_ones(spark, sample, odd_docs):
+    """Every digit of both fingerprints and both likenesses, short, empty and long texts included."""
+    docs = sample.limit(60).select("doc_id", "text").unionByName(
+        odd_docs.where("doc_id is not null").selectExpr("doc_id + 1000000000 as doc_id", "text").dropDuplicates(["doc_id"])
+    )
+    rows = sorted(docs.collect(), key=lambda r: -r.doc_id)
+    got = {r.doc_id: r for r in minhash.compared_with_next(docs).collect()}
+    assert len(got) == len(rows)
+
+    def likeness(a, b):
+        return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (1 - 1 / 16))
+
+    for i, r in enumerate(rows):
+        text, after = r.text or "", rows[(i + 1) % len(rows)].text or ""
+        third = len(text) // 3
+        own, edited = _plain_fingerprint(text), _plain_fingerprint(text[: len(text) - third] + after[:third])
+        assert (got[r.doc_id].fingerprint, got[r.doc_id].edited_fingerprint) == (own, edited)
+        assert got[r.doc_id].near_edited == pytest.approx(likeness(own, edited))
+        assert got[r.doc_id].near_next == pytest.approx(likeness(own, _plain_fingerprint(after)))
+
+
+def test_minhash_rows_without_doc_id_are_spread(spark):
+    texts = [f"text number {i} of a row that has no id " * 3 for i in range(40)]
+    rows = [(None, t) for t in [*texts, texts[0]]] + [(5, "the only named row here")]
+    got = minhash.compared_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 42 and sum(r.doc_id is None for r in got) == 41
+    # The named row is next to all unnamed ones, and exactly one of their texts is next to it.
+    start = "the only named row here"
+    for r, t in zip(sorted((r for r in got if r.doc_id is None), key=lambda r: r.edited_sha256), sorted(
+        hashlib.sha256((t[: len(t) - len(t) // 3] + start[: len(t) // 3]).encode()).hexdigest() for t in [*texts, texts[0]]
+    )):
+        assert r.edited_sha256 == t
+
+
 def test_minhash_odd_rows(spark, odd_docs, no_docs):
     got = minhash.compared_with_next(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(len(r.fingerprint) == 256 for r in got)
