@@ -160,18 +160,18 @@ def compared_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS, size
     before = before_in_order(rows.groupBy("k").agg(first).select("k", F.col("first.n").alias("n"), F.col("first.h").alias("h")))
     unnamed = F.col("k") == LEAST_LONG
     spread = F.explode(F.when(unnamed, F.sequence(F.lit(0), F.lit(NULL_PARTS - 1))).otherwise(F.array(F.lit(0))))
-    # The only shuffle of whole texts; both joins below read it. Rows without a doc_id meet by salt.
+    # The only shuffle of whole texts; both joins below read it, so it holds no column that one of
+    # them lacks. Rows without a doc_id meet by salt.
     placed = (
         rows.withColumn("codes", fingerprint(F.col("text"), bins, bits, size))
-        .withColumn("digest", digest)
-        .withColumn("salt", F.when(unnamed, F.pmod("digest", F.lit(NULL_PARTS)).cast("int")).otherwise(0))
+        .withColumn("salt", F.when(unnamed, F.pmod(digest, F.lit(NULL_PARTS)).cast("int")).otherwise(0))
         .repartition("k", "salt")
-        .withColumn("_nth", F.row_number().over(Window.partitionBy("k", "salt").orderBy("digest")))
+        .withColumn("_nth", F.row_number().over(Window.partitionBy("k", "salt").orderBy(digest)))
     )
     starts = (
         placed.where("_nth = 1")
         .join(before.select("k", "h", "before_k", "before_n").withColumn("salt", spread), ["k", "salt"])
-        .where(F.col("digest") == F.col("h"))
+        .where(digest == F.col("h"))
         .select(
             F.col("before_k").alias("k"),
             F.col("codes").alias("next_codes"),

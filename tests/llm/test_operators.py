@@ -362,6 +362,12 @@ def test_minhash_fingerprints_equal_plain_ones(spark, sample, odd_docs):
         assert got[r.doc_id].near_next == pytest.approx(likeness(own, _plain_fingerprint(after)))
 
 
+def test_minhash_shuffles_whole_texts_once(spark, sample):
+    df = minhash.compared_with_next(sample.limit(50))
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_minhash_rows_without_doc_id_are_spread(spark):
     texts = [f"text number {i} of a row that has no id " * 3 for i in range(40)]
     rows = [(None, t) for t in [*texts, texts[0]]] + [(5, "the only named row here")]
