@@ -368,7 +368,7 @@ def test_minhash_shuffles_whole_texts_once(spark, sample):
     assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
 
 
-def test_minhash_rows_without_doc_id_are_spread(spark):
+def test_minhash_rows_without_doc_id_are_one_neighbour(spark):
     texts = [f"text number {i} of a row that has no id " * 3 for i in range(40)]
     rows = [(None, t) for t in [*texts, texts[0]]] + [(5, "the only named row here")]
     got = minhash.compared_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
