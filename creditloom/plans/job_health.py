@@ -65,6 +65,9 @@ def task_type() -> Column:
     return classify([F.col("app_type"), F.col("app_name")], JOB_TYPES, "Other")
 
 
+# The jobs of one digest in so many give the bound below which no job is ranked.
+BOUND_SHARE = 16
+
 # Metric name -> (column, rows that take part: None for all, else the priority class).
 STREAK_METRICS: dict[str, tuple[str, int | None]] = {
     "mu": ("memory_gb_hour", None),
@@ -78,15 +81,69 @@ def streak_names(ks: Sequence[int]) -> list[str]:
     return [f"{m}_top{k}_label" for m in STREAK_METRICS for k in ks]
 
 
-def job_window(runs: DataFrame, asof: str, days: int) -> DataFrame:
-    """Latest attempt of each job and day in the window; runs that started on another day are left out."""
+def _inside(runs: DataFrame, asof: str, days: int) -> DataFrame:
+    """Runs of the window; runs that started on another day are left out."""
     first = (as_date(asof) - dt.timedelta(days=days - 1)).isoformat()
-    inside = runs.where(
+    return runs.where(
         (F.col("pt_date") >= first)
         & (F.col("pt_date") <= asof)
         & (F.to_date("started_date") == F.col("pt_date").cast("date"))
     )
-    return dedup(inside, ["pt_date", "job_id"], [F.col("started_date").desc(), F.xxhash64(*runs.columns)])
+
+
+def _latest(runs: DataFrame, digest: Column) -> DataFrame:
+    """Latest attempt of each job and day; a digest of the row decides among attempts of one time."""
+    return dedup(runs, ["pt_date", "job_id"], [F.col("started_date").desc(), digest])
+
+
+def job_window(runs: DataFrame, asof: str, days: int) -> DataFrame:
+    """Latest attempt of each job and day in the window; runs that started on another day are left out."""
+    return _latest(_inside(runs, asof, days), F.xxhash64(*runs.columns))
+
+
+def _ranked() -> dict[str, tuple[str, Column | None]]:
+    priority = queue_class(F.col("app_queue"), PRIORITY_MARKS)
+    return {name: (col, None if wanted is None else priority == wanted) for name, (col, wanted) in STREAK_METRICS.items()}
+
+
+def _daily_bounds(runs: DataFrame, k: int) -> DataFrame:
+    """Per day and metric a place that at least ``k`` jobs reach: the k-th among the jobs of one digest in ``BOUND_SHARE``.
+
+    A day without so many of these jobs has null for the metric, which every job reaches.
+    """
+    some = runs.where(F.pmod(F.xxhash64("job_id"), F.lit(BOUND_SHARE)) == 0)
+    latest = _latest(some, F.col("_digest"))
+    top = top_ranked(latest, "pt_date", sorted({col for col, _ in STREAK_METRICS.values()}), _ranked(), k, "job_id")
+    last = top.where(F.col("rank") == k)
+    values = {m: F.struct(F.coalesce(F.col(col), F.lit(0)).alias("value"), "job_id") for m, (col, _) in STREAK_METRICS.items()}
+    return last.groupBy(F.col("pt_date").alias("_day")).agg(
+        *[F.max(F.when(F.col("metric") == m, v)).alias(f"_{m}") for m, v in values.items()]
+    )
+
+
+def top_contenders(runs: DataFrame, asof: str, days: int, k: int) -> DataFrame:
+    """Latest attempts of the window's jobs that may be among the first ``k`` of a day and metric.
+
+    All of the first k are there, so ranks up to k are those among all jobs. A job of which no
+    attempt reaches ``_daily_bounds`` has k better ones. All attempts of the others are kept until
+    the latest is known, so an earlier attempt never stands in for it. Runs are filtered and not
+    sorted: a sort would hold a task's whole share of the table.
+    """
+    columns = ["pt_date", "job_id", "task_table_name", "app_queue", *sorted({col for col, _ in STREAK_METRICS.values()})]
+    narrow = _inside(runs, asof, days).select(*columns, "started_date", F.xxhash64(*runs.columns).alias("_digest"))
+
+    def reaches(metric: str, col: str, condition: Column | None) -> Column:
+        value, bound = F.coalesce(F.col(col), F.lit(0)), F.col(f"_{metric}")
+        as_good = (value > bound["value"]) | ((value == bound["value"]) & (F.col("job_id") <= bound["job_id"]))
+        counts = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
+        return counts & F.coalesce(as_good, F.lit(True))
+
+    # One row a day of the window.
+    bounded = narrow.join(F.broadcast(_daily_bounds(narrow, k)), F.col("pt_date") == F.col("_day"), "left")
+    found = bounded.where(reduce(Column.__or__, [reaches(m, *of) for m, of in _ranked().items()]))
+    jobs = found.select(F.col("pt_date").alias("_at"), F.col("job_id").alias("_job")).distinct()
+    same = F.col("pt_date").eqNullSafe(F.col("_at")) & F.col("job_id").eqNullSafe(F.col("_job"))
+    return _latest(narrow.join(jobs, same).drop("_at", "_job"), F.col("_digest"))
 
 
 def top_streaks(jobs: DataFrame, days: int, ks: Sequence[int]) -> DataFrame:
@@ -95,11 +152,7 @@ def top_streaks(jobs: DataFrame, days: int, ks: Sequence[int]) -> DataFrame:
     Only the top rows of each day are looked at: a name that is on top on all days was present on
     all days, so absent names need no row. The result has at most max(ks) names per metric.
     """
-    priority = queue_class(F.col("app_queue"), PRIORITY_MARKS)
-    metrics = {
-        name: (col, None if wanted is None else priority == wanted) for name, (col, wanted) in STREAK_METRICS.items()
-    }
-    top = top_ranked(jobs, "pt_date", ["task_table_name"], metrics, max(ks), "job_id")
+    top = top_ranked(jobs, "pt_date", ["task_table_name"], _ranked(), max(ks), "job_id")
     flags = {
         f"{m}_top{k}_label": flag((F.col("metric") == m) & (F.col("rank") <= k)) for m in STREAK_METRICS for k in ks
     }
@@ -118,7 +171,7 @@ def job_health_labels(
     over-allocated job unhealthy and ignores too little memory. ``strict=True`` uses the two
     memory labels instead.
     """
-    streaks = top_streaks(job_window(runs, asof, days), days, ks)
+    streaks = top_streaks(top_contenders(runs, asof, days, max(ks)), days, ks)
     today = job_window(runs.where(F.col("pt_date") == asof), asof, 1)
     names = streak_names(ks)
     # A streak needs a top place on every day, so this side has at most max(ks) rows per metric.

@@ -93,3 +93,31 @@ def test_streaks(labels):
 
 def test_label_values_are_complete(labels):
     assert all(v is not None for r in labels[False].values() for k, v in r.asDict().items() if k.endswith("_label"))
+
+
+def test_only_contenders_are_sorted_and_none_is_lost(spark):
+    """Jobs with ties, later attempts that are smaller, and no id: the first k are those of all jobs, found among few."""
+    from pyspark.sql import functions as F
+
+    from creditloom.operators.windows import top_ranked
+    from creditloom.plans.job_health import _ranked, job_window, top_contenders
+
+    columns = {c.strip().split(" ")[0]: c.strip().split(" ")[1] for c in COLUMNS.split(",")}
+    n = F.col("id")
+    own = {
+        "pt_date": F.concat(F.lit("2024-05-0"), n % 2 + 6),
+        "job_id": F.when(n % 997 != 0, F.concat(F.lit("j"), F.floor(n / 6))),
+        "task_table_name": F.concat(F.lit("t"), n % 50),
+        "app_queue": F.when(n % 3 == 0, "p0"),
+        "memory_gb_hour": F.when(n % 7 != 0, (n * 7919 % 1000).cast("double")),
+        "elapsed_time_min": (n % 2).cast("double"),
+        "started_date": F.to_timestamp(F.concat(F.lit("2024-05-0"), n % 2 + 6, F.lit(" 0"), F.floor(n / 2) % 2, F.lit(":00:00"))),
+    }
+    runs = spark.range(24_000).select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    latest, found = job_window(runs, "2024-05-07", 2), top_contenders(runs, "2024-05-07", 2, 5)
+
+    def first(jobs):
+        return sorted(map(tuple, top_ranked(jobs, "pt_date", ["task_table_name"], _ranked(), 5, "job_id").collect()), key=repr)
+
+    assert first(found) == first(latest) and len(first(found)) == 40
+    assert latest.count() > 7_900 and found.count() < 1_500
