@@ -176,3 +176,27 @@ def test_small_files(spark, tmp_path):
     spark.range(100).repartition(5).write.parquet(path)
     got = E.small_files(file_footers(spark, path)).first()
     assert (got["files"], got["small_files"]) == (5, 1)
+
+
+def test_pages_are_made_and_looked_at_once(spark):
+    """The kind of a page is no filter below the shuffle that deals its rows out, where few tasks would make every page."""
+    made = spark.range(8).repartition(3).select(
+        F.lit("one").alias("case"), F.lit("/c").alias("path"), F.concat(F.lit(DETAIL), "id", F.lit("\n"), F.lit(STAGES)).alias("text")
+    )
+    for read in (C.task_rows, C.stage_summary, C.stage_rows, C.job_rows, C.executor_rows):
+        below = read(made)._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[1]
+        assert "Filter" not in below
+
+
+def test_entries_at_their_edges(spark):
+    """Carriage returns, starts without an end, ends too early or twice, and sizes that are another line."""
+    times = "2026/06/05 11:34:09\t2 s\t\n"
+    stages = NAV + "Stages for All Jobs\n1\t\n" + times + "1/2\nb\n" + times + "3/4 (1 failed)\n1.5 GiB\t\t\t2 MiB\nc\n" + times + "5/6\n7\t\n8\t\nd\n" + times + "9/9\n9\t\ne\n" + times + "no\nf\n" + times + "2/2"
+    detail = DETAIL.replace("0\t40564", "5\t1\t0\tSUCCESS\tANY\t1\th\t\n0\t40564")
+    texts = [x for page in (stages, detail) for x in (page, NAV + page.removeprefix(NAV).replace("\n", "\r\n"))]
+    pages = spark.createDataFrame([("c", str(i), t) for i, t in enumerate(texts)] + [("c", "n", None)], "case string, path string, text string")
+    got = rows(C.stage_rows(pages).select("path", "stage_id", "action", "tasks_done", "failed", "input_bytes", "shuffle_write_bytes", "duration_s"))
+    one = [(1, "b", 3, 1, 1.5 * 1024**3, 2.0 * 1024**2, 2.0), (8, "d", 9, 0, None, None, 2.0), (9, "f", 2, 0, None, None, 2.0)]
+    assert got == [(p, *x) for p in "01" for x in one]
+    tasks = rows(C.task_rows(pages).select("path", "task_id", "host", "duration_s", "input_records"))
+    assert tasks == [(p, *x) for p in "23" for x in [(40541, "host-b.dc", 16.0, None), (40564, "host-a.dc", 13.0, 3297280)]]
