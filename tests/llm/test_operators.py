@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -85,6 +86,69 @@ def test_preference_query_shuffles_texts_once(spark):
     assert plan.count("Exchange") == 1 and len(df.collect()) == 2
 
 
+BROADCAST = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+
+
+def _long_conversations(spark):
+    """Parts before, at and after the parting turn, and odd keys: no conv_id, null turns, one of no assistant."""
+    rows = [(c, t, ("assistant", "user")[(t + c) % 2], "ä" * (t % 7) + str(t)) for c in (1, 2) for t in range(-10, 40)]
+    rows += [(3, t, "assistant" if t in (5, 7) else "user", None if t % 4 == 0 else f"x{t}") for t in range(45)]
+    rows += [(None, t, "assistant" if t < 12 else "user", f"n{t}") for t in range(30)]
+    rows += [(4, t, "user", f"u{t}") for t in range(25)] + [(4, None, "user", "late"), (5, None, "assistant", "only")]
+    rows += [(6, 3, "assistant", x) for x in ("tie", "tie", "a")] + [(6, 30, "user", "end")]
+    return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+
+
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_preference_parts_joined_are_the_single_row(spark, broadcast):
+    turns = _long_conversations(spark)
+    try:
+        for name in BROADCAST:
+            spark.conf.set(name, broadcast)
+        parts = preference.format_preferences(preference.shortened_replies(turns, 10), 10).collect()
+    finally:
+        for name in BROADCAST:
+            spark.conf.unset(name)
+    whole = preference.format_preferences(preference.shortened_replies(turns)).collect()
+    assert sorted((p.pair_id or 0, p.part) for p in parts if p.part is not None) == sorted(
+        {(r.conv_id or 0, r.turn // 10) for r in turns.collect() if r.turn is not None}
+    )
+    assert sorted(p.pair_id for p in parts if p.part is None) == [4, 5]
+    columns = {"prompt": "", "chosen": "", "chosen_mask": ",", "rejected": "", "rejected_mask": ","}
+    for row in whole:
+        own = sorted((p for p in parts if p.pair_id == row.pair_id), key=lambda p: (p.part is None, p.part))
+        assert {c: gap.join(p[c] for p in own if p[c]) for c, gap in columns.items()} == {c: row[c] for c in columns}
+
+
+def test_preference_query_gives_every_part_of_a_long_conversation(spark, tmp_path):
+    rows = [(1, t, ("user", "assistant")[t % 2 if t < 301 else 0], f"t{t}") for t in range(700)] + [(2, 0, "assistant", "short")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = catalog.QUERIES["op1_preference_format"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, found.collect())) == sorted(db.sql(catalog.SQL["op1_preference_format"]).fetchall())
+    parts = {(r.pair_id, r.part): r for r in found.collect()}
+    assert sorted(parts) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+    assert parts[1, 0].chosen == "" and parts[1, 1].chosen_mask == "14:25" and parts[1, 2].chosen.count("<|user|>") == 188
+
+
+def test_preference_parts_shuffle_texts_once_and_by_part(spark):
+    try:
+        for name in BROADCAST:
+            spark.conf.set(name, "-1")
+        df = preference.format_preferences(preference.shortened_replies(_long_conversations(spark), 10), 10)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    finally:
+        for name in BROADCAST:
+            spark.conf.unset(name)
+    dealt = [line for line in plan if "- Exchange hashpartitioning" in line]
+    # Last turns by conversation and by part, texts by part; sums by pair and back by part.
+    assert len(dealt) == 5 and sum("turn#" in line for line in dealt) == 1
+    assert sum("ReusedExchange" in line and "text#" in line for line in plan) == 1
+
+
 # --- suffix tree -----------------------------------------------------------------------------
 
 
